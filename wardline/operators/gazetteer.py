@@ -6,8 +6,6 @@ are looked up in the name table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,19 +13,19 @@ from wardline.functions.pii import redaction_tag_column
 from wardline.functions.text import NON_LETTERS
 from wardline.operators.joins import lookup_join
 
-MAX_WORDS = 3
 
 
-def word_runs(text: Column, longest: int = MAX_WORDS) -> Column:
-    """The different runs of 1 to ``longest`` neighbouring words, joined by single spaces."""
-    tokens = F.filter(F.split(text, NON_LETTERS), lambda w: w != "")
+def word_runs(tokens: Column) -> Column:
+    """The different runs of one, two and three neighbouring words, joined by single spaces.
 
-    def of_length(n: int) -> Column:
-        # run i joins the words i .. i+n-1; the shorter tails at the end are cut off
-        joined = F.transform(tokens, lambda _, i: F.array_join(F.slice(tokens, i + 1, n), " "))
-        return F.slice(joined, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    Runs that would pass the end of the text are NULL.
+    """
+    def followed(runs: Column, by: Column) -> Column:
+        return F.zip_with(runs, by, lambda run, word: F.concat(run, F.lit(" "), word))
 
-    return F.array_distinct(reduce(F.concat, [tokens, *map(of_length, range(2, longest + 1))]))
+    pairs = followed(tokens, F.slice(tokens, 2, F.size(tokens)))
+    triples = followed(pairs, F.slice(tokens, 3, F.size(tokens)))
+    return F.array_distinct(F.concat(tokens, pairs, triples))
 
 
 def find_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str = "text") -> DataFrame:
@@ -36,7 +34,10 @@ def find_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str =
     ``gazetteer`` has ``name`` and ``label``, each name once. Entities are ordered by their position
     in the text. A run whose words are not parted by single spaces in the text does not count.
     """
-    runs = df.select(row_id, F.explode(word_runs(F.col(text))).alias("name"))
+    tokens = F.array_remove(F.split(text, NON_LETTERS), "")
+    runs = (df.select(row_id, tokens.alias("_tokens"))
+            .select(row_id, F.explode(word_runs(F.col("_tokens"))).alias("name"))
+            .where(F.col("name").isNotNull()))
     found = lookup_join(runs, gazetteer.select("name", "label"), ["name"], row_id, "inner")
     # names of one text: bounded by its own words
     return found.groupBy(row_id).agg(F.collect_list(F.struct("name", "label")).alias("_found"))

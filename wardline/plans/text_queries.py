@@ -244,10 +244,10 @@ _NAMES = r"""
 
 
 @query(rf"""WITH {_NAMES},
-    hit AS (SELECT d.doc_id, g.name, g.label, strpos(d.text, g.name) AS at
+    hit AS (SELECT d.doc_id, g.name, g.label, strpos(d.text, g.name) AS loc
             FROM documents d JOIN g ON contains(d.text, g.name)
             WHERE regexp_matches(d.text, '(^|[^\p{{L}}])' || g.name || '($|[^\p{{L}}])'))
-    SELECT doc_id, string_agg(label || ': ' || name, ', ' ORDER BY at, label) AS entities,
+    SELECT doc_id, string_agg(label || ': ' || name, ', ' ORDER BY loc, label) AS entities,
            count(*) AS n_entities FROM hit GROUP BY doc_id""")
 def gazetteer_entities(spark, folder):
     """Known names in documents; the names come from the benchmark texts."""
