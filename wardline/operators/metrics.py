@@ -22,8 +22,8 @@ MEDIUM_CONFIDENCE, HIGH_CONFIDENCE = 0.5, 0.8
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum of a measurement that does not depend on the order of the rows: decimals, six places."""
-    return F.sum(value.cast("decimal(18,6)")).cast("double")
+    """Sum of a measurement that does not depend on the order of the rows: in decimals of nano units."""
+    return F.sum(value.cast("decimal(18,9)")).cast("double")
 
 
 def counter(df: DataFrame, *labels: str) -> DataFrame:
