@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.arrays import exploded
 from wardline.operators.joins import lookup_join
 from wardline.operators.validators import VALIDATORS, Outcome, Params, ValidatorSet
 from wardline.plans.policies import (
@@ -229,8 +230,9 @@ def validate_with_table(df: DataFrame, policies: DataFrame, row_id: str, guardra
 
 def validator_results(verdicts: DataFrame, *ids: str) -> DataFrame:
     """One row per text and check: the ids, the position and the fields of the result."""
-    return (verdicts.select(*ids, "resolved_guardrail", F.posexplode("validations").alias("pos", "_r"))
-            .select(*ids, "resolved_guardrail", "pos", "_r.*"))
+    kept = [*ids, "resolved_guardrail"]
+    return (exploded(verdicts, kept, F.col("validations"), "_r", "pos")
+            .select(*kept, "pos", "_r.*"))
 
 
 def compare_policies(df: DataFrame, names: list[str], text: str = "text", registry: Registry = REGISTRY,

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.arrays import exploded
 from wardline.functions.pii import redaction_tag_column
-from wardline.functions.text import NON_LETTERS
 from wardline.operators.joins import lookup_join
 
 
@@ -32,11 +32,13 @@ def find_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str =
     """``(row_id, entities)``: the known names in each text that has any.
 
     ``gazetteer`` has ``name`` and ``label``, each name once. Entities are ordered by their position
-    in the text. A run whose words are not parted by single spaces in the text does not count.
+    in the text. Names count where they stand as whole words parted by single spaces.
     """
-    tokens = F.array_remove(F.split(text, NON_LETTERS), "")
-    runs = (df.select(row_id, tokens.alias("_tokens"))
-            .select(row_id, F.explode(word_runs(F.col("_tokens"))).alias("name"))
+    # words parted by anything but one space are kept apart by a mark no name contains
+    marked = F.regexp_replace(text, r"[^\p{L} ][^\p{L}]*| [^\p{L}]+", " | ")
+    tokens = F.array_remove(F.split(marked, " "), "")
+    runs = (exploded(df.select(row_id, tokens.alias("_tokens")), [row_id],
+                     word_runs(F.col("_tokens")), "name")
             .where(F.col("name").isNotNull()))
     found = lookup_join(runs, gazetteer.select("name", "label"), ["name"], row_id, "inner")
     # names of one text: bounded by its own words
@@ -51,8 +53,7 @@ def with_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str =
     """
     joined = df.join(find_entities(df, gazetteer, row_id, text), row_id, "left")
     listed = F.coalesce("_found", F.array().cast("array<struct<name:string,label:string>>"))
-    present = F.filter(listed, lambda e: F.col(text).contains(e["name"]))
-    placed = F.array_sort(F.transform(present, lambda e: F.struct(
+    placed = F.array_sort(F.transform(listed, lambda e: F.struct(
         F.position(e["name"], F.col(text)).alias("at"),
         e["label"].alias("label"), e["name"].alias("name"))))
     by_length = F.array_sort(F.transform("_placed", lambda e: F.struct(

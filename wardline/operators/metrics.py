@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.functions.arrays import exploded
 from wardline.operators.quantiles import exact_quantiles
 
 # ---- Fixed values: histogram bucket bounds in seconds ---------------------------------------------
@@ -86,7 +87,7 @@ def toxicity_levels(scores: DataFrame, score: str = "score", *labels: str) -> Da
 
 def pii_by_type(texts: DataFrame, entities: str = "entities") -> DataFrame:
     """Entities by label."""
-    labels = texts.select(F.explode(entities).alias("_e")).select(
+    labels = exploded(texts, [], F.col(entities), "_e").select(
         F.substring_index("_e", ":", 1).alias("entity_type"))
     return counter(labels, "entity_type")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import safety
+from wardline.functions.arrays import exploded
 from wardline.operators import conversation, engine, metrics
 from wardline.plans import sql
 from wardline.plans.catalog import query
@@ -77,7 +78,7 @@ def safety_verdict(spark, folder):
            SELECT violation, count(*) AS n FROM (SELECT unnest(v) AS violation FROM u) GROUP BY 1""")
 def safety_categories(spark, folder):
     """Documents by violation."""
-    found = _verdicts(spark, folder).select(F.explode(safety.violations(F.col("raw"))).alias("violation"))
+    found = exploded(_verdicts(spark, folder), [], safety.violations(F.col("raw")), "violation")
     return metrics.counter(found, "violation")
 
 

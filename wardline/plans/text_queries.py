@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import pii, scorers
+from wardline.functions.arrays import exploded
 from wardline.operators import admission, engine, metrics
 from wardline.operators.canary import arm
 from wardline.operators.gazetteer import with_entities
@@ -88,7 +89,7 @@ def admission_reasons(spark, folder):
            FROM r GROUP BY doc_id""")
 def admission_lines(spark, folder):
     """Each line of a document as a request of its own; blank lines are turned away."""
-    lines = tables.documents(spark, folder).select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    lines = exploded(tables.documents(spark, folder), ["doc_id"], F.split("text", "\n"), "text")
     out = admission.screened(lines)
     return out.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("lines"),
@@ -211,7 +212,7 @@ def pii_redact(spark, folder):
            FROM e""")
 def pii_friendly_tags(spark, folder):
     """Each entity with the spelled-out tag that replaces it."""
-    found = texts(spark, folder).select("doc_id", F.explode(pii.pii_entities(F.col("text"))).alias("e"))
+    found = exploded(texts(spark, folder), ["doc_id"], pii.pii_entities(F.col("text")), "e")
     label = F.substring_index("e", ": ", 1)
     return found.select("doc_id", F.substring(F.col("e"), F.length(label) + 3, F.length("e")).alias("entity"),
                         pii.redaction_tag_column(label, friendly=True).alias("tag"))

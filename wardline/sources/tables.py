@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.functions.arrays import exploded
 from wardline.schemas import BATCHES, CONVERSATIONS, DOCUMENTS, EVENTS, REQUESTS
 
 
@@ -42,7 +43,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def batch_texts(batch_rows: DataFrame, batch_id: str = "batch_id", texts: str = "texts") -> DataFrame:
     """One row per text of a batch, with its position from 0."""
     others = [c for c in batch_rows.columns if c not in (batch_id, texts)]
-    return batch_rows.select(batch_id, *others, F.posexplode(texts).alias("pos", "text"))
+    return exploded(batch_rows, [batch_id, *others], F.col(texts), "text", "pos")
 
 
 def texts_with_contexts(batch_rows: DataFrame, batch_id: str = "batch_id", texts: str = "texts",
@@ -53,5 +54,5 @@ def texts_with_contexts(batch_rows: DataFrame, batch_id: str = "batch_id", texts
     """
     padded = F.coalesce(contexts, F.array().cast("array<string>"))
     zipped = F.arrays_zip(F.col(texts).alias("t"), F.slice(padded, 1, F.size(texts)).alias("c"))
-    return (batch_rows.select(batch_id, F.posexplode(zipped).alias("pos", "_pair"))
+    return (exploded(batch_rows, [batch_id], zipped, "_pair", "pos")
             .select(batch_id, "pos", F.col("_pair.t").alias("text"), F.col("_pair.c").alias("context")))
