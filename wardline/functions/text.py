@@ -26,7 +26,8 @@ def words(text: Column) -> Column:
 
 def vocabulary_hits(tokens: Column, vocabulary: tuple[str, ...]) -> Column:
     """The different words of the vocabulary among the tokens."""
-    return F.array_intersect(tokens, F.array(*[F.lit(word) for word in vocabulary]))
+    listed = F.split(F.lit(" ".join(vocabulary)), " ")  # folded to one literal
+    return F.array_intersect(tokens, listed)
 
 
 def fixed3(number: Column) -> Column:

@@ -28,12 +28,12 @@ def micros(ts: Column) -> Column:
 
 
 def unique_texts(df: DataFrame, row_id: str, key: str = "cache_key", text: str = "text") -> DataFrame:
-    """One row per key: its text, its number of copies and the first row id.
+    """One row per key: its text and the first row id.
 
     Copies meet in the map-side aggregation, so a text that fills a third of the table ships once per
     task.
     """
-    return df.groupBy(key, text).agg(F.count(F.lit(1)).alias("copies"), F.min(row_id).alias("first_id"))
+    return df.groupBy(key, text).agg(F.min(row_id).alias("first_id"))
 
 
 def with_cache_hit(df: DataFrame, row_id: str, key: str = "cache_key") -> DataFrame:
@@ -47,15 +47,14 @@ def with_cache_hit(df: DataFrame, row_id: str, key: str = "cache_key") -> DataFr
 
 
 def score_once(df: DataFrame, score: Callable[[DataFrame], DataFrame], row_id: str,
-               key: str = "cache_key", text: str = "text", hot_rows: int = 1_000_000) -> DataFrame:
+               key: str = "cache_key", text: str = "text", hot_rows: int | None = None) -> DataFrame:
     """Score each different text once and give every copy the result.
 
     ``score`` adds result columns to the table it is given and keeps the others. Worth its two
     shuffles when scoring is dear, such as a model call; the default scorers are cheaper than that.
     """
-    unique = unique_texts(df, row_id, key, text)
-    results = score(unique).drop(text, "copies")
-    joined = join_back(df, results, unique.select(key, "copies"), key, row_id, hot_rows)
+    results = score(unique_texts(df, row_id, key, text)).drop(text)
+    joined = join_back(df, results, key, row_id, hot_rows)
     return joined.withColumn("cache_hit", F.col(row_id) != F.col("first_id")).drop("first_id")
 
 
@@ -76,18 +75,12 @@ def store_entries(results: DataFrame, written_at: Column, ttl: int = DEFAULT_CAC
 
 
 def probe(requests: DataFrame, live: DataFrame, row_id: str, key: str = "cache_key",
-          bypass: str | None = None, hot_rows: int = 1_000_000) -> DataFrame:
-    """How the store answers each request: ``hit``, ``miss``, or ``bypass`` when it is not asked.
-
-    The different keys are looked up, not the requests, and the answers are brought back to the
-    requests by the salted join.
-    """
+          bypass: str | None = None, hot_rows: int | None = None) -> DataFrame:
+    """How the store answers each request: ``hit``, ``miss``, or ``bypass`` when it is not asked."""
     asked = requests if bypass is None else requests.where(~F.col(bypass))
-    keys = asked.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
-    hits = keys.join(live.select(key), key, "left_semi").withColumn("outcome", F.lit("hit"))
-    misses = keys.join(live.select(key), key, "left_anti").withColumn("outcome", F.lit("miss"))
-    answers = hits.unionByName(misses).drop("copies")
-    answered = join_back(asked, answers, keys, key, row_id, hot_rows)
+    found = live.select(key, F.lit("hit").alias("outcome"))
+    answered = (join_back(asked, found, key, row_id, hot_rows)
+                .withColumn("outcome", F.coalesce("outcome", F.lit("miss"))))
     if bypass is None:
         return answered
     return answered.unionByName(requests.where(F.col(bypass)).withColumn("outcome", F.lit("bypass")))
@@ -96,22 +89,23 @@ def probe(requests: DataFrame, live: DataFrame, row_id: str, key: str = "cache_k
 def validate_through_store(requests: DataFrame, live: DataFrame,
                            score: Callable[[DataFrame], DataFrame], row_id: str,
                            key: str = "cache_key", text: str = "text", bypass: str | None = None,
-                           hot_rows: int = 1_000_000) -> DataFrame:
+                           hot_rows: int | None = None) -> DataFrame:
     """Validate requests, reusing live store entries and scoring each missing text once.
 
     ``score`` adds result columns to the table it is given and keeps the others; ``live`` has the key
     and those columns. ``cache_hit`` is true for answers from the store and for all but the first
     copy of a newly scored text. Bypassing requests are scored themselves and never count as hits.
+    Only missing texts are shuffled; the store is looked up by key.
     """
     asked = requests if bypass is None else requests.where(~F.col(bypass))
-    unique = unique_texts(asked, row_id, key, text)
-    stored = unique.drop(text).join(live, key, "inner").withColumn("_stored", F.lit(True))
-    scored = (score(unique.join(live.select(key), key, "left_anti")).drop(text)
-              .withColumn("_stored", F.lit(False)))
-    results = stored.unionByName(scored, allowMissingColumns=True).drop("copies")
-    answered = join_back(asked, results, unique.select(key, "copies"), key, row_id, hot_rows)
-    answered = answered.withColumn(
-        "cache_hit", F.col("_stored") | (F.col(row_id) != F.col("first_id"))).drop("_stored", "first_id")
+    missing = unique_texts(asked.join(live.select(key), key, "left_anti"), row_id, key, text)
+    scored = score(missing).drop(text)
+    stored = live.withColumn("first_id", F.lit(None).cast(asked.schema[row_id].dataType))
+    results = stored.unionByName(scored, allowMissingColumns=True)
+    answered = join_back(asked, results, key, row_id, hot_rows)
+    # a stored answer has no first request: every request for it is a hit
+    answered = answered.withColumn("cache_hit", F.coalesce(
+        F.col(row_id) != F.col("first_id"), F.lit(True))).drop("first_id")
     if bypass is None:
         return answered
     direct = score(requests.where(F.col(bypass))).withColumn("cache_hit", F.lit(False))

@@ -33,23 +33,35 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], row_id: str, h
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
-def join_back(rows: DataFrame, results: DataFrame, counts: DataFrame, key: str, row_id: str,
-              hot_rows: int = 1_000_000, max_hot: int = 1_000) -> DataFrame:
-    """Bring per-key results back to the rows they were computed for.
-
-    ``counts`` holds the rows per key (``key, copies``). The few keys with at least ``hot_rows`` rows
-    are broadcast, never more than ``max_hot`` of them, and get one salt per ``hot_rows``: their
-    result row is repeated and their rows are spread. A hot key beyond the first ``max_hot`` holds
-    less than one ``max_hot``-th of all rows and joins like any other.
+def splits_skewed_joins(df: DataFrame) -> bool:
+    """Whether the session's adaptive execution splits skewed join partitions by itself."""
+    conf = df.sparkSession.conf
+    return all(conf.get(key) == "true" for key in (
+        "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
+
+
+def join_back(rows: DataFrame, results: DataFrame, key: str, row_id: str,
+              hot_rows: int | None = None, max_hot: int = 1_000) -> DataFrame:
+    """Bring per-key results, one row per key, back to the rows they were computed for.
+
+    One key may hold a large share of the rows. Adaptive execution splits such a partition of the
+    left side at run time, so that a plain join is enough. Where it is off, or where ``hot_rows`` is
+    given, the keys with at least that many rows are counted, never more than ``max_hot`` of them are
+    broadcast, and each gets one salt per ``hot_rows``: its result is repeated and its rows are
+    spread. A key beyond the first ``max_hot`` holds less than one ``max_hot``-th of all rows and
+    joins like any other.
     """
-    hot = (counts.where(F.col("copies") >= hot_rows)
-           .orderBy(F.desc("copies"), key).limit(max_hot)
-           .select(key, F.ceil(F.col("copies") / hot_rows).cast("int").alias("_salts")))
+    if hot_rows is None:
+        if splits_skewed_joins(rows):
+            return rows.join(results, key, "left")
+        hot_rows = 1_000_000
+    hot = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+           .where(F.col("_copies") >= hot_rows)
+           .orderBy(F.desc("_copies"), key).limit(max_hot)
+           .select(key, F.ceil(F.col("_copies") / hot_rows).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
     spread = (rows.join(F.broadcast(hot), key, "left")
-              .withColumn("_salt", F.pmod(F.xxhash64(row_id), F.coalesce("_salts", F.lit(1))).cast("int"))
-              .drop("_salts"))
+              .withColumn("_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")).drop("_salts"))
     repeated = (results.join(F.broadcast(hot), key, "left")
-                .withColumn("_salt", F.explode(F.sequence(
-                    F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-                .drop("_salts"))
+                .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
     return spread.join(repeated, [key, "_salt"], "left").drop("_salt")

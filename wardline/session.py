@@ -26,6 +26,7 @@ def build_session(app: str = "wardline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.files.maxPartitionBytes": "128m",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # else each column call walks the stack
         **conf,
     }
     builder = SparkSession.builder.appName(app)
