@@ -154,16 +154,17 @@ def test_canary_share(spark):
     assert 0.18 < share < 0.22
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_named_entities(spark, monkeypatch, small):
-    if not small:
+@pytest.mark.parametrize("way", ["literals", "broadcast", "salted"])
+def test_named_entities(spark, monkeypatch, way):
+    if way == "salted":
         monkeypatch.setattr("wardline.operators.joins.is_small", lambda *a, **k: False)
+    limit = 2_000 if way == "literals" else 3
     names = spark.createDataFrame([("John Smith", "PERSON"), ("Smith", "PERSON"), ("Acme", "ORG"), ("New York City", "GPE")],
                                   "name string, label string")
     texts = spark.createDataFrame([
         (1, "My name is John Smith, of Acme."), (2, "John, Smith in  New York City"), (3, "Smithsonian acme"), (4, ""),
         (5, "New York City's John  Smith")], "id long, text string")
-    got = {r["id"]: (r["entities"], r["redacted_text"]) for r in with_entities(texts, names, "id").collect()}
+    got = {r["id"]: (r["entities"], r["redacted_text"]) for r in with_entities(texts, names, "id", literal_names=limit).collect()}
     assert got[1] == (["PERSON: John Smith", "PERSON: Smith", "ORG: Acme"],
                       "My name is [PERSON_REDACTED], of [ORG_REDACTED].")
     assert got[2] == (["PERSON: Smith", "GPE: New York City"], "John, [PERSON_REDACTED] in  [GPE_REDACTED]")

@@ -207,8 +207,15 @@ def test_single_policy_needs_no_shuffle_and_one_tokenization(sample):
     plan = engine.validate(sample, "strict").select("name", "valid", "action")._jdf.queryExecution()
     text = plan.executedPlan().toString()
     assert "Exchange" not in text and "PythonUDF" not in text
-    optimized = plan.optimizedPlan().toString()
-    assert optimized.count("AS _toxicity_check__score") == 1
+    assert plan.optimizedPlan().toString().count("AS _once__toxicity_check__score") == 1
+
+
+def test_filter_on_a_verdict_does_not_score_again(sample):
+    failing = engine.validate(sample, "strict").where("not valid").select("name", "action")
+    lines = failing._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("split(" in line for line in lines) == 1
+    assert any("Filter" in line and "split(" not in line for line in lines)
+    assert failing.count() == 4
 
 
 def test_registry(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.joins import join_back
+from wardline.operators.metrics import position
 from wardline.plans.policies import DEFAULT_CACHE_TTL
 
 SECOND = 1_000_000  # microseconds
@@ -123,14 +124,14 @@ def replay_refreshing(log: DataFrame, keys: list[str], ts: str = "ts", row_id: s
     at = micros(F.col(ts))
     slices = (log.groupBy(*keys, F.floor(at / (ttl * SECOND)).alias("slice"))
               .agg(F.count(F.lit(1)).alias("requests"),
-                   F.min(F.struct(at.alias("at"), F.col(row_id).alias("id"))).alias("first"),
-                   F.max(at).alias("last_at")))
+                   F.min(at).alias("first_at"), F.max(at).alias("last_at"),
+                   F.min_by(row_id, position(at, F.col(row_id))).alias("first_id")))
     before = F.lag("last_at").over(Window.partitionBy(*keys).orderBy("slice"))
-    hit = F.coalesce(F.col("first.at") - F.col("_before") <= ttl * SECOND, F.lit(False))
+    hit = F.coalesce(F.col("first_at") - F.col("_before") <= ttl * SECOND, F.lit(False))
     return (slices.withColumn("_before", before)
             .select(*keys, "slice", "requests",
                     (F.col("requests") - F.when(hit, 0).otherwise(1)).alias("hits"),
-                    F.when(~hit, F.col("first.id")).alias("missing_id")))
+                    F.when(~hit, F.col("first_id")).alias("missing_id")))
 
 
 def replay_exact(log: DataFrame, keys: list[str], ts: str = "ts",

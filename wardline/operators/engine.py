@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.arrays import exploded
+from wardline.functions.arrays import computed_once, exploded
 from wardline.operators.joins import lookup_join
 from wardline.operators.validators import VALIDATORS, Outcome, Params, ValidatorSet
 from wardline.plans.policies import (
@@ -40,7 +40,7 @@ def measured(df: DataFrame, names: list[str], text: str = "text",
         for name in dict.fromkeys(names)
         for measure, column in validators[name].measure(F.col(text)).items()
     }
-    return df.withColumns(columns)
+    return computed_once(df, columns) if columns else df
 
 
 def _measures(df: DataFrame, name: str) -> dict[str, Column]:
@@ -52,9 +52,10 @@ def _measure_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_") and "__" in c]
 
 
-def judged(df: DataFrame, check: CheckSpec, validators: ValidatorSet = VALIDATORS) -> Outcome:
+def judged(df: DataFrame, check: CheckSpec, text: str = "text",
+           validators: ValidatorSet = VALIDATORS) -> Outcome:
     """Outcome of one check over a measured table."""
-    params = Params(F.lit(check.max_length).cast("int"), F.lit(check.threshold).cast("double"))
+    params = Params(F.col(text), F.lit(check.max_length).cast("int"), F.lit(check.threshold).cast("double"))
     return validators[check.validator].judge(_measures(df, check.validator), params)
 
 
@@ -116,7 +117,7 @@ def validate(df: DataFrame, guardrail: str = DEFAULT_POLICY, text: str = "text",
     known = [check for check in policy.checks if check.validator in validators]
     skipped = [check.validator for check in policy.checks if check.validator not in validators]
     table = measured(df, [check.validator for check in known], text, validators)
-    outcomes = [(check, judged(table, check, validators)) for check in known]
+    outcomes = [(check, judged(table, check, text, validators)) for check in known]
     results = F.array(*[_result(c.validator, o, F.lit(c.on_fail), validators[c.validator].version)
                         for c, o in outcomes]).cast(_RESULTS)
     rewritten = [F.when(o.failed, o.redacted) for _, o in reversed(outcomes) if o.redacted is not None]
@@ -157,7 +158,7 @@ def _judge_list(df: DataFrame, text: str, validators: ValidatorSet, names: list[
     table = measured(df, names, text, validators)
 
     def evaluate(check: Column) -> Column:
-        params = Params(check["max_length"], check["threshold"])
+        params = Params(F.col(text), check["max_length"], check["threshold"])
         chosen = F.lit(None).cast(VALIDATOR_RESULT)
         for name in names:
             outcome = validators[name].judge(_measures(table, name), params)
@@ -244,7 +245,7 @@ def compare_policies(df: DataFrame, names: list[str], text: str = "text", regist
     specs = {name: [c for c in registry[resolve_name(name, registry)].checks if c.validator in validators]
              for name in names}
     table = measured(df, [c.validator for checks in specs.values() for c in checks], text, validators)
-    sums = [F.sum((~_any([judged(table, c, validators).failed for c in checks])).cast("long"))
+    sums = [F.sum((~_any([judged(table, c, text, validators).failed for c in checks])).cast("long"))
             .alias(f"v{i}") for i, checks in enumerate(specs.values())]
     totals = table.agg(F.count(F.lit(1)).alias("texts"), *sums)
     # one row wide to one row per policy

@@ -1,7 +1,7 @@
 """Named entities from a table of known names: persons, organizations, places.
 
 Stands in for a model-based recognizer: texts are cut into runs of one to three words, and the runs
-are looked up in the name table.
+are looked up in the name table. A model can be plugged in instead.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.arrays import exploded
+from wardline.functions.arrays import computed_once, exploded
 from wardline.functions.pii import redaction_tag_column
 from wardline.operators.joins import lookup_join
 
+LITERAL_NAMES = 2_000
 
 
 def word_runs(tokens: Column) -> Column:
@@ -28,32 +29,60 @@ def word_runs(tokens: Column) -> Column:
     return F.array_distinct(F.concat(tokens, pairs, triples))
 
 
-def find_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str = "text") -> DataFrame:
-    """``(row_id, entities)``: the known names in each text that has any.
-
-    ``gazetteer`` has ``name`` and ``label``, each name once. Entities are ordered by their position
-    in the text. Names count where they stand as whole words parted by single spaces.
-    """
-    # words parted by anything but one space are kept apart by a mark no name contains
+def _tokens(text: str) -> Column:
+    """Words in order. Words parted by anything but one space are kept apart by a mark no name has."""
     marked = F.regexp_replace(text, r"[^\p{L} ][^\p{L}]*| [^\p{L}]+", " | ")
-    tokens = F.array_remove(F.split(marked, " "), "")
-    runs = (exploded(df.select(row_id, tokens.alias("_tokens")), [row_id],
-                     word_runs(F.col("_tokens")), "name")
-            .where(F.col("name").isNotNull()))
-    found = lookup_join(runs, gazetteer.select("name", "label"), ["name"], row_id, "inner")
+    return F.array_remove(F.split(marked, " "), "")
+
+
+_FOUND = "array<struct<name:string,label:string>>"
+
+
+def _found_by_literals(df: DataFrame, names: list[tuple[str, str]], text: str) -> DataFrame:
+    """Names in each text by set intersection within the row; for short name lists, without a shuffle."""
+    def listed(members: list[str]) -> Column:
+        return F.split(F.lit("\n".join(members)), "\n")
+
+    def labelled(label: str) -> Column:
+        of_label = F.array_intersect("_known", listed([n for n, l in names if l == label]))
+        return F.transform(of_label, lambda n: F.struct(n.alias("name"), F.lit(label).alias("label")))
+
+    tokens = computed_once(df, {"_tokens": _tokens(text)})
+    everything = listed([name for name, _ in names])
+    known = computed_once(tokens, {"_known": F.array_intersect(word_runs(F.col("_tokens")), everything)})
+    found = [labelled(label) for label in sorted({label for _, label in names})]
+    return (known.withColumn("_found", F.concat(F.array().cast(_FOUND), *found))
+            .drop("_tokens", "_known"))
+
+
+def _found_by_join(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str) -> DataFrame:
+    """Names in each text by a join on the runs; for name lists of any length."""
+    tokens = computed_once(df.select(row_id, text), {"_tokens": _tokens(text)})
+    runs = exploded(tokens, [row_id], word_runs(F.col("_tokens")), "name").where(
+        F.col("name").isNotNull())
+    found = lookup_join(runs, gazetteer, ["name"], row_id, "inner")
     # names of one text: bounded by its own words
-    return found.groupBy(row_id).agg(F.collect_list(F.struct("name", "label")).alias("_found"))
+    per_text = found.groupBy(row_id).agg(F.collect_list(F.struct("name", "label")).alias("_found"))
+    return (df.join(per_text, row_id, "left")
+            .withColumn("_found", F.coalesce("_found", F.array().cast(_FOUND))))
 
 
 def with_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str = "text",
-                  friendly: bool = False) -> DataFrame:
+                  friendly: bool = False, literal_names: int = LITERAL_NAMES) -> DataFrame:
     """The texts with ``entities`` (``LABEL: name``, in text order) and ``redacted_text``.
 
-    Longer names are replaced before shorter ones, so that a name within a longer one stays whole.
+    ``gazetteer`` has ``name`` (up to three words) and ``label``, each name once. Names count where
+    they stand as whole words parted by single spaces; every occurrence is then replaced, longer names
+    before shorter ones, so that a name within a longer one stays whole. Up to ``literal_names`` names
+    are fetched and looked up within each row; a longer list is joined.
     """
-    joined = df.join(find_entities(df, gazetteer, row_id, text), row_id, "left")
-    listed = F.coalesce("_found", F.array().cast("array<struct<name:string,label:string>>"))
-    placed = F.array_sort(F.transform(listed, lambda e: F.struct(
+    names = gazetteer.select("name", "label")
+    fetched = names.limit(literal_names + 1).collect()
+    if len(fetched) <= literal_names:
+        joined = _found_by_literals(df, sorted(map(tuple, fetched)), text)
+    else:
+        joined = _found_by_join(df, names, row_id, text)
+    placed = F.array_sort(F.transform("_found", lambda e: F.struct(
         F.position(e["name"], F.col(text)).alias("at"),
         e["label"].alias("label"), e["name"].alias("name"))))
     by_length = F.array_sort(F.transform("_placed", lambda e: F.struct(

@@ -6,6 +6,8 @@ covers most rows costs one row per task.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def exact_sum(value: Column) -> Column:
     return F.sum(value.cast("decimal(18,9)")).cast("double")
 
 
+def position(at: Column, row_id: Column) -> Column:
+    """Place of a row in a log: by time, then by id, as one decimal.
+
+    A struct would say the same, but an aggregate ordered by a struct sorts its rows, while one ordered
+    by a decimal keeps a hash table.
+    """
+    return at.cast("decimal(19,0)") * F.lit(Decimal(10 ** 19)) + row_id.cast("decimal(19,0)")
+
+
 def counter(df: DataFrame, *labels: str) -> DataFrame:
     return df.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
 
@@ -56,8 +67,8 @@ def error_rate(failed: Column) -> Column:
 
 
 def last_values(samples: DataFrame, value: str, ts: str, tie: str, *labels: str) -> DataFrame:
-    """The newest value of a gauge per label set."""
-    return samples.groupBy(*labels).agg(F.max_by(value, F.struct(ts, tie)).alias("value"))
+    """The newest value of a gauge per label set; ``ts`` and ``tie`` are integers."""
+    return samples.groupBy(*labels).agg(F.max_by(value, position(F.col(ts), F.col(tie))).alias("value"))
 
 
 def connection_load(requests: DataFrame, start: str, end: str, *labels: str) -> DataFrame:
@@ -66,9 +77,10 @@ def connection_load(requests: DataFrame, start: str, end: str, *labels: str) ->
     Starts add one and ends take one off. Both are netted per second first, so the running total
     scans at most one row per second of the log and label set.
     """
-    begins = requests.select(*labels, F.col(start).alias("second"), F.lit(1).alias("change"))
-    ends = requests.select(*labels, F.col(end).alias("second"), F.lit(-1).alias("change"))
-    net = begins.unionAll(ends).groupBy(*labels, "second").agg(F.sum("change").alias("net"))
+    changes = F.array(F.struct(F.col(start).alias("second"), F.lit(1).alias("change")),
+                      F.struct(F.col(end).alias("second"), F.lit(-1).alias("change")))
+    net = (requests.select(*labels, F.inline(changes))
+           .groupBy(*labels, "second").agg(F.sum("change").alias("net")))
     order = Window.partitionBy(*labels).orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
     return net.withColumn("active", F.sum("net").over(order))
 

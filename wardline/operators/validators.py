@@ -23,8 +23,9 @@ from wardline.plans.policies import (
 
 @dataclass(frozen=True)
 class Params:
-    """Parameters of one check; NULL where the policy leaves them out."""
+    """The text, and the parameters of one check; NULL where the policy leaves them out."""
 
+    text: Column
     max_length: Column
     threshold: Column
 
@@ -112,13 +113,13 @@ def sentiment_check(scorer=LexiconSentiment()) -> Validator:
 
 def pii_detection(friendly: bool = False, version: str = "pattern-pii-1") -> Validator:
     def measure(text: Column) -> Measures:
-        return {"entities": pii.pii_entities(text), "text": text}
+        return {"entities": pii.pii_entities(text)}
 
     def judge(measures: Measures, params: Params) -> Outcome:
         entities = measures["entities"]
         failed = F.size(entities) > 0
         found = F.concat(F.lit("PII detected: "), F.concat_ws(", ", entities))
-        redacted = F.when(failed, pii.pii_redacted(measures["text"], friendly, failed))
+        redacted = F.when(failed, pii.pii_redacted(params.text, friendly, failed))
         return Outcome(failed, F.when(failed, found).otherwise(F.lit("No PII detected")),
                        entities=F.when(failed, entities), redacted=redacted)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import pii, scorers
-from wardline.functions.arrays import exploded
+from wardline.functions.arrays import computed_once, exploded
 from wardline.operators import admission, engine, metrics
 from wardline.operators.canary import arm
 from wardline.operators.gazetteer import with_entities
@@ -135,7 +135,8 @@ def length_cap(spark, folder):
 
 @query(f"""WITH {sql.measures('documents', 'doc_id')} SELECT doc_id, tox AS score FROM m""")
 def toxicity_score(spark, folder):
-    return texts(spark, folder).select("doc_id", scorers.LexiconToxicity().score(F.col("text")).alias("score"))
+    score = scorers.LexiconToxicity().score(F.col("text"))
+    return computed_once(texts(spark, folder), {"score": score}).select("doc_id", "score")
 
 
 @query(f"""WITH {sql.measures('documents', 'doc_id')}
@@ -184,7 +185,7 @@ def sentiment_labels(spark, folder):
         F.struct(F.when(F.col("s") > 0, "POSITIVE").when(F.col("s") < 0, "NEGATIVE").otherwise("NEUTRAL")
                  .alias("label"), F.greatest(F.abs("s"), F.lit(0.01)).alias("score")),
         F.struct(F.lit("NEUTRAL").alias("label"), F.lit(0.005).alias("score")))
-    return (texts(spark, folder).select("doc_id", score.alias("s")).withColumn("labels", labels)
+    return (computed_once(texts(spark, folder), {"s": score}).withColumn("labels", labels)
             .select("doc_id", scorers.polarity_of_labels(F.col("labels")).alias("polarity")))
 
 
@@ -193,8 +194,8 @@ def sentiment_labels(spark, folder):
                   array_to_string({sql.ENTITIES}, ', ') AS entities
            FROM m WHERE len(ents) > 0""")
 def pii_entities(spark, folder):
-    found = pii.pii_entities(F.col("text"))
-    return (texts(spark, folder).select("doc_id", found.alias("e")).where(F.size("e") > 0)
+    return (computed_once(texts(spark, folder), {"e": pii.pii_entities(F.col("text"))})
+            .where(F.size("e") > 0)
             .select("doc_id", F.size("e").alias("n_entities"), F.concat_ws(", ", "e").alias("entities")))
 
 

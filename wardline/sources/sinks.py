@@ -10,19 +10,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _write(df: DataFrame, path: str, mode: str, by: str) -> None:
+    """Write one folder per value of ``by``, in files of the advisory partition size.
+
+    The rebalance hint gathers small values and splits a large one, so neither a flood of small files
+    nor one task for a hot value comes of it.
+    """
+    df.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)
+
+
 def write_verdicts(verdicts: DataFrame, path: str, mode: str = "append") -> None:
-    """Verdicts by policy. Rows stay in their tasks: a hot policy is many files, not one task."""
-    verdicts.write.mode(mode).partitionBy("resolved_guardrail").parquet(path)
+    """Verdicts by policy."""
+    _write(verdicts, path, mode, "resolved_guardrail")
 
 
 def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
     """Check results (one row per text and check) by validator."""
-    results.write.mode(mode).partitionBy("validator_name").parquet(path)
+    _write(results, path, mode, "validator_name")
 
 
 def write_store(entries: DataFrame, path: str, mode: str = "append") -> None:
     """Result-store entries by day of expiry, so that reads skip the dead days."""
-    entries.write.mode(mode).partitionBy("expires_on").parquet(path)
+    _write(entries, path, mode, "expires_on")
 
 
 def read_store(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
@@ -33,7 +42,7 @@ def read_store(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
 
 def write_metrics(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Metric samples (``metric, labels, le, value, window_start``) by metric."""
-    samples.write.mode(mode).partitionBy("metric").parquet(path)
+    _write(samples, path, mode, "metric")
 
 
 def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
@@ -42,11 +51,11 @@ def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
 
 def append_audit(results: DataFrame, path: str, day: str = "audit_date") -> None:
     """Audit trail of check results by day."""
-    results.write.mode("append").partitionBy(day).parquet(path)
+    _write(results, path, "append", day)
 
 
 def retain_audit(spark: SparkSession, path: str, target: str, first_day: Column,
                  day: str = "audit_date") -> DataFrame:
     """Rewrite the audit trail to ``target`` without the days before ``first_day``; whole days are pruned."""
-    spark.read.parquet(path).where(F.col(day) >= first_day).write.mode("overwrite").partitionBy(day).parquet(target)
+    _write(spark.read.parquet(path).where(F.col(day) >= first_day), target, "overwrite", day)
     return spark.read.parquet(target)
