@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import scorers
-from wardline.operators import engine, plugins
+from wardline.operators import engine, plugins, ratelimit
 from wardline.session import scratch_dir, ship_package
 from wardline.streaming import jobs
 
@@ -65,6 +67,21 @@ def test_rate_limit_stream(spark):
         ("hot", 120, 100, 20), ("cold", 1, 1, 0)}
 
 
+def test_rejections_continue_across_batches(spark):
+    """The same decisions as in batch when the requests come in three batches."""
+    rng, at, rows = random.Random(4), 0, []
+    for i in range(300):
+        at += rng.choice([0, 0, 1, 3])
+        rows.append((i, at, rng.choice(["hot", "hot", "a", "b"]), 0.0))
+    stream = feed(spark, [rows[:100], rows[100:130], rows[130:]]).select(
+        "id", "client", F.unix_seconds("ts").alias("second"))
+    out = jobs.limit_requests(stream, ["client"], "second", "id", scratch_dir(spark, "lim"), limit=4, window=20)
+    plain = spark.createDataFrame([(r[0], r[2], r[1]) for r in rows], "id long, client string, second long")
+    batch = ratelimit.rejected_requests(plain, ["client"], "second", "id", 4, 20)
+    assert {r["id"]: r["rejected"] for r in out.collect()} == {r["id"]: r["rejected"] for r in batch.collect()}
+    assert out.count() == 300 and out.where("rejected").count() > 20
+
+
 def test_sessions_stream(spark):
     rows = [(1, 0, "u", 0.0), (2, 600, "u", 0.0), (3, 5000, "u", 0.0), (4, 90_000, "v", 0.0)]
     out = jobs.run_available(jobs.session_counts(feed(spark, [rows]), "client"), "s")

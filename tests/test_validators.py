@@ -226,6 +226,7 @@ def test_registry(spark):
     drift = {(r["guardrail"], r["validator"], r["only_in"]) for r in policies.registry_drift(spark).collect()}
     assert ("strict", "spam_detection", "first") in drift
     assert {g for g, _, side in drift if side == "second"} == {"content_moderation", "customer_service"}
+    assert policies.model_options(spark).groupBy("validator").count().where("count = 3").count() == 3
     capped = policies.cap_lengths({"p": Policy("p", "", (CheckSpec("length_check", 50_000),))})
     assert capped["p"].checks[0].max_length == 10_000
     with pytest.raises(ValueError):

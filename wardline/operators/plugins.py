@@ -18,6 +18,22 @@ Predict = Callable[[list[str]], list]
 _loaded: dict[str, Predict] = {}
 
 
+class ModelRegistry(dict[tuple[str, str], Callable[[], Predict]]):
+    """Load functions by engine and model name, from which a job picks its model by name."""
+
+    def register(self, engine: str, model: str, load: Callable[[], Predict]) -> None:
+        self[engine, model] = load
+
+    def names(self) -> list[str]:
+        return [f"{engine}/{model}" for engine, model in self]
+
+    def scores(self, text: Column, engine: str, model: str) -> Column:
+        return model_scores(text, f"{engine}/{model}", self[engine, model])
+
+    def verdicts(self, prompt: Column, engine: str, model: str) -> Column:
+        return model_verdicts(prompt, f"{engine}/{model}", self[engine, model])
+
+
 def loaded(name: str, load: Callable[[], Predict]) -> Predict:
     """The model of this worker process, loaded on first use."""
     if name not in _loaded:

@@ -10,28 +10,32 @@ REQUEST_LIMIT, BATCH_REQUEST_LIMIT, WINDOW_SECONDS = 100, 200, 60
 # ---- End of fixed values --------------------------------------------------------------------------
 
 
-def rejected_requests(requests: DataFrame, client: list[str], seconds: str, row_id: str,
-                      limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS,
-                      salts: int = 32) -> DataFrame:
-    """Marks requests beyond the limit of their client and fixed window, in order of arrival.
+def rank_in_window(requests: DataFrame, slot: list[str], order: list[str], row_id: str, limit: int,
+                   salts: int) -> DataFrame:
+    """Adds ``rank``: the place of a request in its slot, or NULL where that is beyond ``limit`` for sure.
 
-    Ranking runs in two steps so that no client's window has to fit one task. Within each of
-    ``salts`` shares of a window, a request ranked beyond the limit has that many before it and is
-    rejected for sure. Only the others, at most ``limit`` times ``salts`` per window, are ranked
-    together.
+    Ranking runs in two steps so that no slot has to fit one task. Within each of ``salts`` shares of a
+    slot, a request ranked beyond the limit has that many before it. Only the others, at most ``limit``
+    times ``salts`` per slot, are ranked together.
     """
-    slot = [*client, "window"]
-    order = [seconds, row_id]
-    shared = (requests.withColumn("window", F.floor(F.col(seconds) / window))
-              .withColumn("_share", F.pmod(F.xxhash64(row_id), F.lit(salts)))
-              .withColumn("_rank", F.row_number().over(
-                  Window.partitionBy(*slot, "_share").orderBy(*order))))
-    # candidates of a window meet in share -1; sure rejects stay where they are
+    shares = Window.partitionBy(*slot, "_share").orderBy(*order)
+    shared = (requests.withColumn("_share", F.pmod(F.xxhash64(row_id), F.lit(salts)))
+              .withColumn("_rank", F.row_number().over(shares)))
+    # possible admissions of a slot meet in share -1; the others stay where they are
     placed = shared.withColumn("_share", F.when(F.col("_rank") <= limit, -1).otherwise(F.col("_share")))
-    final = F.row_number().over(Window.partitionBy(*slot, "_share").orderBy(*order))
-    return (placed.withColumn("_final", final)
-            .withColumn("rejected", (F.col("_share") >= 0) | (F.col("_final") > limit))
-            .drop("_share", "_rank", "_final"))
+    return (placed.withColumn("_rank", F.row_number().over(shares))
+            .withColumn("rank", F.when(F.col("_share") < 0, F.col("_rank")))
+            .drop("_share", "_rank"))
+
+
+def rejected_requests(requests: DataFrame, client: list[str], seconds: str, row_id: str,
+                      limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS,
+                      salts: int = 32) -> DataFrame:
+    """Marks requests beyond the limit of their client and fixed window, in order of arrival."""
+    placed = requests.withColumn("window", F.floor(F.col(seconds) / window))
+    ranked = rank_in_window(placed, [*client, "window"], [seconds, row_id], row_id, limit, salts)
+    return (ranked.withColumn("rejected", F.coalesce(F.col("rank") > limit, F.lit(True)))
+            .drop("rank"))
 
 
 def limit_summary(requests: DataFrame, client: list[str], seconds: str, limit: int = REQUEST_LIMIT,

@@ -182,17 +182,23 @@ def policy_rows(spark: SparkSession, registry: Registry = REGISTRY) -> DataFrame
     return spark.createDataFrame(rows, POLICY_CHECKS)
 
 
-def policy_summary(spark: SparkSession, registry: Registry = REGISTRY) -> DataFrame:
-    """One row per policy: description, number of checks and their names in order."""
+def policy_summary(spark: SparkSession, registry: Registry, models: dict[str, str]) -> DataFrame:
+    """One row per policy: description, number of checks, their names and their loaded models in order."""
     rows = [
         (p.name, p.description, len(p.checks), ",".join(c.validator for c in p.checks),
-         ",".join(m for c in p.checks for m in MODEL_OPTIONS.get(c.validator, [])))
+         ",".join(models[c.validator] for c in p.checks if c.validator in models))
         for p in registry.values()
     ]
     return spark.createDataFrame(
         rows, "guardrail string, description string, n_validators int, validators string, models string")
 
 
+def model_options(spark: SparkSession) -> DataFrame:
+    """The models each validator can be backed by, as a table to choose plug-ins from."""
+    rows = [(validator, model) for validator, models in MODEL_OPTIONS.items() for model in models]
+    return spark.createDataFrame(rows, "validator string, model string")
+
+
 def registry_drift(spark: SparkSession, first: Registry = SERVICE, second: Registry = CONFIG) -> DataFrame:
     """Checks that only one registry has, or that both have with other parameters."""
     left, right = policy_rows(spark, first), policy_rows(spark, second)

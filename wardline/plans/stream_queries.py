@@ -12,7 +12,7 @@ from wardline.plans import policies, sql
 from wardline.plans.catalog import query
 from wardline.plans.text_queries import texts
 from wardline.schemas import DOCUMENTS, EVENTS
-from wardline.session import ship_package
+from wardline.session import scratch_dir, ship_package
 from wardline.sources import tables
 from wardline.streaming import jobs
 
@@ -60,6 +60,17 @@ def stream_rate_limit(spark, folder):
                       F.col("rejected").cast("long").alias("rejected"))
 
 
+@query("""WITH r AS (SELECT event_id, epoch_us(ts) // 1000000 // 3600 AS "window", row_number() OVER (
+                        PARTITION BY event_type, epoch_us(ts) // 1000000 // 3600 ORDER BY epoch_us(ts) // 1000000, event_id) AS k FROM events)
+          SELECT event_id, "window", k > 2 AS rejected FROM r""")
+def stream_rejections(spark, folder):
+    """Which requests are beyond two per endpoint and hour, decided as they arrive."""
+    arriving = _event_stream(spark, folder).select(
+        "event_id", "event_type", F.floor(F.unix_micros("ts") / cache.SECOND).alias("second"))
+    return jobs.limit_requests(arriving, ["event_type"], "second", "event_id", scratch_dir(spark, "stream-rejections"),
+                               limit=2, window=3600, keep_seconds=86400).select("event_id", "window", "rejected")
+
+
 @query("""WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh
                      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS session FROM g),
@@ -109,8 +120,9 @@ def word_list_model():
 def model_plugin(spark, folder):
     """A Python model as toxicity scorer; texts it cannot read fail closed."""
     ship_package(spark)
-    scored = texts(spark, folder).withColumn(
-        "m", plugins.model_scores(F.col("text"), "word-list", word_list_model))
+    models = plugins.ModelRegistry()
+    models.register("words", "word-list", word_list_model)
+    scored = texts(spark, folder).withColumn("m", models.scores(F.col("text"), "words", "word-list"))
     docs = scored.select("doc_id", "text", scorers.toxicity_of_labels(F.col("m.labels")).alias("s"),
                          F.col("m.error").alias("e"))
     known = VALIDATORS.with_validator(toxicity_validator(scorers.ScoreColumns("s", "word-list-1", "e")))

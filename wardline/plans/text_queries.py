@@ -268,20 +268,29 @@ def gazetteer_entities(spark, folder):
 @query(f"""WITH {sql.POLICIES}, r AS (SELECT {sql.REQUESTED} AS requested FROM documents),
     u AS (SELECT CASE WHEN requested = 'unlisted' THEN 'default' ELSE requested END AS g, count(*) AS n
           FROM r GROUP BY 1)
-    SELECT guardrail, CAST(2 + CASE WHEN sent_thr IS NULL THEN 0 ELSE 1 END
+    SELECT guardrail, CASE guardrail WHEN 'default' THEN 'Default guardrail with basic NLP validation'
+             WHEN 'strict' THEN 'Strict content moderation' WHEN 'permissive' THEN 'Permissive content validation'
+             WHEN 'batch_optimized' THEN 'Optimized for batch processing'
+             WHEN 'content_moderation' THEN 'Comprehensive content moderation'
+             WHEN 'customer_service' THEN 'Guardrails for customer service applications' END AS description,
+           CAST(2 + CASE WHEN sent_thr IS NULL THEN 0 ELSE 1 END
              + CASE WHEN pii_act IS NULL THEN 0 ELSE 1 END + CASE WHEN skipped = '' THEN 0 ELSE 1 END AS INT)
              AS n_validators,
            concat_ws(',', 'length_check', 'toxicity_check', CASE WHEN sent_thr IS NOT NULL THEN 'sentiment_check' END,
                      CASE WHEN pii_act IS NOT NULL THEN 'pii_detection' END, CASE WHEN skipped <> '' THEN skipped END)
-             AS validators, coalesce(n, 0) AS texts
+             AS validators,
+           concat_ws(',', 'lexicon-toxicity-1', CASE WHEN sent_thr IS NOT NULL THEN 'lexicon-sentiment-1' END,
+                     CASE WHEN pii_act IS NOT NULL THEN 'pattern-pii-1' END) AS models,
+           300 AS default_ttl, coalesce(n, 0) AS texts
     FROM p LEFT JOIN u ON g = guardrail""")
 def policy_listing(spark, folder):
-    """All policies, their validators, and how many documents resolve to each."""
+    """All policies, their validators and models, and how many documents resolve to each."""
     used = (tables.documents(spark, folder)
             .groupBy(policies.resolved_guardrail(requested_guardrail()).alias("guardrail"))
             .agg(F.count(F.lit(1)).alias("n")))
-    return (policies.policy_summary(spark).join(used, "guardrail", "left")
-            .select("guardrail", "n_validators", "validators", F.coalesce("n", F.lit(0)).alias("texts")))
+    return (policies.policy_summary(spark, policies.REGISTRY, {n: v.version for n, v in VALIDATORS.items() if v.version}).join(used, "guardrail", "left")
+            .select("guardrail", "description", "n_validators", "validators", "models",
+                    F.lit(policies.DEFAULT_CACHE_TTL).alias("default_ttl"), F.coalesce("n", F.lit(0)).alias("texts")))
 
 
 @query(f"""SELECT {sql.REQUESTED} AS requested, CASE WHEN {sql.REQUESTED} = 'unlisted' THEN 'default'
