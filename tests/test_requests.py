@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,8 +90,20 @@ def test_store_partitions_are_pruned(spark):
     assert "PartitionFilters: [isnotnull(expires_on" in live._jdf.queryExecution().toString()
 
 
-def test_scratch_folder_is_the_shared_one(spark):
+def test_scratch_folder_is_the_shared_one(spark, shared):
     assert scratch_dir(spark, "a") != scratch_dir(spark, "a")
+    assert scratch_dir(spark, "a").startswith(f"{shared}/a-")
+
+
+@pytest.mark.parametrize("master, allowed", [("local[4]", True), ("yarn", False)])
+def test_only_local_sessions_may_leave_it_unset(master, allowed):
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default),
+                           sparkContext=SimpleNamespace(master=master))
+    if allowed:
+        assert "wardline-" in scratch_dir(bare, "a")
+    else:
+        with pytest.raises(RuntimeError):
+            scratch_dir(bare, "a")
 
 
 def test_documents_scan_reads_only_needed_columns(spark, data):

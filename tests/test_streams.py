@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import scorers
@@ -112,19 +111,3 @@ def test_trained_scorer_tells_its_training_texts_apart(spark):
     scored = plugins.trained_scores(model, df)
     assert scored.where((F.col("score") > 0.5) != (F.col("toxic") == 1)).count() == 0
     assert scored.columns == ["text", "toxic", "score"]
-
-
-@pytest.mark.parametrize("conf", ["spark.checkpoint.dir"])
-def test_cluster_must_name_a_shared_folder(spark, conf, monkeypatch):
-    from wardline import session
-
-    class Elsewhere:
-        master = "yarn"
-
-    class FakeSpark:
-        conf = spark.conf
-        sparkContext = Elsewhere()
-
-    if spark.conf.get(conf, None) is None:
-        with pytest.raises(RuntimeError):
-            session.scratch_dir(FakeSpark(), "x")

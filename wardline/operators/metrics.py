@@ -26,7 +26,7 @@ MEDIUM_CONFIDENCE, HIGH_CONFIDENCE = 0.5, 0.8
 
 def exact_sum(value: Column) -> Column:
     """Sum of a measurement that does not depend on the order of the rows: in decimals of nano units."""
-    return F.sum(value.cast("decimal(18,9)")).cast("double")
+    return F.sum(value.cast("decimal(28,9)")).cast("double")
 
 
 def position(at: Column, row_id: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,40 +10,45 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
                     steps_per_octave: int = 1024) -> DataFrame:
     """Interpolated quantiles, one row per group and probability: ``by..., probability, quantile``.
 
-    Equal values are counted first. The different values are then ranked inside narrow value ranges
-    (a fixed number per doubling), and a small table of range totals gives the rank each range starts
-    at. So a group that holds a third of all rows is ranked by many tasks, unlike a percentile
-    aggregate, which keeps a group's values in one. The two order statistics around each quantile are
+    Rows are counted per group and narrow value range (a fixed number per doubling), which shrinks them
+    before the shuffle. The range totals say in which ranges the two order statistics around each
+    quantile lie. A second scan keeps the rows of those ranges only, counts equal values and ranks the
+    different ones. So a group that holds a third of all rows needs no more than its few ranges in one
+    task, unlike a percentile aggregate, which keeps all its values. The neighbouring values are
     interpolated linearly, which is the usual inclusive definition.
     """
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     # monotone in the value: negative values mirror the positive ones, zero lies between
     magnitude = F.floor(F.log2(F.abs("_v")) * steps_per_octave) + F.lit(2_000 * steps_per_octave)
-    ranged = counts.withColumn("_range", F.when(F.col("_v") == 0, F.lit(0)).otherwise(
+    ranged = values.withColumn("_range", F.when(F.col("_v") == 0, F.lit(0)).otherwise(
         magnitude * F.signum("_v")).cast("long"))
-    totals = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_total"))
     group = Window.partitionBy(*by)
-    starts = totals.select(
-        *[F.col(c).alias(f"_s_{c}") for c in by], F.col("_range").alias("_s_range"),
-        (F.sum("_total").over(group.orderBy("_range")) - F.col("_total")).alias("_before"),
-        F.sum("_total").over(group).alias("_rows"))
-    inside = Window.partitionBy(*by, "_range").orderBy("_v")
-    same = F.col("_range") == F.col("_s_range")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    ranked = (ranged.join(starts, same)
-              .withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
-              .withColumn("_first", F.col("_last") - F.col("_n") + 1))
+    totals = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_total"))
+    ranges = totals.withColumns({
+        "_end": F.sum("_total").over(group.orderBy("_range")), "_rows": F.sum("_total").over(group)})
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     exact = F.col("probability") * (F.col("_rows") - 1)
-    low, high = F.floor(exact), F.ceil(exact)
-    hit = ((low >= F.col("_first")) & (low <= F.col("_last"))) | (
-        (high >= F.col("_first")) & (high <= F.col("_last")))
-    around = (ranked.withColumn("probability", wanted)
-              .withColumn("_exact", exact).where(hit)
-              .groupBy(*by, "probability")
-              .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_exact").alias("_exact")))
+    start = F.col("_end") - F.col("_total")
+
+    def within(first: Column, last: Column) -> Column:
+        low, high = F.floor("_exact"), F.ceil("_exact")
+        return low.between(first, last) | high.between(first, last)
+
+    targets = (ranges.withColumn("probability", wanted).withColumn("_exact", exact)
+               .where(within(start, F.col("_end") - 1))
+               .select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_range").alias("_t_range"),
+                       "probability", "_exact", start.alias("_before")))
+    same = F.col("_range") == F.col("_t_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    slot = [*by, "_range", "probability"]
+    counted = (ranged.join(targets, same)
+               .groupBy(*slot, "_exact", "_before", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    last = F.col("_before") + F.sum("_n").over(Window.partitionBy(*slot).orderBy("_v")) - 1
+    around = (counted.withColumn("_last", last)
+              .where(within(F.col("_last") - F.col("_n") + 1, F.col("_last")))
+              .groupBy(*by, "probability", "_exact")
+              .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     share = F.col("_exact") - F.floor("_exact")
     return around.select(*by, "probability",
                          (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("quantile"))

@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: str | None = None
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "wardline", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,7 +58,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers; needed once per session by model plug-ins."""
     context = spark.sparkContext
-    if getattr(context, "_wardline_shipped", False):
+    if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="wardline-zip-"), "wardline.zip")
@@ -68,7 +69,7 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, file)
                     out.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(archive)
-    context._wardline_shipped = True
+    _shipped.add(context.applicationId)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
