@@ -13,6 +13,8 @@ import duckdb
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
 
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -43,12 +45,10 @@ def difference(con, frame, statement: str) -> str | None:
     expected = Counter(tuple(_plain(row[i]) for i in at) for row in expected_rows)
     rows = frame.select(*[f"`{name}`" for name in order]).collect()
     actual = Counter(tuple(_plain(value) for value in row) for row in rows)
-    types = {name: str(column[1]) for name, column in zip(names, result.description)}
+    types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {statement}").fetchall()}
     for name in order:
-        spark, duck = kinds[name], types[name]
-        if (spark in ("bigint", "int") and duck not in ("BIGINT", "INTEGER", "NUMBER")) or (
-                spark == "double" and duck not in ("DOUBLE", "NUMBER")):
-            return f"type of {name}: {spark} != {duck}"
+        if TYPES.get(kinds[name]) != types[name]:
+            return f"type of {name}: {kinds[name]} != {types[name]}"
     if expected != actual:
         missing, extra = list((expected - actual).items())[:3], list((actual - expected).items())[:3]
         return f"{len(rows)} rows, SQL {len(expected_rows)}\n  only SQL   {missing}\n  only Spark {extra}"

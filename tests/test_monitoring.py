@@ -75,7 +75,7 @@ def test_rejected_requests(spark, limit, window, salts):
     assert summary.agg(F.sum("rejected")).first()[0] == sum(wanted.values())
 
 
-def test_reference_burst_is_limited(spark):
+def test_burst_of_120_is_limited(spark):
     df = spark.range(120).select("id", F.lit("one").alias("client"), F.lit(5).alias("second"))
     assert ratelimit.rejected_requests(df, ["client"], "second", "id").where("rejected").count() == 20
 

@@ -14,7 +14,7 @@ from wardline.sources import logs, sinks, tables
 
 @pytest.mark.parametrize("text, ttl, reason", [
     ("hello", None, None), ("hello", 0, None), ("hello", 3600, None), ("x" * 50000, None, None),
-    ("", None, "empty_text"), ("   \n\t   ", None, "blank_text"), ("  　", None, "blank_text"),
+    ("", None, "empty_text"), ("   \n\t   ", None, "blank_text"), ("\u00a0\u2003\u3000", None, "blank_text"),
     ("abcdefghijklmnopqrstuvwxyz" * 10000, None, "text_too_long"), (" " * 50001, None, "text_too_long"),
     (None, None, "missing_text"), ("hello", 3601, "ttl_out_of_range"), ("hello", -1, "ttl_out_of_range")])
 def test_admission(spark, text, ttl, reason):
@@ -24,7 +24,7 @@ def test_admission(spark, text, ttl, reason):
     assert admission.accepted(out).count() + admission.quarantined(out).count() == 1
 
 
-@pytest.mark.parametrize("text", ["  a b ", " a ", "\x1fa\x85", "a", "\ta\n\n", "​a"])
+@pytest.mark.parametrize("text", ["  a b ", "\u00a0a\u2028", "\x1fa\x85", "a", "\ta\n\n", "\u200ba"])
 def test_accepted_text_is_stripped_like_python(spark, text):
     df = spark.createDataFrame([(text,)], "text string")
     assert admission.accepted(admission.screened(df)).first()["text"] == text.strip()
