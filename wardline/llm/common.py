@@ -15,7 +15,8 @@ from wardline.session import scratch_dir, ship_package
 
 SPACE = " \t\n\x0b\x0c\r"  # the characters that part words
 
-MAX_BATCH_ROWS = 2_000  # texts a Python worker holds at once
+MAX_BATCH_ROWS = 2_000        # rows a Python worker works on at once,
+MAX_BATCH_BYTES = 16_000_000  # and bytes, unless a single row has more
 
 
 class Scratch:
@@ -42,21 +43,23 @@ class Scratch:
 
 
 def over_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function to the Arrow batches of a table, a bounded number of rows at a time."""
+    """Apply a function to the Arrow batches of a table, a bounded part of a batch at a time."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, MAX_BATCH_ROWS):
-                yield function(batch.slice(at, MAX_BATCH_ROWS))
+            at, size = 0, max(1, batch.nbytes)
+            while at < batch.num_rows:
+                rows = min(MAX_BATCH_ROWS, batch.num_rows - at)
+                if size > MAX_BATCH_BYTES:
+                    while rows > 1 and batch.slice(at, rows).nbytes > MAX_BATCH_BYTES:
+                        rows = (rows + 1) // 2
+                yield function(batch.slice(at, rows))
+                at += rows
 
     return df.mapInArrow(run, schema)
 
 
-def batch_of(schema: str | pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The words of a batch, one after the other, and where each text's words begin (one entry more).
 
@@ -93,6 +96,13 @@ def ascii_lower(text: Column) -> Column:
             .otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
 
 
+def joined_spans(spans: str, kinds: tuple[str, ...]) -> Column:
+    """kind:start:end of an array of (start, kind, end), comma-joined; the kind is a place in ``kinds``."""
+    names = F.array(*[F.lit(kind) for kind in kinds])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
     """(node, label) of every node that has an edge; the label is the smallest node reachable.
 

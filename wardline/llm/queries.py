@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import simhash
+from wardline.llm import leaks, lines, pii, secrets, simhash, tokens, vectors
+from wardline.llm.common import joined_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,3 +31,70 @@ def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, folder))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@_query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document, those that go, and a hash of what stays."""
+    found = lines.deduplicated(_documents(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"),
+                        F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op7_line_dedup"] = """
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
+    k AS (SELECT doc_id, pos, line,
+                 translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10
+          GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first < doc_id) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (coalesce(first >= doc_id, true)), ''))
+               AS kept_sha256
+    FROM k LEFT JOIN f USING (key) GROUP BY doc_id"""
+
+
+@_query
+def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and representative of every vector."""
+    found = vectors.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@_query
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items every document overlaps, and its longest overlap."""
+    found = leaks.leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select(
+        F.col("id").alias("doc_id"), (F.size("spans") > 0).alias("contaminated"), F.col("items").alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["words"])), F.lit(0)).cast("long").alias("longest"))
+
+
+@_query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: base spans by kind, and all spans with those the battery adds."""
+    found = secrets.secrets(_documents(spark, folder))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select(F.col("id").alias("doc_id"), *counts,
+                        F.sha2(joined_spans("base", secrets.KINDS), 256).alias("base_sha256"),
+                        joined_spans("found", secrets.KINDS).alias("spans"))
+
+
+@_query
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: base spans by kind, and all spans with those contexts add."""
+    found = pii.personal_data(_documents(spark, folder))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS[:4])]
+    return found.select(F.col("id").alias("doc_id"), *counts,
+                        F.sha2(joined_spans("base", pii.KINDS), 256).alias("base_sha256"),
+                        joined_spans("found", pii.KINDS).alias("spans"))
+
+
+@_query
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and tokens of every document."""
+    found = tokens.token_counts(_documents(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), F.col("words").alias("n_words"), F.col("tokens").alias("n_tokens"))
