@@ -78,17 +78,21 @@ def _valid(kind: str, value: Column) -> Column:
             "^([0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":
         digits = F.regexp_replace(value, "[ -]", "")
-        return F.length(digits).between(12, 19) & F.luhn_check(digits)
+        return F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(F.regexp_replace(value, "[^0-9]", "")).between(9, 15)
     return F.lit(True)
 
 
+def _valid_spans(number: int, kind: str) -> Column:
+    return F.transform(F.filter(kind, lambda s: _valid(kind, s["value"])), lambda s: F.struct(
+        s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
+        s["left"].alias("left")))
+
+
 def base_and_tokens(found: DataFrame) -> DataFrame:
     """(row, id, base, tokens): valid matches as (start, kind, end, value, left), and trimmed digit words."""
-    base = [F.transform(F.filter(kind, lambda s, kind=kind: _valid(kind, s["value"])), lambda s, n=n: F.struct(
-        s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-        s["left"].alias("left"))) for n, kind in enumerate(KINDS[:4])]
+    base = [_valid_spans(n, kind) for n, kind in enumerate(KINDS[:4])]
     trimmed = F.transform("token", lambda s: F.struct(
         (s["start"] + F.length(F.regexp_extract(s["value"], "^[^A-Za-z0-9]*+", 0))).alias("start"), F.lit(4).alias("kind"),
         (s["end"] - F.length(F.regexp_extract(s["value"], "(?<![^A-Za-z0-9])[^A-Za-z0-9]*+$", 0))).alias("end"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import leaks, lines, pii, secrets, simhash, tokens, vectors
@@ -25,6 +25,16 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _counts(kinds: tuple[str, ...]) -> list[Column]:
+    """Numbers of base spans by kind."""
+    return [F.size(F.filter("base", _is_kind(number))).cast("long").alias(f"n_{kind}")
+            for number, kind in enumerate(kinds)]
+
+
+def _is_kind(number: int) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == number
+
+
 @_query
 def op6_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
@@ -75,8 +85,7 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: base spans by kind, and all spans with those the battery adds."""
     found = secrets.secrets(_documents(spark, folder))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(secrets.KINDS[:3])]
+    counts = _counts(secrets.KINDS[:3])
     return found.select(F.col("id").alias("doc_id"), *counts,
                         F.sha2(joined_spans("base", secrets.KINDS), 256).alias("base_sha256"),
                         joined_spans("found", secrets.KINDS).alias("spans"))
@@ -86,8 +95,7 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document: base spans by kind, and all spans with those contexts add."""
     found = pii.personal_data(_documents(spark, folder))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(pii.KINDS[:4])]
+    counts = _counts(pii.KINDS[:4])
     return found.select(F.col("id").alias("doc_id"), *counts,
                         F.sha2(joined_spans("base", pii.KINDS), 256).alias("base_sha256"),
                         joined_spans("found", pii.KINDS).alias("spans"))

@@ -100,7 +100,7 @@ def blocks(entered: DataFrame, scratch: Scratch, block_rows: int = BLOCK_ROWS) -
 
 def compared(dealt: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(node, other, links): edges that join what is linked, and the links of each vector in each block pair."""
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = key[2], key[3], key[4]
         u = np.stack(rows["u"].to_numpy())
         node, n, home = (rows[c].to_numpy() for c in ("node", "n", "home"))
