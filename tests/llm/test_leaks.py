@@ -60,9 +60,9 @@ def test_equals_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, [x for x in items if x[0] is not None])
     for block_words in (150, 10**6):
-        got = {r["id"]: r for r in leaks.leaks(frame, bench, block_words=block_words, piece_words=200).collect()}
-        assert {d: set(r["items"]) for d, r in got.items()} == want
-        assert all(s["equal"] >= .8 * s["words"] for r in got.values() for s in r["spans"])
+        got = {r["doc_id"]: r for r in leaks.leaks(frame, bench, block_words=block_words, piece_words=200).collect()}
+        assert {d: set(r["_items"]) for d, r in got.items()} == want
+        assert all(s["equal"] >= .8 * s["words"] for r in got.values() for s in r["_spans"])
 
 
 def test_long_items_are_compared_in_pieces(spark):
@@ -71,11 +71,11 @@ def test_long_items_are_compared_in_pieces(spark):
     docs = [(i, " ".join(rng.choices(["x", "y"], k=9) + long[at:at + 14])) for i, at in enumerate((0, 90, 197, 3111, 4986))]
     bench = spark.createDataFrame([(1, " ".join(long))], "item_id long, text string")
     got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench, piece_words=200).collect()
-    assert all(r["items"] == [1] and max(s["words"] for s in r["spans"]) == 14 for r in got)
+    assert all(r["_items"] == [1] and max(s["words"] for s in r["_spans"]) == 14 for r in got)
 
 
 def test_without_items_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
-    assert [r["items"] for r in leaks.leaks(docs, none).collect()] == [[], [], []]
+    assert [r["_items"] for r in leaks.leaks(docs, none).collect()] == [[], [], []]
     assert leaks.leaks(docs.limit(0), none).collect() == []

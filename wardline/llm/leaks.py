@@ -129,45 +129,47 @@ def pieces(benchmark: DataFrame, id_col: str, text_col: str, piece_words: int, o
     return cut.select("item", "words", F.array_join(F.expr(f"slice(w, at + 1, {piece_words})"), " ").alias("text"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS,
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
+          item_text: str = "text", carry: list[str] | None = None, min_words: int = MIN_WORDS,
           masks: tuple[str, ...] = MASKS, block_words: int = BLOCK_WORDS,
           piece_words: int = PIECE_WORDS) -> DataFrame:
-    """(id, items, spans): what each document shares with benchmark items, one row per input row.
+    """The rows of ``docs``, or their columns ``carry``, with what each text shares with benchmark items.
 
-    ``items`` lists the item ids in order, ``spans`` the overlaps as (item, start, words, equal) in words.
+    ``_items`` lists the item ids in order, ``_spans`` the overlaps as (item, start, words, equal) in words.
     Tokens are runs of characters other than ASCII white space, A-Z in lower case. Masks hash chosen places
     of a window; equal hashes of a document and an item give a diagonal, along which the longest span with
     at least 80 % equal tokens is taken, reported from ``min_words`` words on (an item of fewer words: whole).
     The benchmark is measured and sent in blocks of a bounded size; documents are scanned once per block, and
     nothing of them is shuffled. Null or empty texts share nothing, items without an id or text are left out;
-    rows that repeat stay rows; without items every list is empty.
+    rows that repeat stay rows; without items every list is empty; other columns pass through.
     """
+    carry = docs.columns if carry is None else carry
     cut = pieces(benchmark, item_id, item_text, piece_words, max(max(map(len, masks)), min_words) * 8)
     total = cut.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()[0]
     count = max(1, math.ceil(total / block_words))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.array().cast(SPANS).alias("spans"))
+    rows = docs.select(*carry, F.col(text_col).cast("string").alias("_text"), F.array().cast(SPANS).alias("_spans"))
     for n in range(count):
         own = cut.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == n).collect()
         block = Block([(r["item"], r["words"], r["text"]) for r in own], masks, min_words)
         rows = _scanned(rows, docs.sparkSession.sparkContext.broadcast(block), last=n == count - 1)
-    return rows.select("id", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"]))).alias("items"),
-                       F.array_sort("spans").alias("spans"))
+    return (rows.withColumn("_items", F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["item"]))))
+            .withColumn("_spans", F.array_sort("_spans")))
 
 
 def _scanned(rows: DataFrame, block: Broadcast, last: bool) -> DataFrame:
-    """The rows with a block's overlaps added to ``spans``; the text goes with the last block."""
+    """The rows with a block's overlaps added to ``_spans``; ``_text`` goes with the last block."""
     kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int32()), ("words", pa.int32()),
                                ("equal", pa.int32())]))
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, starts = split_words(batch.column(1))
-        spans = batch.column(2).to_pylist()
+        *carried, texts, before = batch.columns
+        values, starts = split_words(texts)
+        spans = before.to_pylist()
         for text, *span in block.value.overlaps(word_hashes(values), starts):
             spans[text].append(dict(zip(("item", "start", "words", "equal"), span)))
-        kept = [batch.column(0)] if last else [batch.column(0), batch.column(1)]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(spans, kind)],
-                                          names=["id", "spans"] if last else ["id", "text", "spans"])
+        names = batch.schema.names
+        return pa.RecordBatch.from_arrays([*carried, *([] if last else [texts]), pa.array(spans, kind)],
+                                          names=[n for n in names if not (last and n == "_text")])
 
-    return over_batches(rows, scan, f"id long, {'' if last else 'text string, '}spans {SPANS}")
+    schema = rows.drop("_text").schema if last else rows.schema
+    return over_batches(rows, scan, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import leaks, lines, pii, secrets, simhash, tokens, vectors
+from wardline.llm import leaks, lines, mixing, pii, quality, secrets, simhash, tokens, vectors
 from wardline.llm.common import joined_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,10 +75,10 @@ def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark items every document overlaps, and its longest overlap."""
-    found = leaks.leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
-    return found.select(
-        F.col("id").alias("doc_id"), (F.size("spans") > 0).alias("contaminated"), F.col("items").alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("spans", lambda s: s["words"])), F.lit(0)).cast("long").alias("longest"))
+    found = leaks.leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), carry=["doc_id"])
+    longest = F.array_max(F.transform("_spans", lambda s: s["words"]))
+    return found.select("doc_id", (F.size("_spans") > 0).alias("contaminated"), F.col("_items").alias("item_ids"),
+                        F.coalesce(longest, F.lit(0)).cast("long").alias("longest"))
 
 
 @_query
@@ -106,3 +106,72 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Words and tokens of every document."""
     found = tokens.token_counts(_documents(spark, folder))
     return found.select(F.col("id").alias("doc_id"), F.col("words").alias("n_words"), F.col("tokens").alias("n_tokens"))
+
+
+@_query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Posterior label, score and decision for every document."""
+    found = quality.classified(_documents(spark, folder).select("doc_id", "text"))
+    return found.select("doc_id", F.round("_label", 6).alias("label"), F.round("_score", 6).alias("score"),
+                        F.col("_keep").alias("keep"))
+
+
+# The production mix: shares of tokens. Source src0 is held down; topics are told by plain marks in the text.
+MIX = {
+    "source": {"src0": .10},
+    "lang": {"en": .50, "de": .18, "fr": .18, "es": .14},
+    "topic": {"legal": .08, "contact": .06, "records": .06, "prose": .80},
+}
+
+
+def _topic(text: Column) -> Column:
+    return (F.when(F.contains(text, F.lit("icense")), "legal").when(F.contains(text, F.lit("@")), "contact")
+            .when(text.rlike("[0-9]{4}"), "records").otherwise("prose"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    return mixing.mixed(docs, MIX, {"source": F.col("source"), "lang": F.col("lang"), "topic": _topic(F.col("text"))})
+
+
+@_query
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected and drawn copies of every document under the production mix."""
+    found = mixed_documents(_documents(spark, folder).select("doc_id", "text", "source", "lang"))
+    return found.select("doc_id", F.col("_tokens").alias("n_tokens"), F.round("_expected", 6).alias("expected"),
+                        F.col("_copies").alias("copies"))
+
+
+def _mixing_sql(sweeps: int = mixing.SWEEPS) -> str:
+    """Raking as one window sum per dimension and sweep."""
+    steps, last = [], "w0"
+    for n in range(sweeps):
+        for at, wanted in (("s", "ws"), ("l", "wl"), ("t", "wt")):
+            steps.append(f"{last}{at} AS (SELECT * REPLACE (w * {wanted} / sum(w) OVER (PARTITION BY {at}) AS w) "
+                         f"FROM {last})")
+            last += at
+        steps[-1] = steps[-1].replace(f"{last} AS", f"w{n + 1} AS", 1)
+        last = f"w{n + 1}"
+    present = "(SELECT sum(x) FROM (SELECT DISTINCT {0}, x{0} AS x FROM c))"
+    return f"""
+    WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n,
+                      CASE WHEN source = 'src0' THEN source ELSE 'other' END AS s,
+                      CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS l,
+                      CASE WHEN contains(text, 'icense') THEN 'legal' WHEN contains(text, '@') THEN 'contact'
+                           WHEN regexp_matches(text, '[0-9]{{4}}') THEN 'records' ELSE 'prose' END AS t
+               FROM documents),
+    c AS (SELECT s, l, t, sum(n)::DOUBLE AS tokens, CASE s WHEN 'src0' THEN 0.10::DOUBLE ELSE 0.90::DOUBLE END AS xs,
+                 CASE l WHEN 'en' THEN 0.50::DOUBLE WHEN 'de' THEN 0.18 WHEN 'fr' THEN 0.18 WHEN 'es' THEN 0.14 ELSE 0 END AS xl,
+                 CASE t WHEN 'legal' THEN 0.08::DOUBLE WHEN 'contact' THEN 0.06 WHEN 'records' THEN 0.06 ELSE 0.80 END AS xt
+          FROM d GROUP BY s, l, t HAVING sum(n) > 0),
+    w0 AS (SELECT s, l, t, tokens, tokens AS w, xs / {present.format('s')} AS ws, xl / {present.format('l')} AS wl,
+                  xt / {present.format('t')} AS wt FROM c),
+    {", ".join(steps)},
+    f AS (SELECT s, l, t, w * sum(tokens) OVER () / sum(w) OVER () / tokens AS expected FROM {last}),
+    e AS (SELECT doc_id, n, CASE WHEN n > 0 THEN coalesce(expected, 0) ELSE 0 END AS expected,
+                 ('0x' || substr(md5('7:' || doc_id), 1, 12))::UBIGINT / 281474976710656.0::DOUBLE AS u
+          FROM d LEFT JOIN f USING (s, l, t))
+    SELECT doc_id, n AS n_tokens, round(expected, 6) AS expected,
+           CAST(floor(expected) AS BIGINT) + CAST(u < expected - floor(expected) AS BIGINT) AS copies FROM e"""
+
+
+ORACLE["op1_source_mixing"] = _mixing_sql()
