@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import leaks, lines, mixing, pii, quality, secrets, simhash, tokens, vectors
+from wardline.llm import leaks, lines, mixing, passages, pii, quality, secrets, simhash, tokens, vectors
 from wardline.llm.common import joined_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,15 @@ def _mixing_sql(sweeps: int = mixing.SWEEPS) -> str:
 
 
 ORACLE["op1_source_mixing"] = _mixing_sql()
+
+
+@_query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated passages of every document, those with an earlier copy and those that others repeat."""
+    found = passages.repeated_passages(_documents(spark, folder))
+    spans = F.array_join(F.transform("later", lambda s: F.concat_ws(
+        ":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    words = F.aggregate("later", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), F.size("later").cast("long").alias("n_later"),
+                        F.size("first").cast("long").alias("n_first"), words.alias("repeated_words"),
+                        spans.alias("later_spans"), F.col("sources").alias("source_ids"))
