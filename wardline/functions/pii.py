@@ -23,6 +23,8 @@ REDACTION_LABELS = {
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9]{0,2} ?\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
 
+NAMES = "array<struct<label:string,name:string>>"  # what a recognizer finds in a text
+
 # Unicode noncharacters, which no text interchanges: they mark where an entity starts, where its
 # e-mail part ends, and where it ends
 _START, _MIDDLE, _END = "\ufdd0", "\ufdd1", "\ufdd2"
@@ -62,6 +64,28 @@ def pii_entities(text: Column) -> Column:
     return F.when(has_pii(text), found).otherwise(F.array().cast("array<string>"))
 
 
+def with_names(text: Column, patterns: Column, names: Column) -> Column:
+    """Pattern entities and recognized names, ``LABEL: entity``, in text order.
+
+    ``names`` is an array of structs (label, name); names that do not stand in the text are left out.
+    """
+    def placed(entity: Column, value: Column) -> Column:
+        return F.struct(F.position(value, text).alias("at"), entity.alias("entity"))
+
+    found = F.transform(patterns, lambda e: placed(e, F.substring(e, F.position(F.lit(": "), e) + 2, F.length(e))))
+    named = F.transform(F.filter(F.coalesce(names, F.array().cast(NAMES)), lambda n: F.contains(text, n["name"])),
+                        lambda n: placed(F.concat(n["label"], F.lit(": "), n["name"]), n["name"]))
+    return F.transform(F.array_sort(F.concat(found, named)), lambda e: e["entity"])
+
+
+def names_redacted(text: Column, names: Column, friendly: bool = False) -> Column:
+    """The text with every recognized name replaced by its tag, longer names first."""
+    by_length = F.array_sort(F.transform(F.coalesce(names, F.array().cast(NAMES)), lambda n: F.struct(
+        (-F.length(n["name"])).alias("order"), n["name"].alias("name"), n["label"].alias("label"))))
+    return F.aggregate(by_length, text, lambda t, n: F.replace(
+        t, n["name"], redaction_tag_column(n["label"], friendly)))
+
+
 def pii_redacted(text: Column, friendly: bool = False, found: Column | None = None) -> Column:
     """The text with every entity replaced by its tag.
 

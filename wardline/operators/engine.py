@@ -7,6 +7,7 @@ place: neither fans rows out nor groups them back.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 from operator import or_
 
@@ -56,7 +57,14 @@ def judged(df: DataFrame, check: CheckSpec, text: str = "text",
            validators: ValidatorSet = VALIDATORS) -> Outcome:
     """Outcome of one check over a measured table."""
     params = Params(F.col(text), F.lit(check.max_length).cast("int"), F.lit(check.threshold).cast("double"))
-    return validators[check.validator].judge(_measures(df, check.validator), params)
+    return _closed(check.validator, F.col(text), validators[check.validator].judge(_measures(df, check.validator), params))
+
+
+def _closed(name: str, text: Column, outcome: Outcome) -> Outcome:
+    """A check without a text or without an outcome, as that of a NULL score, is a failed check."""
+    unknown = text.isNull() | outcome.failed.isNull()
+    return replace(outcome, failed=unknown | outcome.failed,
+                   message=F.when(unknown, F.lit(f"{name}: no result")).otherwise(outcome.message))
 
 
 def _result(name: str, outcome: Outcome, on_fail: Column, version: str | None) -> Column:
@@ -161,7 +169,7 @@ def _judge_list(df: DataFrame, text: str, validators: ValidatorSet, names: list[
         params = Params(F.col(text), check["max_length"], check["threshold"])
         chosen = F.lit(None).cast(VALIDATOR_RESULT)
         for name in names:
-            outcome = validators[name].judge(_measures(table, name), params)
+            outcome = _closed(name, F.col(text), validators[name].judge(_measures(table, name), params))
             result = _result(name, outcome, check["on_fail"], validators[name].version)
             chosen = F.when(check["validator"] == name, result.cast(VALIDATOR_RESULT)).otherwise(chosen)
         return chosen
@@ -204,12 +212,13 @@ def validate_mixed(df: DataFrame, guardrail: str = "guardrail", text: str = "tex
 
 def validate_with_table(df: DataFrame, policies: DataFrame, row_id: str, guardrail: str = "guardrail",
                         text: str = "text", validators: ValidatorSet = VALIDATORS,
-                        engine_error: str | None = None) -> DataFrame:
+                        engine_error: str | None = None, registry: Registry = REGISTRY) -> DataFrame:
     """As ``validate_mixed``, with the policies in a table (one row per check), such as one per tenant.
 
     The table is nested to one row per policy and looked up by name: broadcast when measured small,
     else by a salted join, since one policy may serve a large share of the texts. Names it does not
-    hold fall back to its ``default`` policy.
+    hold fall back to its ``default`` policy, and to that of the registry where it has none: no text
+    goes unchecked.
     """
     # one policy's checks: bounded by the number of validators, not by the texts
     nested = policies.groupBy("guardrail").agg(F.array_sort(F.collect_list(F.struct(
@@ -220,7 +229,11 @@ def validate_with_table(df: DataFrame, policies: DataFrame, row_id: str, guardra
     lookup = nested.withColumnRenamed("guardrail", "_row_guardrail").withColumn("_found", F.lit(True))
     joined = lookup_join(requests, lookup, ["_row_guardrail"], row_id)
     checks = F.col("_all")
-    chosen = joined.withColumn("_all", F.coalesce("_all", default.scalar())).withColumns({
+    built_in = F.array(*[F.struct(F.lit(pos).alias("pos"), F.lit(c.validator).alias("validator"),
+                                  F.lit(c.max_length).alias("max_length"), F.lit(c.threshold).alias("threshold"),
+                                  F.lit(c.on_fail).alias("on_fail"))
+                         for pos, c in enumerate(registry[DEFAULT_POLICY].checks)]).cast(nested.schema["_all"].dataType)
+    chosen = joined.withColumn("_all", F.coalesce("_all", default.scalar(), built_in)).withColumns({
         "resolved_guardrail": F.when(F.col("_found"), F.col("_row_guardrail")).otherwise(DEFAULT_POLICY),
         "_checks": F.filter(checks, lambda c: c["validator"].isin(*known_names)),
         "skipped_validators": F.transform(

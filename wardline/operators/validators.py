@@ -8,7 +8,7 @@ policies are applied. Judging compares the measured columns with parameters.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ def _fail_closed(measures: Measures, subject: str, outcome: Outcome) -> Outcome:
         F.when(error.isNotNull(), F.lit(True)).otherwise(outcome.failed),
         F.when(error.isNotNull(), F.concat(F.lit(f"{subject} validation error: "), error))
         .otherwise(outcome.message),
-        F.when(error.isNull(), outcome.confidence),
+        None if outcome.confidence is None else F.when(error.isNull(), outcome.confidence),
     )
 
 
@@ -111,19 +111,42 @@ def sentiment_check(scorer=LexiconSentiment()) -> Validator:
     return Validator("sentiment_check", _score_measures(scorer), judge, scorer.version)
 
 
-def pii_detection(friendly: bool = False, version: str = "pattern-pii-1") -> Validator:
+@dataclass(frozen=True)
+class NameColumns:
+    """Persons, organizations and places that another step found, from a name table or a model.
+
+    ``names`` is a column of ``pii.NAMES``; ``error_column`` says why a text could not be read.
+    """
+
+    names: str
+    version: str
+    error_column: str | None = None
+
+
+def pii_detection(friendly: bool = False, version: str = "pattern-pii-1",
+                  recognizer: NameColumns | None = None) -> Validator:
+    """Personal data by pattern and, with a recognizer, by name; an error of the recognizer fails the text."""
     def measure(text: Column) -> Measures:
-        return {"entities": pii.pii_entities(text)}
+        patterns = pii.pii_entities(text)
+        if recognizer is None:
+            return {"entities": patterns}
+        names = F.col(recognizer.names)
+        error = F.col(recognizer.error_column) if recognizer.error_column else F.lit(None).cast("string")
+        return {"entities": pii.with_names(text, patterns, names), "names": names, "error": error}
 
     def judge(measures: Measures, params: Params) -> Outcome:
         entities = measures["entities"]
         failed = F.size(entities) > 0
         found = F.concat(F.lit("PII detected: "), F.concat_ws(", ", entities))
-        redacted = F.when(failed, pii.pii_redacted(params.text, friendly, failed))
-        return Outcome(failed, F.when(failed, found).otherwise(F.lit("No PII detected")),
-                       entities=F.when(failed, entities), redacted=redacted)
-
-    return Validator("pii_detection", measure, judge, version)
+        redacted = pii.pii_redacted(params.text, friendly, failed)
+        if "names" in measures:
+            redacted = pii.names_redacted(redacted, measures["names"], friendly)
+        outcome = Outcome(failed, F.when(failed, found).otherwise(F.lit("No PII detected")),
+                          entities=F.when(failed, entities), redacted=F.when(failed, redacted))
+        closed = _fail_closed(measures, "PII", outcome)
+        return replace(closed, confidence=None, entities=outcome.entities, redacted=outcome.redacted)
+
+    return Validator("pii_detection", measure, judge, recognizer.version if recognizer else version)
 
 
 class ValidatorSet(dict[str, Validator]):
