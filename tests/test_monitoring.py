@@ -154,21 +154,23 @@ def test_canary_share(spark):
     assert 0.18 < share < 0.22
 
 
-@pytest.mark.parametrize("way", ["literals", "broadcast", "salted"])
+@pytest.mark.parametrize("way", ["broadcast", "salted"])
 def test_named_entities(spark, monkeypatch, way):
     if way == "salted":
         monkeypatch.setattr("wardline.operators.joins.is_small", lambda *a, **k: False)
-    limit = 2_000 if way == "literals" else 3
-    names = spark.createDataFrame([("John Smith", "PERSON"), ("Smith", "PERSON"), ("Acme", "ORG"), ("New York City", "GPE")],
-                                  "name string, label string")
+    names = spark.createDataFrame([
+        ("John Smith", "PERSON"), ("Smith", "PERSON"), ("Acme", "ORG"), ("New York City", "GPE"), ("Acme", "ORG"),
+        (None, "ORG"), ("Smith", None), ("O'Brien", "PERSON"), ("St. Louis", "GPE")], "name string, label string")
     texts = spark.createDataFrame([
         (1, "My name is John Smith, of Acme."), (2, "John, Smith in  New York City"), (3, "Smithsonian acme"), (4, ""),
-        (5, "New York City's John  Smith")], "id long, text string")
-    got = {r["id"]: (r["entities"], r["redacted_text"]) for r in with_entities(texts, names, "id", literal_names=limit).collect()}
+        (5, "New York City's John  Smith"),
+        (6, "St. Louis, said O'Brien"), (7, "O-Brien of St Louis")], "id long, text string")
+    got = {r["id"]: (r["entities"], r["redacted_text"]) for r in with_entities(texts, names, "id").collect()}
     assert got[1] == (["PERSON: John Smith", "PERSON: Smith", "ORG: Acme"],
                       "My name is [PERSON_REDACTED], of [ORG_REDACTED].")
     assert got[2] == (["PERSON: Smith", "GPE: New York City"], "John, [PERSON_REDACTED] in  [GPE_REDACTED]")
     assert got[3] == ([], "Smithsonian acme") and got[4] == ([], "")
     assert got[5][0] == ["GPE: New York City", "PERSON: Smith"]
+    assert got[6][0] == ["GPE: St. Louis", "PERSON: O'Brien"] and got[7][0] == []
     friendly = with_entities(texts.where("id = 2"), names, "id", friendly=True).first()["redacted_text"]
     assert friendly == "John, [PERSON_REDACTED] in  [LOCATION_REDACTED]"

@@ -154,7 +154,7 @@ def test_lookup_join_salted_equals_broadcast(spark, how):
     right = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert is_small(right) and not is_small(right, max_rows=5) and not is_small(right, max_bytes=10)
     small = lookup_join(left, right, ["k"], "id", how)
-    salted = lookup_join(left, right, ["k"], "id", how, max_rows=5)
+    salted = lookup_join(left, right, ["k"], "id", how, max_rows=5, hot_rows=20)
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.select(*small.columns).collect()), key=str)
 
 

@@ -61,11 +61,16 @@ def batch_sizes(df: DataFrame, batch_id: str = "batch_id") -> DataFrame:
             .withColumn("accepted", F.col("n_texts").between(MIN_BATCH, MAX_BATCH)))
 
 
-def broken_results(results: DataFrame) -> DataFrame:
-    """Validator results outside their contract; sound data gives no row."""
+def sound_result() -> Column:
+    """Whether a validator result keeps its contract; a field that is missing breaks it."""
     from wardline.plans.policies import ON_FAIL_ACTIONS
 
     sound = (F.col("status").isin("pass", "fail")
              & F.col("on_fail_action").isin(*ON_FAIL_ACTIONS)
              & F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(True)))
-    return results.where(~F.coalesce(sound, F.lit(False)))
+    return F.coalesce(sound, F.lit(False))
+
+
+def broken_results(results: DataFrame) -> DataFrame:
+    """Validator results outside their contract; sound data gives no row."""
+    return results.where(~sound_result())

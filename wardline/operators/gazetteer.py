@@ -13,9 +13,6 @@ from wardline.functions.arrays import computed_once, exploded
 from wardline.functions.pii import redaction_tag_column
 from wardline.operators.joins import lookup_join
 
-LITERAL_NAMES = 2_000
-
-
 def word_runs(tokens: Column) -> Column:
     """The different runs of one, two and three neighbouring words, joined by single spaces.
 
@@ -38,50 +35,35 @@ def _tokens(text: str) -> Column:
 _FOUND = "array<struct<name:string,label:string>>"
 
 
-def _found_by_literals(df: DataFrame, names: list[tuple[str, str]], text: str) -> DataFrame:
-    """Names in each text by set intersection within the row; for short name lists, without a shuffle."""
-    def listed(members: list[str]) -> Column:
-        return F.split(F.lit("\n".join(members)), "\n")
-
-    def labelled(label: str) -> Column:
-        of_label = F.array_intersect("_known", listed([n for n, l in names if l == label]))
-        return F.transform(of_label, lambda n: F.struct(n.alias("name"), F.lit(label).alias("label")))
-
-    tokens = computed_once(df, {"_tokens": _tokens(text)})
-    everything = listed([name for name, _ in names])
-    known = computed_once(tokens, {"_known": F.array_intersect(word_runs(F.col("_tokens")), everything)})
-    found = [labelled(label) for label in sorted({label for _, label in names})]
-    return (known.withColumn("_found", F.concat(F.array().cast(_FOUND), *found))
-            .drop("_tokens", "_known"))
-
-
-def _found_by_join(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str) -> DataFrame:
+def _found(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str) -> DataFrame:
     """Names in each text by a join on the runs; for name lists of any length."""
     tokens = computed_once(df.select(row_id, text), {"_tokens": _tokens(text)})
-    runs = exploded(tokens, [row_id], word_runs(F.col("_tokens")), "name").where(
-        F.col("name").isNotNull())
-    found = lookup_join(runs, gazetteer, ["name"], row_id, "inner")
+    runs = exploded(tokens, [row_id], word_runs(F.col("_tokens")), "_run").where(F.col("_run").isNotNull())
+    names = (gazetteer.select("name", "label").dropna().distinct()
+             .withColumn("_run", F.array_join(_tokens("name"), " ")).where("_run <> ''"))
+    found = lookup_join(runs, names, ["_run"], row_id, "inner")
     # names of one text: bounded by its own words
     per_text = found.groupBy(row_id).agg(F.collect_list(F.struct("name", "label")).alias("_found"))
-    return (df.join(per_text, row_id, "left")
-            .withColumn("_found", F.coalesce("_found", F.array().cast(_FOUND))))
+    there = F.filter(F.coalesce("_found", F.array().cast(_FOUND)), lambda e: F.contains(F.col(text), e["name"]))
+    return df.join(per_text, row_id, "left").withColumn("_found", there)
+
+
+def with_names(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str = "text", names: str = "names") -> DataFrame:
+    """The texts with their known names as a column of ``pii.NAMES``, for ``pii_detection``."""
+    listed = F.transform("_found", lambda e: F.struct(e["label"].alias("label"), e["name"].alias("name")))
+    return _found(df, gazetteer, row_id, text).withColumn(names, listed).drop("_found")
 
 
 def with_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str = "text",
-                  friendly: bool = False, literal_names: int = LITERAL_NAMES) -> DataFrame:
+                  friendly: bool = False) -> DataFrame:
     """The texts with ``entities`` (``LABEL: name``, in text order) and ``redacted_text``.
 
-    ``gazetteer`` has ``name`` (up to three words) and ``label``, each name once. Names count where
-    they stand as whole words parted by single spaces; every occurrence is then replaced, longer names
-    before shorter ones, so that a name within a longer one stays whole. Up to ``literal_names`` names
-    are fetched and looked up within each row; a longer list is joined.
+    ``gazetteer`` has ``name`` (up to three words and the marks between them) and ``label``; entries that
+    repeat or lack either count once or not at all. A name counts where it stands as whole words with the
+    same marks between them. Redaction then replaces it wherever its letters stand, within longer words
+    too, longer names before shorter ones, so that a name within a longer one stays whole.
     """
-    names = gazetteer.select("name", "label")
-    fetched = names.limit(literal_names + 1).collect()
-    if len(fetched) <= literal_names:
-        joined = _found_by_literals(df, sorted(map(tuple, fetched)), text)
-    else:
-        joined = _found_by_join(df, names, row_id, text)
+    joined = _found(df, gazetteer, row_id, text)
     placed = F.array_sort(F.transform("_found", lambda e: F.struct(
         F.position(e["name"], F.col(text)).alias("at"),
         e["label"].alias("label"), e["name"].alias("name"))))

@@ -19,18 +19,33 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], row_id: str, how: str = "left",
-                salts: int = 16, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                max_rows: int = BROADCAST_ROWS, hot_rows: int = 1_000_000) -> DataFrame:
     """Join to a lookup table whose size is not known beforehand.
 
-    Measured small, the lookup is broadcast. Else both sides are shuffled with a salt: the lookup rows
-    are repeated once per salt and each left row picks one by a hash of its id, so that a key held by
-    a third of all rows is spread over ``salts`` tasks.
+    Measured small, the lookup is broadcast. Else both sides are shuffled, and keys with many rows on the
+    left are salted by their measured number of rows.
     """
     if is_small(right, max_rows):
         return left.join(F.broadcast(right), on, how)
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    return salted_join(left, right, on, row_id, how, hot_rows)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], row_id: str, how: str = "left",
+                hot_rows: int = 1_000_000) -> DataFrame:
+    """A join that deals every key with at least ``hot_rows`` rows on the left to as many tasks as it needs.
+
+    Keys are counted, combined within each task first. A hot key gets one salt per ``hot_rows``: its rows
+    pick one by a hash of their id, its entry on the right is repeated once per salt. There are at most as
+    many hot keys as the left side has ``hot_rows``; Spark broadcasts their list if it is small.
+    """
+    hot = (left.groupBy(*on).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") >= hot_rows)
+           .select(*on, F.ceil(F.col("_copies") / hot_rows).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = (left.join(hot, on, "left")
+              .withColumn("_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")).drop("_salts"))
+    repeated = (right.join(hot, on, "left")
+                .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
+    return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def splits_skewed_joins(df: DataFrame) -> bool:
@@ -41,27 +56,15 @@ def splits_skewed_joins(df: DataFrame) -> bool:
 
 
 def join_back(rows: DataFrame, results: DataFrame, key: str, row_id: str,
-              hot_rows: int | None = None, max_hot: int = 1_000) -> DataFrame:
+              hot_rows: int | None = None) -> DataFrame:
     """Bring per-key results, one row per key, back to the rows they were computed for.
 
-    One key may hold a large share of the rows. Adaptive execution splits such a partition of the
-    left side at run time, so that a plain join is enough. Where it is off, or where ``hot_rows`` is
-    given, the keys with at least that many rows are counted, never more than ``max_hot`` of them are
-    broadcast, and each gets one salt per ``hot_rows``: its result is repeated and its rows are
-    spread. A key beyond the first ``max_hot`` holds less than one ``max_hot``-th of all rows and
-    joins like any other.
+    One key may hold a large share of the rows. Adaptive execution splits such a partition of the left
+    side at run time where both sides are plainly shuffled. Where it is off, or where ``hot_rows`` is
+    given, hot keys are salted.
     """
     if hot_rows is None:
         if splits_skewed_joins(rows):
             return rows.join(results, key, "left")
         hot_rows = 1_000_000
-    hot = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
-           .where(F.col("_copies") >= hot_rows)
-           .orderBy(F.desc("_copies"), key).limit(max_hot)
-           .select(key, F.ceil(F.col("_copies") / hot_rows).cast("int").alias("_salts")))
-    salts = F.coalesce("_salts", F.lit(1))
-    spread = (rows.join(F.broadcast(hot), key, "left")
-              .withColumn("_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")).drop("_salts"))
-    repeated = (results.join(F.broadcast(hot), key, "left")
-                .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts"))
-    return spread.join(repeated, [key, "_salt"], "left").drop("_salt")
+    return salted_join(rows, results, [key], row_id, "left", hot_rows)

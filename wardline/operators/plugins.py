@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 Predict = Callable[[list[str]], list]
 
-_loaded: dict[str, Predict] = {}
+_loaded: dict[tuple[str, str], Predict] = {}
 
 
 class ModelRegistry(dict[tuple[str, str], Callable[[], Predict]]):
@@ -27,39 +27,39 @@ class ModelRegistry(dict[tuple[str, str], Callable[[], Predict]]):
     def names(self) -> list[str]:
         return [f"{engine}/{model}" for engine, model in self]
 
-    def scores(self, text: Column, engine: str, model: str) -> Column:
-        return model_scores(text, f"{engine}/{model}", self[engine, model])
+    def scores(self, text: Column, engine: str, model: str, version: str = "") -> Column:
+        return model_scores(text, f"{engine}/{model}", self[engine, model], version)
 
-    def verdicts(self, prompt: Column, engine: str, model: str) -> Column:
-        return model_verdicts(prompt, f"{engine}/{model}", self[engine, model])
+    def verdicts(self, prompt: Column, engine: str, model: str, version: str = "") -> Column:
+        return model_verdicts(prompt, f"{engine}/{model}", self[engine, model], version)
 
 
-def loaded(name: str, load: Callable[[], Predict]) -> Predict:
-    """The model of this worker process, loaded on first use."""
-    if name not in _loaded:
-        _loaded[name] = load()
-    return _loaded[name]
+def loaded(name: str, load: Callable[[], Predict], version: str = "") -> Predict:
+    """The model of this worker process, loaded on first use of its name and version."""
+    if (name, version) not in _loaded:
+        _loaded[name, version] = load()
+    return _loaded[name, version]
 
 
 def predict_batch(predict: Predict, texts: list[str]) -> list[tuple[object, str | None]]:
-    """``(prediction, error)`` per text. A failing batch is retried text by text."""
+    """``(prediction, error)`` per text. A failing batch is halved until the failing texts stand alone."""
     try:
-        return [(prediction, None) for prediction in predict(texts)]
-    except Exception:
-        results = []
-        for text in texts:
-            try:
-                results.append((predict([text])[0], None))
-            except Exception as error:
-                results.append((None, str(error)))
-        return results
-
-
-def model_scores(text: Column, name: str, load: Callable[[], Predict]) -> Column:
+        predictions = list(predict(texts))
+        if len(predictions) != len(texts):
+            raise ValueError(f"the model gave {len(predictions)} results for {len(texts)} texts")
+        return [(prediction, None) for prediction in predictions]
+    except Exception as error:
+        if len(texts) <= 1:
+            return [(None, str(error)) for _ in texts]
+        half = len(texts) // 2
+        return predict_batch(predict, texts[:half]) + predict_batch(predict, texts[half:])
+
+
+def model_scores(text: Column, name: str, load: Callable[[], Predict], version: str = "") -> Column:
     """``struct<labels: array<struct<label, score>>, error: string>`` from a labelling model."""
     @F.pandas_udf("labels array<struct<label:string,score:double>>, error string")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = loaded(name, load)
+        predict = loaded(name, load, version)
         for texts in batches:
             rows = predict_batch(predict, texts.tolist())
             yield pd.DataFrame({
@@ -68,17 +68,30 @@ def model_scores(text: Column, name: str, load: Callable[[], Predict]) -> Column
     return score(text)
 
 
-def model_verdicts(prompt: Column, name: str, load: Callable[[], Predict]) -> Column:
+def model_verdicts(prompt: Column, name: str, load: Callable[[], Predict], version: str = "") -> Column:
     """``struct<raw: string, error: string>`` from a safety model that answers in words."""
     @F.pandas_udf("raw string, error string")
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = loaded(name, load)
+        predict = loaded(name, load, version)
         for prompts in batches:
             rows = predict_batch(predict, prompts.tolist())
             yield pd.DataFrame({"raw": [p for p, _ in rows], "error": [e for _, e in rows]})
     return answer(prompt)
 
 
+def model_names(text: Column, name: str, load: Callable[[], Predict], version: str = "") -> Column:
+    """``struct<names: array<struct<label, name>>, error: string>`` from a model that lists (label, name)."""
+    @F.pandas_udf("names array<struct<label:string,name:string>>, error string")
+    def recognize(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predict = loaded(name, load, version)
+        for texts in batches:
+            rows = predict_batch(predict, texts.tolist())
+            yield pd.DataFrame({
+                "names": [None if e else [{"label": l, "name": n} for l, n in p] for p, e in rows],
+                "error": [e for _, e in rows]})
+    return recognize(text)
+
+
 def train_toxicity(texts: DataFrame, label: str = "toxic", text: str = "text", features: int = 1 << 16):
     """A logistic regression on hashed words, fitted by Spark on labelled texts."""
     from pyspark.ml import Pipeline

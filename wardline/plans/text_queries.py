@@ -9,8 +9,10 @@ from wardline.functions import pii, scorers
 from wardline.functions.arrays import computed_once, exploded
 from wardline.operators import admission, engine, metrics
 from wardline.operators.canary import arm
-from wardline.operators.gazetteer import with_entities
-from wardline.operators.validators import VALIDATORS, Measures, Outcome, Params, Validator
+from wardline.operators.gazetteer import with_entities, with_names
+from wardline.operators.validators import (
+    VALIDATORS, Measures, NameColumns, Outcome, Params, Validator, pii_detection,
+)
 from wardline.operators.validators import toxicity_check as toxicity_validator
 from wardline.plans import policies, sql
 from wardline.plans.catalog import query
@@ -238,6 +240,12 @@ def pii_by_type(spark, folder):
     return metrics.pii_by_type(texts(spark, folder).select(pii.pii_entities(F.col("text")).alias("entities")))
 
 
+def benchmark_names(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1)
+    return (tables.table(spark, folder, "benchmark").select(name.alias("name")).where("name <> ''")
+            .withColumn("label", F.when(F.length("name") % 2 == 0, "PERSON").otherwise("ORG")))
+
+
 # the first two words of each benchmark text stand for a name, a person's or an organization's by length
 _NAMES = r"""
     b AS (SELECT regexp_extract(text, '^(\p{L}+ \p{L}+)', 1) AS name FROM benchmark),
@@ -253,16 +261,27 @@ _NAMES = r"""
            count(*) AS n_entities FROM hit GROUP BY doc_id""")
 def gazetteer_entities(spark, folder):
     """Known names in documents; the names come from the benchmark texts."""
-    name = F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1)
-    names = (tables.table(spark, folder, "benchmark").select(name.alias("name")).where("name <> ''")
-             .distinct()
-             .withColumn("label", F.when(F.length("name") % 2 == 0, "PERSON").otherwise("ORG")))
-    found = with_entities(texts(spark, folder), names, "doc_id")
+    found = with_entities(texts(spark, folder), benchmark_names(spark, folder), "doc_id")
     return (found.where(F.size("entities") > 0)
             .select("doc_id", F.concat_ws(", ", "entities").alias("entities"),
                     F.size("entities").cast("long").alias("n_entities")))
 
 
+@query(rf"""WITH {sql.measures('documents', 'doc_id')}, {_NAMES},
+    hit AS (SELECT d.doc_id, count(*) AS k FROM documents d JOIN g ON contains(d.text, g.name)
+            WHERE regexp_matches(d.text, '(^|[^\p{{L}}])' || g.name || '($|[^\p{{L}}])') GROUP BY 1)
+    SELECT doc_id, coalesce(k, 0) + len(ents) = 0 AS valid, coalesce(k, 0) + len(ents) AS n_entities,
+           CASE WHEN coalesce(k, 0) + len(ents) = 0 THEN 'pass' ELSE 'filter' END AS action FROM m LEFT JOIN hit USING (doc_id)""")
+def pii_named_verdict(spark, folder):
+    """Personal data by pattern and by a table of names, in one check."""
+    found = with_names(texts(spark, folder), benchmark_names(spark, folder), "doc_id")
+    known = VALIDATORS.with_validator(pii_detection(recognizer=NameColumns("names", "names-1")))
+    registry = {"default": policies.Policy("default", "", (policies.CheckSpec("pii_detection", on_fail="filter"),))}
+    return engine.validate(found, registry=registry, validators=known).select(
+        "doc_id", "valid", "action",
+        F.coalesce(F.size(F.col("validations")[0]["entities"]), F.lit(0)).cast("long").alias("n_entities"))
+
+
 # ---- policies -------------------------------------------------------------------------------------
 
 @query(f"""WITH {sql.POLICIES}, r AS (SELECT {sql.REQUESTED} AS requested FROM documents),
@@ -413,12 +432,15 @@ def validator_results(spark, folder):
                        "confidence", "on_fail_action")
 
 
-@query(f"""{sql.by_source()} SELECT 'none' AS problem, count(*) AS n FROM f WHERE 1 = 0 GROUP BY 1""")
+@query(f"""{sql.by_source()} SELECT guardrail AS resolved_guardrail,
+           sum(2 + (sent_thr IS NOT NULL)::INT + (pii_act IS NOT NULL)::INT)::BIGINT AS checked, 0::BIGINT AS broken
+           FROM f GROUP BY 1""")
 def result_contract(spark, folder):
-    """Check results that break their contract: there must be none."""
+    """Check results by policy, and how many of them break their contract."""
     rows = engine.validator_results(engine.validate_mixed(assigned(spark, folder)), "doc_id")
-    return (admission.broken_results(rows).groupBy(F.col("status").alias("problem"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    return rows.groupBy("resolved_guardrail").agg(
+        F.count(F.lit(1)).alias("checked"),
+        F.count(F.when(~admission.sound_result(), 1)).alias("broken"))
 
 
 @query("""SELECT DISTINCT v.name AS validator, v.version AS model_version, d.n AS texts
