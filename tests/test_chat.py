@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,24 @@ def test_context_keeps_set_ids(spark):
     assert got == [{"user_id": "u"}, {"session_id": "s"}, {}]
 
 
+@pytest.mark.parametrize("slice_turns", [2, 5, 1000])
+def test_pairs_over_holes_and_slices(spark, slice_turns):
+    rng = random.Random(slice_turns)
+    rows = [(c, t, rng.choice(["user", "assistant", "system"])) for c in range(5) for t in sorted(rng.sample(range(60), 25))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string")
+    got = {(r["conv_id"], r["turn"]): r["next"] and tuple(r["next"])
+           for r in conversation.following(df, "role", slice_turns=slice_turns).collect()}
+    want = {(a[0], a[1]): b[1:] if b and b[0] == a[0] else None for a, b in zip(rows, [*rows[1:], None])}
+    assert got == want
+
+
+def test_a_reply_after_a_hole_answers(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hello"), (1, 10, "assistant", "hi")],
+                               "conv_id long, turn long, role string, text string")
+    assert conversation.turn_outcomes(df).first()["outcome"] == "delivered"
+    assert conversation.turn_pairs(df).first()["reply_turn"] == 10
+
+
 def test_missing_turns(spark):
     df = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 3)], "conv_id long, turn long")
     assert [(r["conv_id"], r["missing"]) for r in conversation.missing_turns(df).collect()] == [(2, 2)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import safety
@@ -18,41 +18,50 @@ USER_CONTEXT, REPLY_CONTEXT = "user_input", "ai_output"
 # ---- End of fixed values --------------------------------------------------------------------------
 
 
-def paired(users: DataFrame, replies: DataFrame, how: str = "inner") -> DataFrame:
-    """User rows with the reply that is the next turn.
+SLICE_TURNS = 1_000  # turn numbers that one task looks at together
 
-    ``users`` has ``conv_id, turn``; ``replies`` has ``conv_id, reply_turn``. Joining on the
-    conversation and the turn spreads a conversation of any length, where a window would keep it in
-    one task, and ships each row once.
-    """
-    return users.join(replies.withColumn("turn", F.col("reply_turn") - 1), ["conv_id", "turn"], how)
 
+def following(turns: DataFrame, *columns: str, slice_turns: int = SLICE_TURNS) -> DataFrame:
+    """Each turn with ``next``: number and ``columns`` of the turn that follows it in its conversation.
 
-def turn_pairs(turns: DataFrame) -> DataFrame:
-    users = turns.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("user_text"))
-    replies = turns.where(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("reply_turn"), F.col("text").alias("reply_text"))
-    return paired(users, replies)
+    Turn numbers may have holes. They are cut into slices, so that a conversation of any length is spread
+    over tasks; the last turn of a slice gets the first one of the next slice that has any.
+    """
+    sliced = turns.withColumns({"_slice": F.floor(F.col("turn") / slice_turns),
+                                "_turn": F.struct("turn", *columns)})
+    within = Window.partitionBy("conv_id", "_slice").orderBy("turn")
+    first = sliced.groupBy("conv_id", "_slice").agg(F.min_by("_turn", "turn").alias("_first"))
+    later = Window.partitionBy("conv_id").orderBy("_slice")
+    crossing = (first.select("conv_id", "_slice", F.lead("_first").over(later).alias("_crossing"))
+                .where(F.col("_crossing").isNotNull()))
+    return (sliced.withColumn("_within", F.lead("_turn").over(within))
+            .join(crossing, ["conv_id", "_slice"], "left")
+            .withColumn("next", F.coalesce("_within", "_crossing"))
+            .drop("_slice", "_turn", "_within", "_crossing"))
 
 
-def _classified(turns: DataFrame, role: str, context: str) -> DataFrame:
-    prompt = safety.prompt(F.col("text"), F.lit(context))
-    return (turns.where(F.col("role") == role)
-            .select("conv_id", "turn", safety.keyword_verdict(prompt).alias("_raw"))
-            .select("conv_id", "turn", safety.says_safe(F.col("_raw")).alias("is_safe")))
+def turn_pairs(turns: DataFrame) -> DataFrame:
+    """User turns directly followed by a reply."""
+    return (following(turns.select("conv_id", "turn", "role", "text"), "role", "text")
+            .where((F.col("role") == "user") & (F.col("next.role") == "assistant"))
+            .select("conv_id", "turn", F.col("text").alias("user_text"), F.col("next.turn").alias("reply_turn"),
+                    F.col("next.text").alias("reply_text")))
 
 
 def turn_safety(turns: DataFrame) -> DataFrame:
     """Whether the user text, the reply and the turn as a whole are safe.
 
-    Texts are classified before the join, so only flags are shuffled.
+    Texts are classified before they are paired, so only flags are shuffled.
     """
-    users = _classified(turns, "user", USER_CONTEXT).withColumnRenamed("is_safe", "user_input_safe")
-    replies = (_classified(turns, "assistant", REPLY_CONTEXT)
-               .select("conv_id", F.col("turn").alias("reply_turn"), F.col("is_safe").alias("ai_output_safe")))
-    return paired(users, replies).withColumn(
-        "conversation_safe", F.col("user_input_safe") & F.col("ai_output_safe"))
+    context = F.when(F.col("role") == "user", USER_CONTEXT).otherwise(REPLY_CONTEXT)
+    classified = (turns.select("conv_id", "turn", "role",
+                               safety.keyword_verdict(safety.prompt(F.col("text"), context)).alias("_raw"))
+                  .select("conv_id", "turn", "role", safety.says_safe(F.col("_raw")).alias("is_safe")))
+    return (following(classified, "role", "is_safe")
+            .where((F.col("role") == "user") & (F.col("next.role") == "assistant"))
+            .select("conv_id", "turn", F.col("is_safe").alias("user_input_safe"), F.col("next.turn").alias("reply_turn"),
+                    F.col("next.is_safe").alias("ai_output_safe"))
+            .withColumn("conversation_safe", F.col("user_input_safe") & F.col("ai_output_safe")))
 
 
 def only_safe(df: DataFrame, flag: str = "is_safe") -> DataFrame:
@@ -78,21 +87,18 @@ def turn_outcomes(turns: DataFrame, guardrail: str = DEFAULT_POLICY, registry: R
 
     A user turn without a reply has no outcome yet unless it was blocked.
     """
-    def side(role: str) -> DataFrame:
-        rows = turns.where(F.col("role") == role)
-        return gate(validate(rows, guardrail, registry=registry, validators=validators),
-                    fail_open=fail_open)
-
-    users = side("user").select("conv_id", "turn", F.col("blocked").alias("input_blocked"))
-    replies = side("assistant").select(
-        "conv_id", F.col("turn").alias("reply_turn"), F.col("blocked").alias("output_blocked"),
-        F.col("gated_text").alias("_reply"))
+    gated = gate(validate(turns, guardrail, registry=registry, validators=validators), fail_open=fail_open)
+    reply = F.when(F.col("next.role") == "assistant", F.col("next"))
+    paired = (following(gated.select("conv_id", "turn", "role", "blocked", "gated_text"), "role", "blocked", "gated_text")
+              .where(F.col("role") == "user")
+              .select("conv_id", "turn", F.col("blocked").alias("input_blocked"), reply.alias("_r"))
+              .select("conv_id", "turn", "input_blocked", F.col("_r.turn").alias("reply_turn"),
+                      F.col("_r.blocked").alias("output_blocked"), F.col("_r.gated_text").alias("_reply")))
     outcome = (F.when(F.col("input_blocked"), "blocked_input")
                .when(F.col("reply_turn").isNull(), "unanswered")
                .when(F.col("output_blocked"), "blocked_output")
                .otherwise("delivered"))
-    return (paired(users, replies, "left")
-            .withColumn("outcome", outcome)
+    return (paired.withColumn("outcome", outcome)
             .withColumn("response", F.when(F.col("outcome") == "blocked_input", F.lit(INPUT_BLOCKED))
                         .when(F.col("outcome") == "blocked_output", F.lit(OUTPUT_BLOCKED))
                         .when(F.col("outcome") == "delivered", F.col("_reply")))

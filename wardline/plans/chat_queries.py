@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import safety
@@ -217,8 +217,24 @@ def request_context(spark, folder):
         "conv_id", "turn", flat_tags(conversation.request_context(user, session)).alias("context"))
 
 
-@query("""SELECT conv_id, max(turn) - min(turn) + 1 - count(*) AS missing FROM conversations GROUP BY conv_id
+@query("""WITH c AS (SELECT * FROM conversations WHERE (conv_id + turn) % 4 <> 1)
+          SELECT conv_id, max(turn) - min(turn) + 1 - count(*) AS missing FROM c GROUP BY conv_id
           HAVING max(turn) - min(turn) + 1 <> count(*)""")
 def turn_gaps(spark, folder):
-    """Conversations with missing turns, whose replies cannot be paired."""
-    return conversation.missing_turns(tables.conversations(spark, folder))
+    """Conversations with missing turns, where every fourth turn is lost."""
+    return conversation.missing_turns(with_holes(spark, folder))
+
+
+def with_holes(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.conversations(spark, folder).where((F.col("conv_id") + F.col("turn")) % 4 != 1)
+
+
+@query("""WITH c AS (SELECT * FROM conversations WHERE (conv_id + turn) % 4 <> 1),
+    n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
+          FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, next_turn AS reply_turn, md5(text) AS user_md5, md5(next_text) AS reply_md5
+    FROM n WHERE role = 'user' AND next_role = 'assistant'""")
+def turn_pairs_with_holes(spark, folder):
+    """Pairs of turns when turn numbers have holes."""
+    return conversation.turn_pairs(with_holes(spark, folder)).select(
+        "conv_id", "turn", "reply_turn", F.md5("user_text").alias("user_md5"), F.md5("reply_text").alias("reply_md5"))
