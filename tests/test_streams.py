@@ -68,7 +68,7 @@ def test_rate_limit_stream(spark):
 
 def test_rejections_continue_across_batches(spark):
     """The same decisions as in batch when the requests come in three batches."""
-    rng, at, rows = random.Random(4), 0, []
+    rng, at, rows = random.Random(4), 1, []
     for i in range(300):
         at += rng.choice([0, 0, 1, 3])
         rows.append((i, at, rng.choice(["hot", "hot", "a", "b"]), 0.0))
@@ -81,6 +81,21 @@ def test_rejections_continue_across_batches(spark):
     assert out.count() == 300 and out.where("rejected").count() > 20
 
 
+def test_an_empty_batch_keeps_the_counts(spark):
+    """Three requests of one window over batches, one of which has no row after filtering."""
+    rows = [[(1, 5, "c", 0.0), (2, 6, "c", 0.0)], [(3, 7, "other", 0.0)], [(4, 8, "c", 0.0)]]
+    stream = feed(spark, rows).where("client = 'c'").select("id", "client", F.unix_seconds("ts").alias("second"))
+    out = jobs.limit_requests(stream, ["client"], "second", "id", scratch_dir(spark, "lim"), limit=2, window=60)
+    assert {r["id"]: r["rejected"] for r in out.collect()} == {1: False, 2: False, 4: True}
+
+
+def test_late_requests_meet_the_count_of_their_window(spark):
+    rows = [[(1, 5, "c", 0.0), (2, 6, "c", 0.0)], [(3, 900, "c", 0.0)], [(4, 30, "c", 0.0)]]
+    stream = feed(spark, rows).select("id", "client", F.unix_seconds("ts").alias("second"))
+    out = jobs.limit_requests(stream, ["client"], "second", "id", scratch_dir(spark, "lim"), limit=2, window=60)
+    assert {r["id"]: r["rejected"] for r in out.collect()} == {1: False, 2: False, 3: False, 4: True}
+
+
 def test_sessions_stream(spark):
     rows = [(1, 0, "u", 0.0), (2, 600, "u", 0.0), (3, 5000, "u", 0.0), (4, 90_000, "v", 0.0)]
     out = jobs.run_available(jobs.session_counts(feed(spark, [rows]), "client"), "s")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import safety, scorers
 from wardline.operators import cache, engine, plugins
-from wardline.operators.validators import VALIDATORS
+from wardline.operators.validators import VALIDATORS, NameColumns, pii_detection
 from wardline.operators.validators import toxicity_check as toxicity_validator
 from wardline.plans import policies, sql
 from wardline.plans.catalog import query
@@ -68,7 +68,7 @@ def stream_rejections(spark, folder):
     arriving = _event_stream(spark, folder).select(
         "event_id", "event_type", F.floor(F.unix_micros("ts") / cache.SECOND).alias("second"))
     return jobs.limit_requests(arriving, ["event_type"], "second", "event_id", scratch_dir(spark, "stream-rejections"),
-                               limit=2, window=3600, keep_seconds=86400).select("event_id", "window", "rejected")
+                               limit=2, window=3600, late="1 day").select("event_id", "window", "rejected")
 
 
 @query("""WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1800000000 THEN 0 ELSE 1 END AS fresh
@@ -132,6 +132,40 @@ def model_plugin(spark, folder):
             .select("doc_id", "valid", check["confidence"].alias("confidence"), check["message"].alias("message")))
 
 
+def listed_names_model():
+    """A recognizer plug-in that knows two names; it cannot read texts over 30000 long."""
+    def predict(batch):
+        if any(len(text) > 30000 for text in batch):
+            raise ValueError("text too long for the model")
+        return [[(label, name) for label, name in (("ORG", "Apache"), ("GPE", "License")) if name in text]
+                for text in batch]
+
+    return predict
+
+
+@query(f"""WITH {sql.measures('documents', 'doc_id')},
+    k AS (SELECT doc_id, n > 30000 AS broken, len(ents) > 0 OR contains(text, 'Apache') OR contains(text, 'License') AS hit, ents, text,
+                 replace(replace(redacted, 'License', '[LOCATION_REDACTED]'), 'Apache', '[ORGANIZATION_REDACTED]') AS r FROM m)
+    SELECT doc_id, NOT (broken OR hit) AS valid, CASE WHEN broken OR hit THEN 'filter' ELSE 'pass' END AS action,
+           CASE WHEN broken THEN 'PII validation error: text too long for the model'
+                WHEN hit THEN 'PII detected' ELSE 'No PII detected' END AS message,
+           CASE WHEN hit AND NOT broken THEN md5(r) END AS redacted_md5 FROM k""")
+def pii_plugin(spark, folder):
+    """A Python recognizer beside the patterns, with spelled-out tags; texts it cannot read fail closed."""
+    ship_package(spark)
+    named = texts(spark, folder).withColumn(
+        "m", plugins.model_names(F.col("text"), "listed-names", listed_names_model)).select(
+        "doc_id", "text", F.col("m.names").alias("names"), F.col("m.error").alias("e"))
+    known = VALIDATORS.with_validator(pii_detection(
+        friendly=True, recognizer=NameColumns("names", "listed-names-1", "e")))
+    registry = {"default": policies.Policy("default", "", (policies.CheckSpec("pii_detection", on_fail="filter"),))}
+    check = F.col("validations")[0]
+    return engine.validate(named, registry=registry, validators=known).select(
+        "doc_id", "valid", "action",
+        F.when(F.col("e").isNull(), F.substring_index(check["message"], ": ", 1)).otherwise(check["message"])
+        .alias("message"), F.when(F.col("e").isNull(), F.md5(check["redacted_text"])).alias("redacted_md5"))
+
+
 def one_word_model():
     """A safety model plug-in that answers by the first category word it meets."""
     def predict(prompts):

@@ -6,14 +6,17 @@ present, with its output and checkpoint in shared storage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from wardline.operators.engine import validate
-from wardline.operators.joins import lookup_join
 from wardline.operators.metrics import exact_sum
-from wardline.operators.ratelimit import REQUEST_LIMIT, WINDOW_SECONDS, rank_in_window
+from wardline.operators.ratelimit import REQUEST_LIMIT, WINDOW_SECONDS
 from wardline.plans.policies import DEFAULT_CACHE_TTL, DEFAULT_POLICY
 from wardline.session import scratch_dir
 
@@ -82,40 +85,34 @@ def run_available(stream: DataFrame, name: str, path: str | None = None) -> Data
 
 
 def limit_requests(requests: DataFrame, client: list[str], seconds: str, row_id: str, path: str,
-                   limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS,
-                   keep_seconds: int = 3600, salts: int = 32) -> DataFrame:
+                   limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS, late: str = "1 hour") -> DataFrame:
     """Decide for each arriving request whether it is beyond the limit of its client and window.
 
-    Each micro-batch is ranked by the batch operator, which spreads a busy client, and continues the
-    counts of earlier batches. The counts, one row per client and window, are written per batch next
-    to the output, so a batch that is run again after a failure starts from the same counts and
-    overwrites its own results. Counts of windows older than ``keep_seconds`` are left behind; requests
-    arrive in the order of the batches. Runs over all data present and reads the decisions back.
+    Spark keeps one number per client and window as state: how many were admitted. Within a micro-batch the
+    earlier requests of a window go first. A window's number is kept until no request can reach it any more,
+    that is for ``late`` after its end as measured by the requests; what is later still gets no decision. A
+    batch that is run again after a failure starts from the same state. One window of one client is the unit
+    of work. Runs over all data present and reads the decisions back.
     """
     spark = requests.sparkSession
-    slot = [*client, "window"]
-
-    def decide(batch: DataFrame, number: int) -> None:
-        placed = batch.withColumn("window", F.floor(F.col(seconds) / window))
-        fresh = placed.groupBy(*slot).agg(F.count(F.lit(1)).alias("n"))
-        if number == 0:
-            before = fresh.select(*slot, F.lit(0).cast("long").alias("seen")).where(F.lit(False))
-        else:
-            before = spark.read.parquet(f"{path}/counts/{number - 1}")
-        # how many more each window of this batch may admit
-        rooms = fresh.join(before, slot, "left").select(
-            *slot, F.greatest(F.lit(limit) - F.coalesce("seen", F.lit(0)), F.lit(0)).alias("room"))
-        ranked = rank_in_window(placed, slot, [seconds, row_id], row_id, limit, salts)
-        decided = (lookup_join(ranked, rooms, slot, row_id)
-                   .withColumn("rejected", F.coalesce(F.col("rank") > F.col("room"), F.lit(True))))
-        decided.drop("rank", "room").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-        newest = fresh.agg(F.max("window")).scalar()
-        counts = (before.unionByName(fresh.withColumnRenamed("n", "seen"))
-                  .where(F.col("window") >= newest - keep_seconds // window)
-                  .groupBy(*slot).agg(F.sum("seen").alias("seen")))
-        counts.write.mode("overwrite").parquet(f"{path}/counts/{number}")
-
-    query = (requests.writeStream.foreachBatch(decide).option("checkpointLocation", f"{path}/checkpoint")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/out").drop("batch")
+    placed = requests.withColumns({
+        "window": F.floor(F.col(seconds) / window),
+        "_time": F.timestamp_seconds(F.col(seconds))}).withWatermark("_time", late)
+    names = [c for c in placed.columns if c != "_time"]
+    output = StructType([*placed.select(*names).schema.fields, StructField("rejected", BooleanType())])
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values([seconds, row_id], kind="stable")
+        admitted = state.get[0] if state.exists else 0
+        room = max(0, limit - admitted)
+        state.update((admitted + min(room, len(rows)),))
+        end = int(key[-1] + 1) * window * 1000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield rows[names].assign(rejected=[place >= room for place in range(len(rows))])
+
+    decided = placed.groupBy(*client, "window").applyInPandasWithState(
+        decide, output, "admitted long", "append", GroupStateTimeout.EventTimeTimeout)
+    return run_available(decided, "limit-requests", path)
