@@ -79,6 +79,16 @@ def test_access_log(spark):
     assert bad["malformed"] == "garbage" and bad["status"] is None
 
 
+@pytest.mark.parametrize("old, new", [("02/Jan", "31/Feb"), ("rt=0.125", "rt=1.2.3"), (" 17 ", f" {10**30} ")])
+def test_access_log_goes_on_after_a_broken_value(spark, old, new):
+    line = ('10.0.0.9 - bob [02/Jan/2024:03:04:05 +0000] "GET /health HTTP/1.1" 200 17 "-" "curl/8" "-" '
+            'rt=0.125 uct="0.001" uht="0.002" urt="0.1"')
+    broken, good = logs.parse_access_log(
+        spark.createDataFrame([(line.replace(old, new),), (line,)], "value string")).collect()
+    assert broken["malformed"] == line.replace(old, new) and broken["ip"] == "10.0.0.9"
+    assert good["malformed"] is None and good["bytes"] == 17
+
+
 def test_store_partitions_are_pruned(spark):
     path = scratch_dir(spark, "prune")
     rows = spark.range(10).select(

@@ -15,9 +15,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
     quantile lie. A second scan keeps the rows of those ranges only, counts equal values and ranks the
     different ones. So a group that holds a third of all rows needs no more than its few ranges in one
     task, unlike a percentile aggregate, which keeps all its values. The neighbouring values are
-    interpolated linearly, which is the usual inclusive definition.
+    interpolated linearly, which is the usual inclusive definition. NULL, NaN and infinite values are
+    left out.
     """
-    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    finite = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (
+        F.abs(F.col(value).cast("double")) < F.lit(float("inf")))
+    values = df.where(finite).select(*by, F.col(value).cast("double").alias("_v"))
     # monotone in the value: negative values mirror the positive ones, zero lies between
     magnitude = F.floor(F.log2(F.abs("_v")) * steps_per_octave) + F.lit(2_000 * steps_per_octave)
     ranged = values.withColumn("_range", F.when(F.col("_v") == 0, F.lit(0)).otherwise(

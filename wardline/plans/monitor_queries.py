@@ -178,7 +178,7 @@ def _daily(spark, folder) -> DataFrame:
     reuse = (cache.replay_refreshing(requests, ["user_id", "endpoint"], ttl=3600)
              .groupBy(F.floor(F.col("slice") / 24).alias("day"))
              .agg(metrics.hit_ratio(F.sum("hits"), F.sum("requests") - F.sum("hits")).alias("cache_hit_ratio")))
-    return basic.join(tail, "day").join(reuse, "day")
+    return basic.join(tail, "day", "left").join(reuse, "day", "left")  # a day without durations keeps its other alerts
 
 
 @query(f"""WITH {_LOG}, d AS (SELECT *, micros // 86400000000 AS day,

@@ -20,7 +20,8 @@ ACCESS_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
 def parse_access_log(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Access-log lines as columns. A line of another form keeps its text in ``malformed``.
+    """Access-log lines as columns. A line of another form, or with a time or number that cannot be
+    read, keeps its text in ``malformed``.
 
     One pattern pass splits the line; the fields are then taken from the pieces.
     """
@@ -31,13 +32,15 @@ def parse_access_log(lines: DataFrame, line: str = "value") -> DataFrame:
     def field(i: int) -> Column:
         return F.when(ok, F.get("_p", F.lit(i)))
 
-    return lines.withColumn("_p", pieces).select(
-        field(0).alias("ip"), field(1).alias("remote_user"),
-        F.to_timestamp(field(2), ACCESS_TIME).alias("ts"),
-        field(3).alias("request"), field(4).cast("int").alias("status"),
-        field(5).cast("long").alias("bytes"), field(6).cast("double").alias("request_time"),
-        field(7).try_cast("double").alias("upstream_time"),
-        F.when(~ok, F.col(line)).alias("malformed"))
+    read = lines.withColumn("_p", pieces).withColumns({
+        "_ts": F.try_to_timestamp(field(2), F.lit(ACCESS_TIME)), "_status": field(4).try_cast("int"),
+        "_bytes": field(5).try_cast("long"), "_time": field(6).try_cast("double")})
+    broken = ~ok | F.greatest(*[F.col(c).isNull() for c in ("_ts", "_status", "_bytes", "_time")])
+    return read.select(
+        field(0).alias("ip"), field(1).alias("remote_user"), F.col("_ts").alias("ts"),
+        field(3).alias("request"), F.col("_status").alias("status"), F.col("_bytes").alias("bytes"),
+        F.col("_time").alias("request_time"), field(7).try_cast("double").alias("upstream_time"),
+        F.when(broken, F.col(line)).alias("malformed"))
 
 
 def access_log(spark: SparkSession, path: str) -> DataFrame:
