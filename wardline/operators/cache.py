@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.joins import join_back
+from wardline.operators.joins import join_back, lookup_join
 from wardline.operators.metrics import position
 from wardline.plans.policies import DEFAULT_CACHE_TTL
 
@@ -68,10 +68,14 @@ def live_entries(store: DataFrame, as_of: Column, key: str = "cache_key") -> Dat
             .select(key, "_entry.*"))
 
 
-def store_entries(results: DataFrame, written_at: Column, ttl: int = DEFAULT_CACHE_TTL) -> DataFrame:
-    """Results as store rows: written at a given time, gone ``ttl`` seconds later."""
+def store_entries(results: DataFrame, written_at: Column, ttl: int | Column = DEFAULT_CACHE_TTL) -> DataFrame:
+    """Results as store rows: written at a given time, gone ``ttl`` seconds later.
+
+    ``ttl`` may be a column, such as the lifetime that the request itself asked for.
+    """
+    seconds = F.lit(ttl) if isinstance(ttl, int) else ttl
     return (results.withColumn("written_at", written_at)
-            .withColumn("expires_at", F.timestamp_micros(micros(F.col("written_at")) + ttl * SECOND))
+            .withColumn("expires_at", F.timestamp_micros(micros(F.col("written_at")) + seconds * SECOND))
             .withColumn("expires_on", F.to_date("expires_at")))
 
 
@@ -96,21 +100,27 @@ def validate_through_store(requests: DataFrame, live: DataFrame,
     ``score`` adds result columns to the table it is given and keeps the others; ``live`` has the key
     and those columns. ``cache_hit`` is true for answers from the store and for all but the first
     copy of a newly scored text. Bypassing requests are scored themselves and never count as hits.
-    Only missing texts are shuffled; the store is looked up by key.
+    Gives the row id, the key and the results. Requests are looked up and answered by row id and key alone;
+    of texts only the first one of each missing key is fetched, by its row id.
     """
-    asked = requests if bypass is None else requests.where(~F.col(bypass))
-    missing = unique_texts(asked.join(live.select(key), key, "left_anti"), row_id, key, text)
-    scored = score(missing).drop(text)
+    asked = requests if bypass is None else requests.where(~F.coalesce(F.col(bypass), F.lit(False)))
+    slim = asked.select(row_id, key)
+    known = live.select(key, F.lit(True).alias("_known"))
+    missed = join_back(slim, known, key, row_id, hot_rows).where(F.col("_known").isNull())
+    first = missed.groupBy(key).agg(F.min(row_id).alias(row_id)).select(row_id)
+    scored = score(lookup_join(asked, first, [row_id], row_id, "left_semi")).drop(text)
+    extra = [c for c in asked.columns if c not in (row_id, key, text)]
+    scored = scored.drop(*extra).withColumnRenamed(row_id, "first_id")
     stored = live.withColumn("first_id", F.lit(None).cast(asked.schema[row_id].dataType))
     results = stored.unionByName(scored, allowMissingColumns=True)
-    answered = join_back(asked, results, key, row_id, hot_rows)
+    answered = join_back(slim, results, key, row_id, hot_rows)
     # a stored answer has no first request: every request for it is a hit
     answered = answered.withColumn("cache_hit", F.coalesce(
         F.col(row_id) != F.col("first_id"), F.lit(True))).drop("first_id")
     if bypass is None:
         return answered
-    direct = score(requests.where(F.col(bypass))).withColumn("cache_hit", F.lit(False))
-    return answered.unionByName(direct, allowMissingColumns=True)
+    direct = (score(requests.where(F.coalesce(F.col(bypass), F.lit(False)))).withColumn("cache_hit", F.lit(False)))
+    return answered.unionByName(direct.select(*answered.columns))
 
 
 def replay_refreshing(log: DataFrame, keys: list[str], ts: str = "ts", row_id: str = "event_id",

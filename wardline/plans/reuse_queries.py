@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators import cache, engine, metrics
+from wardline.operators import cache, engine, metrics, requests
 from wardline.plans import policies, sql
 from wardline.plans.catalog import query
 from wardline.plans.text_queries import assigned, texts
@@ -105,6 +105,55 @@ def cache_hit_ratio(spark, folder):
     return counts.withColumn("hit_ratio", F.round(metrics.hit_ratio(F.col("hits"), F.col("misses")), 6))
 
 
+# requests made of documents: some empty, some with a lifetime out of range, German ones past the store
+_REQUESTS = f"""{sql.by_source()},
+    v AS (SELECT *, {sql.VALID} AS ok, {sql.ACTION} AS act,
+                 CASE WHEN doc_id % 19 = 5 THEN 'empty_text' WHEN length(text) > 50000 THEN 'text_too_long'
+                      WHEN doc_id % 17 = 3 THEN 'ttl_out_of_range' END AS reason FROM f),
+    s AS (SELECT DISTINCT guardrail AS g, text AS known FROM v WHERE {_NUMBER} < 10 AND length(text) <= 50000),
+    a AS (SELECT v.*, known, row_number() OVER (PARTITION BY text, guardrail, lang = 'de' ORDER BY doc_id) AS k
+          FROM v LEFT JOIN s ON text = known AND guardrail = g WHERE reason IS NULL),
+    r AS (SELECT doc_id, reason, guardrail, ok AS valid, act AS action, lang <> 'de' AND (known IS NOT NULL OR k > 1) AS cache_hit,
+                 300 + doc_id % 100 AS ttl, lang = 'de' AS past,
+                 concat_ws(',', CASE WHEN sent_thr IS NOT NULL THEN 'lexicon-sentiment-1' END, 'lexicon-toxicity-1',
+                           CASE WHEN pii_act IS NOT NULL THEN 'pattern-pii-1' END) AS models FROM a
+          UNION ALL SELECT doc_id, reason, guardrail, false, 'block', false, NULL, lang = 'de', NULL FROM v WHERE reason IS NOT NULL)"""
+
+
+def request_responses(spark, folder) -> DataFrame:
+    docs = assigned(spark, folder, "lang")
+    ttl = F.when(F.col("doc_id") % 17 == 3, 4000).otherwise(300 + F.col("doc_id") % 100).cast("int")
+    asking = docs.select(
+        F.col("doc_id"), F.when(F.col("doc_id") % 19 == 5, "").otherwise(F.col("text")).alias("text"), "guardrail",
+        ttl.alias("cache_ttl"), (F.col("lang") == "de").alias("skip_cache"))
+    earlier = (docs.where((source_number() < 10) & (F.length("text") <= 50000))
+               .select("doc_id", "text", "guardrail", F.lit(300).alias("cache_ttl"), F.lit(False).alias("skip_cache")))
+    stored = requests.admitted(earlier).groupBy("cache_key", "resolved", "text").agg(F.min("doc_id").alias("doc_id"))
+    live = requests.scorer()(stored).select("cache_key", *requests.RESULTS)
+    return requests.answer(asking, live, "doc_id")
+
+
+@query(f"""{_REQUESTS} SELECT doc_id, reason AS reject_reason, guardrail AS resolved_guardrail, valid, action,
+           cache_hit, models, CASE WHEN reason IS NULL THEN 'Validation completed successfully' ELSE 'Invalid request: ' || reason END AS message FROM r""")
+def request_pipeline(spark, folder):
+    """Requests through admission, store, validation and response."""
+    return request_responses(spark, folder).select(
+        "doc_id", "reject_reason", "resolved_guardrail", "valid", "action", "cache_hit",
+        F.when(F.col("model_info").isNotNull(), F.array_join(F.array_sort(F.map_values("model_info")), ","))
+        .alias("models"), "message")
+
+
+@query(f"""{_REQUESTS} SELECT guardrail AS resolved_guardrail, count(*) AS entries, CAST(sum(ttl) AS BIGINT) AS lifetimes
+           FROM r WHERE reason IS NULL AND NOT cache_hit AND NOT past GROUP BY 1""")
+def request_entries(spark, folder):
+    """What the requests write back: entries and their lifetimes, as each first request asked."""
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    written = requests.entries(request_responses(spark, folder), now, "doc_id")
+    alive = F.unix_seconds("expires_at") - F.unix_seconds("written_at")
+    return written.groupBy("resolved_guardrail").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum(alive).alias("lifetimes"))
+
+
 @query(f"""{_STRICT}, s AS (SELECT DISTINCT text AS known FROM documents WHERE {_NUMBER} < 10),
     r AS (SELECT v.*, known, row_number() OVER (PARTITION BY text, lang = 'de' ORDER BY doc_id) AS k
           FROM v LEFT JOIN s ON text = known)
