@@ -67,6 +67,7 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     text is empty.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a copy: lowering a slice gives wrong offsets
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     values = lists.values
