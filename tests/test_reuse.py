@@ -57,7 +57,7 @@ def test_through_store(texts, hot_rows):
     stored = {r["cache_key"] for r in known.collect()}
     seen = set()
     for r in sorted(out, key=lambda r: r["id"]):
-        if r["skip"]:
+        if r["id"] % 7 == 0:  # past the store
             assert not r["cache_hit"]
             continue
         assert r["cache_hit"] == (r["cache_key"] in stored or r["cache_key"] in seen)

@@ -73,7 +73,7 @@ def store_entries(results: DataFrame, written_at: Column, ttl: int | Column = DE
 
     ``ttl`` may be a column, such as the lifetime that the request itself asked for.
     """
-    seconds = F.lit(ttl) if isinstance(ttl, int) else ttl
+    seconds = (F.lit(ttl) if isinstance(ttl, int) else ttl).cast("long")
     return (results.withColumn("written_at", written_at)
             .withColumn("expires_at", F.timestamp_micros(micros(F.col("written_at")) + seconds * SECOND))
             .withColumn("expires_on", F.to_date("expires_at")))
