@@ -29,11 +29,18 @@ def test_em_finds_planted_accuracies():
     bad_vote = rng.random((20_000, 3)) < np.where(good[:, None], wrong, hit)
     votes = np.where(bad_vote, -1, 1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    base, odds = quality.accuracies(patterns, counts.astype(float))
+    base, odds = quality.accuracies(patterns, counts.astype(float), bad_odds=0.0, good_odds=math.inf)
     assert abs(base - math.log(.8 / .2)) < .15
     assert np.allclose(odds[:, 0], np.log(wrong / hit), atol=.4)
 
 
+def test_a_rare_kind_is_not_outvoted():
+    """Two labellers that know a rare kind of badness, against five that do not object."""
+    patterns = np.array([[1, 1, 1, 1, 1, 1, 1], [-1, 1, 1, 1, 1, -1, 1], [1, 1, 1, 1, -1, 1, -1]])
+    base, odds = quality.accuracies(patterns, np.array([114.0, 30, 6]))
+    assert (quality.posterior(patterns, base, odds) > .5).tolist() == [True, False, False]
+
+
 def test_accuracy_on_labels(spark):
     """The labels are never trained on: all labelled documents are held out."""
     folder = "/root/testdata/sf0.01"

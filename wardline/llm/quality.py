@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,8 @@ LABELLERS = ("symbols", "capitals", "exclaimed", "bare marks", "repeats", "plain
 
 # share from which a labeller says bad, share up to which it says good; the last two fall with quality
 BOUNDS = ((.20, .05), (.50, .10), (.20, .05), (.15, .05), (.20, .05), (-.60, -.90), (-.20, -.50))
+BAD_ODDS, GOOD_ODDS = -3.0, 1.0  # log-odds a vote for bad has at least, a vote for good at most
+
 LEAST_WORDS = 20        # "variety" says nothing of shorter texts
 
 SAMPLE_ROWS = 8_192     # documents, taken by hash, on which the scorer is trained
@@ -105,12 +107,14 @@ class Words:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
+def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, bad_odds: float = BAD_ODDS,
+               good_odds: float = GOOD_ODDS) -> tuple[float, np.ndarray]:
     """Expectation-maximisation over distinct vote patterns: log-odds of good, base and per labeller and vote.
 
     The table says how often each labeller gives each vote on bad and on good documents. It starts from the
-    belief that one vote for bad makes a document bad; counts are smoothed, and a labeller is never believed
-    to call good documents bad more often than bad ones.
+    belief that one vote for bad makes a document bad, and counts are smoothed. Each rule knows one kind of
+    badness, so what it does not object to says little: a vote for good weighs ``good_odds`` at most, and a vote
+    for bad at least ``bad_odds``, or labellers of a frequent kind would outvote those of a rare one.
     """
     good = np.where((patterns < 0).any(axis=1), .1, .9)
     for _ in range(rounds):
@@ -122,7 +126,8 @@ def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> t
             table[:, vote + 1, 0] = (cast * (1 - good)[:, None]).sum(axis=0) + .5
         table /= table.sum(axis=1, keepdims=True)
         odds = np.log(table[:, :, 1] / table[:, :, 0])
-        odds[:, 0] = np.minimum(odds[:, 0], 0)
+        odds[:, 0] = np.minimum(odds[:, 0], bad_odds)
+        odds[:, 1:] = np.clip(odds[:, 1:], -good_odds, good_odds)
         base = math.log(share / (1 - share))
         margin = base + sum(odds[j, patterns[:, j] + 1] for j in range(patterns.shape[1]))
         good = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
@@ -173,7 +178,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
         both = soft.select("features", F.explode(F.array(
             F.struct(F.lit(1.0).alias("label"), F.col("g").alias("weight")),
             F.struct(F.lit(0.0).alias("label"), (1 - F.col("g")).alias("weight")))).alias("l")).select("features", "l.*")
-        model = LogisticRegression(maxIter=50, regParam=1e-3, weightCol="weight").fit(both)
+        model = LogisticRegression(maxIter=50, regParam=1e-4, weightCol="weight").fit(both)
         weights, bias = model.coefficients.toArray(), float(model.intercept)
     return {"base": base, "odds": odds, "weights": weights, "bias": bias}
 
@@ -181,7 +186,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
 def classified(docs: DataFrame, text_col: str = "text", model: dict | None = None) -> DataFrame:
     """The rows with ``_label`` (posterior of the labellers), ``_score`` (the scorer's) and ``_keep``.
 
-    Both are probabilities of good quality. A null or empty text has no votes and no features: its label and
+    Both are probabilities of good quality. A document goes if both are below one half: the scorer alone is
+    unsure of words it has not met in its sample. A null or empty text has no votes and no features: its label and
     score come from the shares of good and bad documents alone. If the labellers see one quality only,
     the scorer gives every document their share. Rows that repeat get equal scores; a table without rows is
     returned without rows; other columns pass through, whatever their names.
@@ -198,8 +204,5 @@ def classified(docs: DataFrame, text_col: str = "text", model: dict | None = Non
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_label", T.DoubleType()),
                            T.StructField("_score", T.DoubleType())])
-    return over_batches(docs, scan, schema).withColumn("_keep", keeps(F.col("_score")))
-
-
-def keeps(score: Column) -> Column:
-    return score >= KEEP_FROM
+    return over_batches(docs, scan, schema).withColumn(
+        "_keep", F.greatest("_score", "_label") >= KEEP_FROM)
