@@ -74,11 +74,11 @@ def op9_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    """The benchmark items every document overlaps, and its longest overlap."""
+    """The documents that overlap benchmark items, with the items and the longest overlap."""
     found = leaks.leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), carry=["doc_id"])
     longest = F.array_max(F.transform("_spans", lambda s: s["words"]))
-    return found.select("doc_id", (F.size("_spans") > 0).alias("contaminated"), F.col("_items").alias("item_ids"),
-                        F.coalesce(longest, F.lit(0)).cast("long").alias("longest"))
+    return found.where(F.size("_spans") > 0).select(
+        "doc_id", F.col("_items").alias("item_ids"), longest.cast("long").alias("longest"))
 
 
 @_query
@@ -179,8 +179,8 @@ ORACLE["op1_source_mixing"] = _mixing_sql()
 
 @_query
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeated passages of every document, those with an earlier copy and those that others repeat."""
-    found = passages.repeated_passages(_documents(spark, folder))
+    """The documents with repeated passages: those with an earlier copy and those that others repeat."""
+    found = passages.repeated_passages(_documents(spark, folder)).where("size(later) + size(first) > 0")
     spans = F.array_join(F.transform("later", lambda s: F.concat_ws(
         ":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     words = F.aggregate("later", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
