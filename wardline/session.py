@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,7 +44,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session that
-    leaves it unset falls back to a temporary folder of this machine.
+    leaves it unset falls back to a temporary folder of this machine, which goes when the process ends.
     """
     global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +53,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="wardline-")
+            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
         base = _local_scratch
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
