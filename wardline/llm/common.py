@@ -15,8 +15,8 @@ from wardline.session import scratch_dir, ship_package
 
 SPACE = " \t\n\x0b\x0c\r"  # the characters that part words
 
-MAX_BATCH_ROWS = 2_000        # rows a Python worker works on at once,
-MAX_BATCH_BYTES = 16_000_000  # and bytes, unless a single row has more
+MAX_BATCH_ROWS = 1_000       # rows a Python worker works on at once,
+MAX_BATCH_BYTES = 4_000_000  # and bytes, unless a single row has more
 
 
 class Scratch:

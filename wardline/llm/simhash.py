@@ -63,7 +63,9 @@ def links(distinct: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFram
     are indexed once more, with every two bits wild: at most four fingerprints share such a key and any
     two of them are linked, so that a group of any size takes a fixed number of rows per member.
     """
-    keyed = distinct.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
+    # the table of fingerprints is small and its variants are not: deal it out before they are made
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(parts, "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     groups = scratch.keep(keyed.groupBy("key")
                           .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
                           .where("n > 1"))
