@@ -10,7 +10,7 @@ from wardline.llm.common import SPACE
 
 OTHER = "other"     # stands for null and for every value that the targets do not name
 SWEEPS = 12
-MAX_CELLS = 1_000_000
+MAX_CELLS = 100_000
 
 Targets = dict[str, dict[str, float]]
 
