@@ -34,6 +34,16 @@ def test_em_finds_planted_accuracies():
     assert np.allclose(odds[:, 0], np.log(wrong / hit), atol=.4)
 
 
+def test_the_fast_way_agrees():
+    for word in ("word", "Word", "WORD", "a", "A", "Ab", "aB", "été", "Été,", "ÉTÉ.", "don't", "x1", "a!!", "|", "...", "é;",
+                 ",", "iPhone:", "ß", "日本", "日本."):
+        found, shape = quality.known_of(word)
+        assert shape == quality._shape(word), word
+        assert found == (quality.SYMBOLS.search(word) is not None, len(word) > 1 and word.isupper(),
+                         quality.EXCLAIMED.search(word) is not None, not any(map(str.isalnum, word)),
+                         quality.PLAIN.fullmatch(word) is not None), word
+
+
 def test_a_rare_kind_is_not_outvoted():
     """Two labellers that know a rare kind of badness, against five that do not object."""
     patterns = np.array([[1, 1, 1, 1, 1, 1, 1], [-1, 1, 1, 1, 1, -1, 1], [1, 1, 1, 1, -1, 1, -1]])

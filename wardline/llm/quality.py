@@ -38,6 +38,26 @@ EXCLAIMED = re.compile(r"[!?]{2}")
 PLAIN = re.compile(r"[.,;:!?'\"()-]?\w+(?:[.,;:'\"()/-]\w+)*[.,;:!?'\"()-]?")
 
 
+def _letters(word: str) -> str | None:
+    """Shape of a plain word in lower case, in capitals or with one capital; None for another word."""
+    if word.islower():
+        return "aa"[:len(word)]
+    if word.isupper():
+        return "AA"[:len(word)]
+    return "Aaa"[:len(word)] if word[0].isupper() and word[1:].islower() else None
+
+
+def known_of(word: str) -> tuple[tuple[bool, ...], str]:
+    """What the first labellers look for in a word, and its shape; most words need no pattern."""
+    core, mark = (word, "") if word.isalpha() else (word[:-1], word[-1])
+    if core.isalpha() and mark in ",.;:":
+        shape = _letters(core)
+        if shape:
+            return (False, len(word) > 1 and word.isupper(), False, False, True), shape + mark
+    return ((SYMBOLS.search(word) is not None, len(word) > 1 and word.isupper(), EXCLAIMED.search(word) is not None,
+             not any(map(str.isalnum, word)), PLAIN.fullmatch(word) is not None), _shape(word))
+
+
 def _shape(word: str) -> str:
     """Letters as a or A, digits as 0, other characters as they are; runs shortened to two."""
     kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]]
@@ -55,11 +75,12 @@ class Words:
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.starts))
         marks = np.zeros((5, len(known)), bool)
         shapes = np.zeros(len(known), np.uint64)
-        for i, word in enumerate(known):
-            marks[:, i] = (SYMBOLS.search(word) is not None, len(word) > 1 and word.isupper(),
-                           EXCLAIMED.search(word) is not None, not any(map(str.isalnum, word)),
-                           PLAIN.fullmatch(word) is not None)
-            shapes[i] = xxhash.xxh64_intdigest(_shape(word))
+        hashes: dict[str, int] = {}
+        for i, (found, shape) in enumerate(map(known_of, known)):
+            marks[:, i] = found
+            if shape not in hashes:
+                hashes[shape] = xxhash.xxh64_intdigest(shape)
+            shapes[i] = hashes[shape]
         self.marks, self.shape = marks[:, self.code], shapes[self.code]
         self.same = np.zeros((2, len(self.code)), bool)  # equal to the word before, to the one before that
         for back in (1, 2):
