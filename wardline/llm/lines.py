@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wardline.llm.common import SPACE, Scratch, ascii_lower
 
 MIN_CHARS = 10        # code points a line's key needs to be compared at all
-HOT_ROWS = 100_000    # rows of one line from which its first document is looked up instead of streamed
+HOT_ROWS = 2_000      # rows of one line from which its first document is looked up instead of streamed
 
 
 def _lines(text: Column) -> Column:
