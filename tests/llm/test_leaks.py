@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -65,6 +66,19 @@ def test_equals_brute_force(spark):
         assert all(s["equal"] >= .8 * s["words"] for r in got.values() for s in r["_spans"])
 
 
+def test_every_placement_of_substitutions_is_found():
+    """Up to a fifth of 12 to 16 words changed, and two or four of up to 20, in a text whose other words differ."""
+    item = np.arange(1, 21, dtype=np.uint64)
+    for size in range(12, 21):
+        block = leaks.Block([(7, size, " ".join(f"t{i}" for i in range(size)))], leaks.MASKS, 12)
+        most = size // 5 if size <= 16 or size == 20 else 2
+        for changed in itertools.combinations(range(1, size - 1), most):
+            words = np.concatenate([item[:5] + np.uint64(900), block.words, item[:5] + np.uint64(950)])
+            words[5 + np.array(changed)] = 1
+            found = list(block.overlaps(words, np.array([0, len(words)])))
+            assert found == [(0, 7, 5, size, size - most)], (size, changed)
+
+
 def test_long_items_are_compared_in_pieces(spark):
     rng = random.Random(2)
     long = [f"t{i}" for i in range(5000)]

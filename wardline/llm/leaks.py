@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import mixed, over_batches, split_words, word_hashes
 
-# A 1 stands for a token that is hashed, a 0 for one that may differ.
-MASKS = ("11111111", "1101100110101", "1110010101011", "10111001001011")
+# A 1 stands for a token that is hashed, a 0 for one that may differ. Of n >= 12 tokens at most n / 5 differ, which
+# leaves a run of four equal ones, but for 15 tokens in four runs of three: there two runs fit the second mask.
+MASKS = ("1111", "1110111")
 
 MIN_WORDS = 12            # tokens an overlap needs, or the whole item where it is shorter
 MIN_SIMILARITY = 0.8      # share of equal tokens in an overlap
 PIECE_WORDS = 4_096       # longer items are compared in overlapping pieces
 BLOCK_WORDS = 2_000_000   # tokens of the benchmark that every task gets at once
+HITS = 20_000             # seed hits whose surroundings are compared at once
 
 SPANS = "array<struct<item:bigint,start:int,words:int,equal:int>>"
 
@@ -57,10 +59,10 @@ class Block:
             new = np.ones(len(hashes), bool)  # a seed that a piece repeats counts where it first stands
             new[1:] = (hashes[1:] != hashes[:-1]) | (piece[1:] != piece[:-1])
             self.seeds.append((hashes[new], places[new]))
-        self.short = {}  # items too short for a mask are looked up whole
+        self.short = {}  # shorter items are looked up whole: they may be left without a run of four
         for i in range(len(items)):
             own = self.words[starts[i]:starts[i + 1]]
-            if 0 < len(own) < max(map(len, masks)):
+            if 0 < len(own) < max(min_words, *map(len, masks)):
                 self.short.setdefault(len(own), {}).setdefault(int(own[0]), []).append(i)
 
     def diagonals(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -77,6 +79,9 @@ class Block:
             place = np.repeat(places[hit], times)
             nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             other = at[np.repeat(low[hit], times) + nth]
+            parts = [self.dense(place[n:n + HITS], other[n:n + HITS], words, starts) for n in range(0, len(place), HITS)]
+            good = np.concatenate([*parts, np.zeros(0, bool)])
+            place, other = place[good], other[good]
             found.append(np.stack([np.searchsorted(starts, place, "right") - 1,
                                    np.searchsorted(self.starts, other, "right") - 1, place - other], axis=1))
         for length, firsts in self.short.items():
@@ -87,6 +92,26 @@ class Block:
                     found.append(np.array([[text, piece, place - self.starts[piece]]]))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
+    def dense(self, place: np.ndarray, other: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Hits that lie in or beside a span of ``min_words`` to twice as many tokens with enough equal ones.
+
+        An overlap of any length has such a part, and the part has a seed; other hits need no alignment.
+        """
+        reach = 2 * self.min_words
+        text, piece = np.searchsorted(starts, place, "right") - 1, np.searchsorted(self.starts, other, "right") - 1
+        before = np.minimum(place - starts[text], other - self.starts[piece])
+        after = np.minimum(starts[text + 1] - place, self.starts[piece + 1] - other)
+        steps = np.arange(-reach, reach)
+        inside = (steps >= -before[:, None]) & (steps < after[:, None])
+        equal = inside & (words[np.clip(place[:, None] + steps, 0, len(words) - 1)]
+                          == self.words[np.clip(other[:, None] + steps, 0, len(self.words) - 1)])
+        total = np.zeros((len(place), 2 * reach + 1), np.int16)
+        np.cumsum(equal, axis=1, out=total[:, 1:])
+        good = np.zeros(len(place), bool)
+        for size in range(self.min_words, reach):
+            good |= (total[:, size:] - total[:, :-size]).max(axis=1) >= MIN_SIMILARITY * size - 1e-6
+        return good
+
     def overlaps(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, equal words) of the best overlap on each diagonal that passes."""
         for text, piece, shift in self.diagonals(words, starts):
@@ -102,8 +127,9 @@ class Block:
 def best_span(equal: np.ndarray, similarity: float) -> tuple[int, int] | None:
     """The longest span that begins and ends with equal tokens and has at least this share of them."""
     score = np.concatenate([[0.0], np.cumsum(equal - similarity + 1e-9)])
-    least = np.minimum.accumulate(score)                     # never rises
-    most = np.maximum.accumulate(score[::-1])[::-1]          # the best score from here on
+    edge = np.concatenate([[False], equal, [False]]).astype(bool)
+    least = np.minimum.accumulate(np.where(edge[1:], score, np.inf))               # of beginnings, never rises
+    most = np.maximum.accumulate(np.where(edge[:-1], score, -np.inf)[::-1])[::-1]  # of ends, from here on
     best, i, j = None, 0, 0
     while i < len(score) and j < len(score):
         if most[j] >= least[i]:
@@ -112,10 +138,7 @@ def best_span(equal: np.ndarray, similarity: float) -> tuple[int, int] | None:
             j += 1
         else:
             i += 1
-    if best is None:
-        return None
-    hits = np.flatnonzero(equal[best[0]:best[1]])
-    return (best[0] + int(hits[0]), best[0] + int(hits[-1]) + 1) if len(hits) else None
+    return best
 
 
 def pieces(benchmark: DataFrame, id_col: str, text_col: str, piece_words: int, overlap: int) -> DataFrame:
@@ -139,12 +162,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     Tokens are runs of characters other than ASCII white space, A-Z in lower case. Masks hash chosen places
     of a window; equal hashes of a document and an item give a diagonal, along which the longest span with
     at least 80 % equal tokens is taken, reported from ``min_words`` words on (an item of fewer words: whole).
+    From 12 words on the masks leave out no such span.
     The benchmark is measured and sent in blocks of a bounded size; documents are scanned once per block, and
     nothing of them is shuffled. Null or empty texts share nothing, items without an id or text are left out;
     rows that repeat stay rows; without items every list is empty; other columns pass through.
     """
     carry = docs.columns if carry is None else carry
-    cut = pieces(benchmark, item_id, item_text, piece_words, max(max(map(len, masks)), min_words) * 8)
+    cut = pieces(benchmark, item_id, item_text, piece_words, max(max(map(len, masks)), min_words) * 10)
     total = cut.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()[0]
     count = max(1, math.ceil(total / block_words))
     rows = docs.select(*carry, F.col(text_col).cast("string").alias("_text"), F.array().cast(SPANS).alias("_spans"))
