@@ -134,3 +134,13 @@ def test_a_reply_after_a_hole_answers(spark):
 def test_missing_turns(spark):
     df = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 3)], "conv_id long, turn long")
     assert [(r["conv_id"], r["missing"]) for r in conversation.missing_turns(df).collect()] == [(2, 2)]
+
+
+def test_real_gaps_of_the_whole_table_are_reported(spark, tmp_path):
+    """Turn 1 of conversation 4 and turn 2 of conversation 3 are those that turn_gaps leaves out."""
+    from wardline.plans.chat_queries import turn_gap_counts
+
+    rows = [(c, t, "user", "hello") for c, turns in ((3, (0, 1, 2, 3)), (4, (0, 1, 2, 5))) for t in turns]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, turn_gap_counts(spark, str(tmp_path)).collect())) == [(3, 0), (4, 2)]

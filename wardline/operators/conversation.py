@@ -124,8 +124,11 @@ def conversation_rollup(outcomes: DataFrame) -> DataFrame:
         F.bool_and(~F.col("outcome").isin("blocked_input", "blocked_output")).alias("clean"))
 
 
+def gap_counts(turns: DataFrame) -> DataFrame:
+    """Per conversation, how many turn numbers between its first and its last are missing."""
+    return turns.groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 - F.count(F.lit(1))).alias("missing"))
+
+
 def missing_turns(turns: DataFrame) -> DataFrame:
     """Conversations whose turn numbers have holes, where a reply may lack its question."""
-    return (turns.groupBy("conv_id")
-            .agg((F.max("turn") - F.min("turn") + 1 - F.count(F.lit(1))).alias("missing"))
-            .where(F.col("missing") != 0))
+    return gap_counts(turns).where(F.col("missing") != 0)

@@ -225,6 +225,12 @@ def turn_gaps(spark, folder):
     return conversation.missing_turns(with_holes(spark, folder))
 
 
+@query("""SELECT conv_id, max(turn) - min(turn) + 1 - count(*) AS missing FROM conversations GROUP BY conv_id""")
+def turn_gap_counts(spark, folder):
+    """Missing turns of every conversation of the whole table, none included."""
+    return conversation.gap_counts(tables.conversations(spark, folder))
+
+
 def with_holes(spark: SparkSession, folder: str) -> DataFrame:
     return tables.conversations(spark, folder).where((F.col("conv_id") + F.col("turn")) % 4 != 1)
 
