@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import leaks, lines, mixing, passages, pii, quality, secrets, simhash, tokens, vectors
+from wardline.llm import (
+    bpe, codes, leaks, lines, merkle, mixing, passages, pii, quality, secrets, simhash, tokens, vectors,
+)
 from wardline.llm.common import joined_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,3 +189,116 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.size("later").cast("long").alias("n_later"),
                         F.size("first").cast("long").alias("n_first"), words.alias("repeated_words"),
                         spans.alias("later_spans"), F.col("sources").alias("source_ids"))
+
+
+@_query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every usable vector, the error of its label, and the digest of the codebooks."""
+    found, books = codes.compressed(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return found.select(F.col("id").alias("vec_id"), codes.code_text(F.col("codes")).alias("code"), "error",
+                        "label_error", F.lit(codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """Assignment of every part to all entries, once per round."""
+    def assigned(book: str) -> str:
+        return (f"SELECT vec_id, part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d FROM ("
+                f"SELECT vec_id, part, entry, sum((c - e) * (c - e)) AS d FROM x JOIN {book} USING (part, pos) "
+                f"GROUP BY vec_id, part, entry) GROUP BY vec_id, part")
+
+    steps = []
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({assigned(f'b{n}')})")
+        steps.append(f"""b{n + 1} AS MATERIALIZED (
+        SELECT part, entry, pos, coalesce(m, e) AS e FROM b{n} LEFT JOIN (
+            SELECT part, entry, pos, floor(sum(c)::DOUBLE / count(*))::BIGINT AS m FROM x JOIN a{n} USING (vec_id, part)
+            GROUP BY part, entry, pos) USING (part, entry, pos))""")
+    return f"""
+    WITH v AS (SELECT vec_id, label, embedding FROM embeddings
+               WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+    x AS MATERIALIZED (
+        SELECT vec_id, i // (n // 8) AS part, i % (n // 8) AS pos, floor(embedding[i + 1]::DOUBLE * 4096)::BIGINT AS c
+        FROM (SELECT vec_id, embedding, len(embedding) AS n, unnest(range(len(embedding))) AS i FROM v)),
+    b0 AS MATERIALIZED (SELECT part, entry, pos, c AS e FROM x JOIN (
+        SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 16) USING (vec_id)),
+    {", ".join(steps)},
+    f AS MATERIALIZED ({assigned(f"b{rounds}")}),
+    r AS (SELECT vec_id, label, code, error FROM v JOIN (
+        SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+        FROM f GROUP BY vec_id) USING (vec_id))
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(e::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+    FROM r"""
+
+
+ORACLE["op11_vector_codes"] = _codes_sql()
+
+
+@_query
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and digest of every document's ids, and the digest of what they decode to."""
+    found = bpe.decoded(bpe.encoded(_documents(spark, folder)))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its row as of now, tampered or not, leads to the root."""
+    text = F.col("text")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    tampered = F.when(hit & text.isNotNull(), merkle.document_leaf(merkle.lowered(text)))
+    found = merkle.manifest(_documents(spark, folder), merkle.document_leaf(text), carry={"tampered": tampered})
+    return (found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+            .select(F.col("id").alias("doc_id"), merkle.hex_of(F.col("leaf")).alias("leaf"),
+                    merkle.hex_of(F.col("subroot")).alias("subroot"), "root",
+                    F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+def _merkle_sql() -> str:
+    """Both trees as recursive queries from the leaves up, and the proofs as recursive walks up the runs."""
+    def leaf(text: str) -> str:
+        fields = [f"({text})" if name == "text" else f"{name}::VARCHAR" for name in merkle.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')]),"
+           " lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: "
+           "xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+    return f"""
+    WITH RECURSIVE leaf AS (
+        SELECT doc_id, lang, {leaf('text')} AS h, CASE WHEN {crc} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END
+            AS h2, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+        FROM documents),
+    tree AS (SELECT lang, 0 AS lvl, i, n, h FROM leaf UNION ALL
+             SELECT lang, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tree
+             WHERE n > 1 GROUP BY lang, lvl, i // 8, (n + 7) // 8),
+    sub AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+            FROM tree WHERE n = 1),
+    top AS (SELECT 0 AS lvl, i, n, h FROM sub UNION ALL
+            SELECT lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top
+            WHERE n > 1 GROUP BY lvl, i // 8, (n + 7) // 8),
+    inner_runs AS (SELECT coalesce('=' || lang, '') AS grp, lvl, i // 8 AS run, list(h ORDER BY i) AS hs
+                   FROM tree WHERE n > 1 GROUP BY lang, lvl, i // 8),
+    outer_runs AS (SELECT lvl, i // 8 AS run, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY lvl, i // 8),
+    low AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, 0 AS lvl, i, h2 AS f, '' AS proof FROM leaf UNION ALL
+            SELECT doc_id, grp, lvl + 1, i // 8,
+                   sha256(array_to_string(hs[:i % 8], '') || f || array_to_string(hs[i % 8 + 2:], '')),
+                   proof || array_to_string(hs[:i % 8], '') || array_to_string(hs[i % 8 + 2:], '')
+            FROM low JOIN inner_runs r USING (grp, lvl) WHERE r.run = low.i // 8),
+    mid AS (SELECT doc_id, grp, f, proof FROM low QUALIFY lvl = max(lvl) OVER (PARTITION BY doc_id)),
+    high AS (SELECT doc_id, 0 AS lvl, i, f, proof FROM mid JOIN sub ON grp = coalesce('=' || lang, '') UNION ALL
+             SELECT doc_id, lvl + 1, i // 8,
+                    sha256(array_to_string(hs[:i % 8], '') || f || array_to_string(hs[i % 8 + 2:], '')),
+                    proof || array_to_string(hs[:i % 8], '') || array_to_string(hs[i % 8 + 2:], '')
+             FROM high JOIN outer_runs r USING (lvl) WHERE r.run = high.i // 8),
+    done AS (SELECT doc_id, f, proof FROM high QUALIFY lvl = max(lvl) OVER (PARTITION BY doc_id)),
+    root AS (SELECT h FROM top WHERE n = 1)
+    SELECT doc_id, leaf.h AS leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root,
+           f = root.h AS verified
+    FROM leaf JOIN done USING (doc_id) JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang, root"""
+
+
+ORACLE["op13_merkle_manifest"] = _merkle_sql()
