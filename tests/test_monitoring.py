@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import alerts, canary, metrics, ratelimit, tracing
+from tests.plans import partitionings, plan
+from wardline.operators import alerts, canary, metrics, ratelimit, slices, tracing
 from wardline.operators.gazetteer import with_entities
 from wardline.operators.quantiles import approximate_quantiles, exact_quantiles
 
@@ -80,11 +81,39 @@ def test_burst_of_120_is_limited(spark):
     assert ratelimit.rejected_requests(df, ["client"], "second", "id").where("rejected").count() == 20
 
 
-def test_sliding_load(spark):
+@pytest.mark.parametrize("window, slice_seconds", [(60, None), (60, 61), (60, 5), (1, 500), (300, 100_000)])
+def test_sliding_load(spark, window, slice_seconds):
     rows = events(2)
     df = spark.createDataFrame(rows, "id long, client string, second long")
-    for r in ratelimit.sliding_load(df, ["client"], "second", 60).collect():
-        assert r["load"] == sum(c == r["client"] and r["second"] - 60 <= at <= r["second"] for _, c, at in rows)
+    out = ratelimit.sliding_load(df, ["client"], "second", window, slice_seconds).collect()
+    assert len(out) == len({(c, at) for _, c, at in rows})
+    for r in out:
+        assert r["load"] == sum(c == r["client"] and r["second"] - window <= at <= r["second"] for _, c, at in rows)
+
+
+def test_one_label_uses_many_tasks(spark):
+    """Seconds of one endpoint are dealt by time slices, both where they are summed up and where they trail."""
+    df = spark.createDataFrame([(1, "e", 5, 9)], "id long, l string, s long, e long")
+    for out in (ratelimit.sliding_load(df, ["l"], "s"), metrics.connection_load(df, "s", "e", "l")):
+        windows = [p for p in partitionings(out) if "_sum_slice" in p and "second" not in p]
+        assert windows and "hashpartitioning(l" not in " ".join(p for p in partitionings(out) if "," not in p)
+
+
+@pytest.mark.parametrize("width", [1, 7, 100_000])
+def test_running_sum(spark, width):
+    rng = random.Random(width)
+    rows = [(rng.choice(["hot", "hot", "b", None]), i, rng.randrange(-5, 6)) for i in rng.sample(range(-500, 500), 300)]
+    df = spark.createDataFrame(rows, "g string, at long, v long")
+    for r in slices.running_sum(df, ["g"], "at", "v", "total", width).collect():
+        assert r["total"] == sum(v for g, at, v in rows if g == r["g"] and at <= r["at"])
+    assert slices.running_sum(df, [], "at", "v", "total", width).count() == 300
+
+
+def test_rejections_leave_the_log_where_it_is(spark):
+    """What is shuffled to rank is reduced within tasks first; the log itself meets the admitted by its ids."""
+    df = spark.range(1000).select("id", F.lit("one").alias("client"), (F.col("id") % 7).alias("second"))
+    text = plan(ratelimit.rejected_requests(df, ["client"], "second", "id"))
+    assert text.count("WindowGroupLimit") >= 4 and text.count("hashpartitioning(id") <= 2
 
 
 @pytest.mark.parametrize("gap", [2, 10, 60])

@@ -129,6 +129,33 @@ def test_exact_replay(log, ttl):
     assert sum(r["m"] + r["h"] for r in out) == len(rows)
 
 
+@pytest.mark.parametrize("ttl", [1, 7, 60])
+def test_exact_replay_of_a_key_that_never_pauses(spark, ttl):
+    rng, rows, second = random.Random(9), [], 0
+    while second < 3000:
+        second += rng.randrange(1, max(2, ttl))
+        rows += [("busy", second)] * rng.choice([1, 1, 3])
+    rows += [(None, s) for s in (3, 4, 3 + ttl, 5000)]
+    until, misses = {}, {}
+    for key, s in sorted(rows, key=lambda r: r[1]):
+        if s >= until.get(key, -1):
+            until[key], misses[key] = s + ttl, misses.get(key, 0) + 1
+    frame = spark.createDataFrame(rows, "key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = cache.replay_exact(frame, ["key"], ttl=ttl)
+    got = {r["key"]: (r["m"], r["n"], r["runs"]) for r in out.groupBy("key").agg(
+        F.sum("misses").alias("m"), F.sum("requests").alias("n"), F.count("run").alias("runs")).collect()}
+    assert {k: (m, n) for k, (m, n, _) in got.items()} == {
+        k: (misses[k], sum(key == k for key, _ in rows)) for k in misses}
+    assert ttl == 1 or got["busy"][2] == 1
+
+
+def test_replays_gather_no_lists(spark, log):
+    from tests.plans import plan
+    seconds = spark.createDataFrame([(("a",), 1)], "_key struct<k:string>, sec long")
+    text = plan(cache.miss_links(seconds, 60)) + plan(cache.replay_exact(log[1], ["key"]))
+    assert "collect_list" not in text and "ObjectHashAggregate" not in text
+
+
 @pytest.mark.parametrize("ttl, slice_seconds", [(60, 3600), (5000, 600), (300, 300)])
 def test_live_hits(spark, log, ttl, slice_seconds):
     rows, frame = log

@@ -96,6 +96,41 @@ def test_late_requests_meet_the_count_of_their_window(spark):
     assert {r["id"]: r["rejected"] for r in out.collect()} == {1: False, 2: False, 3: False, 4: True}
 
 
+def test_requests_of_closed_windows_are_rejected(spark):
+    rows = [[(1, 5, "c", 0.0), (2, 6, "d", 0.0)], [(3, 9000, "c", 0.0)], [(4, 9001, "c", 0.0)],
+            [(5, 30, "c", 0.0), (6, 31, "new", 0.0), (7, 9002, "c", 0.0)]]
+    stream = feed(spark, rows).select("id", "client", F.unix_seconds("ts").alias("second"))
+    out = jobs.limit_requests(stream, ["client"], "second", "id", scratch_dir(spark, "lim"), limit=3, window=60,
+                              late="10 minutes")
+    assert {r["id"]: r["rejected"] for r in out.collect()} == {
+        1: False, 2: False, 3: False, 4: False, 5: True, 6: True, 7: False}
+
+
+def test_one_client_with_all_traffic(spark):
+    """Within a task all but the first requests of a window are set aside before they are gathered."""
+    rows = [(i, 1000 - i // 5, "hot", 0.0) for i in range(4000)]
+    stream = feed(spark, [rows[:1500], rows[1500:]]).select("id", "client", F.unix_seconds("ts").alias("second"))
+    out = jobs.limit_requests(stream, ["client"], "second", "id", scratch_dir(spark, "lim"), limit=20, window=2000)
+    first_batch = sorted((r[1], r[0]) for r in rows[:1500])
+    assert {r["id"] for r in out.where("not rejected").collect()} == {i for _, i in first_batch[:20]}
+    assert out.count() == 4000
+
+
+def test_rows_set_aside_are_beyond_the_limit():
+    rng = random.Random(6)
+    for slots in (2, 1000):
+        may_pass, seen, passed = jobs.FirstOfWindow(3, slots), {}, 0
+        for i in range(3000):
+            slot, place = rng.choice("abcde"), (rng.randrange(500), i)
+            before = sum(p < place for p in seen.setdefault(slot, []))
+            kept = may_pass(slot, place)
+            assert kept or before >= 3
+            passed += kept
+            seen[slot].append(place)
+            assert len(may_pass.first) <= slots and all(len(h) <= 3 for h in may_pass.first.values())
+        assert slots < 1000 or passed < 150
+
+
 def test_sessions_stream(spark):
     rows = [(1, 0, "u", 0.0), (2, 600, "u", 0.0), (3, 5000, "u", 0.0), (4, 90_000, "v", 0.0)]
     out = jobs.run_available(jobs.session_counts(feed(spark, [rows]), "client"), "s")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from wardline.operators.joins import join_back, lookup_join
 from wardline.operators.metrics import position
+from wardline.operators.slices import running_sum
 from wardline.plans.policies import DEFAULT_CACHE_TTL
+from wardline.session import scratch_dir
 
 SECOND = 1_000_000  # microseconds
 
@@ -144,33 +146,85 @@ def replay_refreshing(log: DataFrame, keys: list[str], ts: str = "ts", row_id: s
                     F.when(~hit, F.col("first_id")).alias("missing_id")))
 
 
-def replay_exact(log: DataFrame, keys: list[str], ts: str = "ts",
-                 ttl: int = DEFAULT_CACHE_TTL) -> DataFrame:
+def miss_links(seconds: DataFrame, ttl: int) -> DataFrame:
+    """(_key, sec, next): the second at which a request misses next, if one at ``sec`` missed; NULL after the last.
+
+    ``seconds`` has the distinct ``_key, sec`` with requests. An entry written at ``sec`` is dead from ``sec + ttl``
+    on. That point lies in the next slice of ``ttl`` seconds, where the first second from there on is looked up;
+    else the next miss is the first second of the slice after it. Where that slice is empty too, a pause of more
+    than ``ttl`` follows, after which a request misses anyhow: such links are left out. A task holds the seconds of
+    one slice and the points that reach it, at most ``ttl`` each.
+    """
+    own = F.floor(F.col("sec") / ttl)
+    there = seconds.select("_key", own.alias("_slice"), F.col("sec").alias("_at"), F.lit(1).alias("_is"),
+                           F.col("sec").alias("_there"), F.lit(None).cast("long").alias("_from"))
+    asked = seconds.select("_key", (own + 1).alias("_slice"), (F.col("sec") + ttl).alias("_at"), F.lit(0).alias("_is"),
+                           F.lit(None).cast("long").alias("_there"), F.col("sec").alias("_from"))
+    later = (Window.partitionBy("_key", "_slice").orderBy(F.desc("_at"), F.desc("_is"))
+             .rowsBetween(Window.unboundedPreceding, 0))
+    found = (there.unionByName(asked).withColumn("_next", F.min("_there").over(later))
+             .where(F.col("_from").isNotNull()))
+    first = seconds.groupBy("_key", (own - 1).alias("_slice")).agg(F.min("sec").alias("_first"))
+    return (found.join(first, ["_key", "_slice"], "left")
+            .select("_key", F.col("_from").alias("sec"), F.coalesce("_next", "_first").alias("next")))
+
+
+def misses_of_runs(roots: DataFrame, links: DataFrame, longest: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_key, sec) of all misses: ``roots`` and what the links lead to from them, by pointer doubling.
+
+    Round by round a pointer reaches twice as far, and the misses known so far find as many again. Pointers that
+    run out are dropped, so runs shorter than the reach cost nothing any more. No step walks along a run.
+    ``longest`` bounds the misses of a run; ``keep`` writes a table and reads it back.
+    """
+    known, jumps, reach = roots.select("_key", "sec"), keep(links.where("next is not null")), 1
+    while reach < longest:
+        found = known.join(jumps, ["_key", "sec"]).select("_key", F.col("next").alias("sec"))
+        known = keep(known.unionByName(found))
+        reach *= 2
+        if reach < longest:
+            onward = jumps.select("_key", F.col("sec").alias("next"), F.col("next").alias("_next"))
+            jumps = keep(jumps.join(onward, ["_key", "next"]).select("_key", "sec", F.col("_next").alias("next")))
+    return known
+
+
+def replay_exact(log: DataFrame, keys: list[str], ts: str = "ts", ttl: int = DEFAULT_CACHE_TTL) -> DataFrame:
     """Replay on a cache whose entries live ``ttl`` seconds from being written. Per key and run.
 
     The clock ticks in whole seconds, as TTLs do. A miss writes the entry, requests before its expiry
-    hit, the next one misses. That walk is sequential, so it is cut wherever it can be: a pause of at
-    least ``ttl`` outlives every entry and starts a new run. A run holds one value per second with
-    traffic, at most 86,400 a day, whatever the number of requests; it is folded in the JVM.
+    hit, the next one misses. A pause of at least ``ttl`` outlives every entry and starts a new run, whose first
+    request misses; the other misses follow from there by links (``misses_of_runs``). A key that never pauses is
+    one run, whose seconds are dealt to tasks by slices of ``ttl``. Tables between rounds lie in the shared folder.
     """
-    seconds = (log.groupBy(*keys, F.floor(micros(F.col(ts)) / SECOND).alias("sec"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    order = Window.partitionBy(*keys).orderBy("sec")
-    started = F.when(F.col("sec") - F.lag("sec").over(order) < ttl, 0).otherwise(1)
-    runs = (seconds.withColumn("_start", started)
-            .withColumn("run", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy(*keys, "run")
-            .agg(F.sum("n").alias("requests"), F.min("sec").alias("from_sec"),
-                 F.array_sort(F.collect_list("sec")).alias("_secs")))
-    start = F.struct(F.col("from_sec").alias("until"), F.lit(0).cast("long").alias("misses"))
-
-    def step(state: Column, sec: Column) -> Column:
-        expired = sec >= state["until"]
-        return F.struct(F.when(expired, sec + ttl).otherwise(state["until"]).alias("until"),
-                        F.when(expired, state["misses"] + 1).otherwise(state["misses"]).alias("misses"))
-
-    return (runs.withColumn("misses", F.aggregate("_secs", start, step)["misses"])
-            .select(*keys, "run", "requests", "misses",
+    spark, folder = log.sparkSession, scratch_dir(log.sparkSession, "replay")
+    written = iter(range(1_000_000))
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(written)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    seconds = keep(log.groupBy(F.struct(*keys).alias("_key"), F.floor(micros(F.col(ts)) / SECOND).alias("sec"))
+                   .agg(F.count(F.lit(1)).alias("n")))
+    slices = keep(seconds.groupBy("_key", F.floor(F.col("sec") / ttl).alias("_slice")).agg(
+        F.min("sec").alias("_first"), F.max("sec").alias("_last"), F.sum("n").alias("_n")))
+    # only the first second of a slice can follow a pause, and only a second of the slice before can prevent it
+    before = slices.select("_key", (F.col("_slice") + 1).alias("_slice"), F.col("_last").alias("_before"))
+    fresh = F.coalesce(F.col("_first") - F.col("_before") < ttl, F.lit(False))
+    started = (slices.join(before, ["_key", "_slice"], "left")
+               .withColumn("_start", F.when(fresh, 0).otherwise(1)))
+    numbered = keep(running_sum(started, ["_key"], "_slice", "_start", "run", 4096)
+                    .select("_key", "_slice", "_first", "_n", "_start", "run"))
+    runs = numbered.groupBy("_key", "run").agg(F.sum("_n").alias("requests"), F.count(F.lit(1)).alias("_slices"))
+    longest = runs.agg(F.max("_slices")).first()[0] or 0  # a slice of ttl seconds has one miss at most
+    roots = numbered.where("_start = 1").select("_key", F.col("_first").alias("sec"))
+    links = miss_links(seconds.select("_key", "sec"), ttl)  # a link to the start of a run would find it twice
+    inside = links.join(roots.select("_key", F.col("sec").alias("next")), ["_key", "next"], "left_anti")
+    found = misses_of_runs(roots, inside, longest, keep)
+    missed = (found.withColumn("_slice", F.floor(F.col("sec") / ttl)).join(
+        numbered.select("_key", "_slice", "run"), ["_key", "_slice"])
+        .groupBy("_key", "run").agg(F.count(F.lit(1)).alias("misses")))
+    return (runs.join(missed, ["_key", "run"])
+            .select(*[F.col("_key")[k].alias(k) for k in keys], "run", "requests", "misses",
                     (F.col("requests") - F.col("misses")).alias("hits")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.arrays import exploded
 from wardline.operators.quantiles import exact_quantiles
+from wardline.operators.slices import running_sum
 
 # ---- Fixed values: histogram bucket bounds in seconds ---------------------------------------------
 REQUEST_BUCKETS = [0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0]
@@ -71,18 +72,17 @@ def last_values(samples: DataFrame, value: str, ts: str, tie: str, *labels: str)
     return samples.groupBy(*labels).agg(F.max_by(value, position(F.col(ts), F.col(tie))).alias("value"))
 
 
-def connection_load(requests: DataFrame, start: str, end: str, *labels: str) -> DataFrame:
+def connection_load(requests: DataFrame, start: str, end: str, *labels: str, slice_seconds: int = 3600) -> DataFrame:
     """Open connections at the end of each second in which their number changes.
 
-    Starts add one and ends take one off. Both are netted per second first, so the running total
-    scans at most one row per second of the log and label set.
+    Starts add one and ends take one off. Both are netted per second first, and the running total is carried
+    from slice to slice, so the seconds of one label are dealt to many tasks.
     """
     changes = F.array(F.struct(F.col(start).alias("second"), F.lit(1).alias("change")),
                       F.struct(F.col(end).alias("second"), F.lit(-1).alias("change")))
     net = (requests.select(*labels, F.inline(changes))
            .groupBy(*labels, "second").agg(F.sum("change").alias("net")))
-    order = Window.partitionBy(*labels).orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    return net.withColumn("active", F.sum("net").over(order))
+    return running_sum(net, list(labels), "second", "net", "active", slice_seconds)
 
 
 def confidence_level(score: Column) -> Column:

@@ -5,37 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.slices import trailing_sum
+
 # ---- Fixed values ---------------------------------------------------------------------------------
 REQUEST_LIMIT, BATCH_REQUEST_LIMIT, WINDOW_SECONDS = 100, 200, 60
 # ---- End of fixed values --------------------------------------------------------------------------
 
 
-def rank_in_window(requests: DataFrame, slot: list[str], order: list[str], row_id: str, limit: int,
-                   salts: int) -> DataFrame:
-    """Adds ``rank``: the place of a request in its slot, or NULL where that is beyond ``limit`` for sure.
+def admitted_ids(requests: DataFrame, slot: list[str], order: list[str], row_id: str, limit: int,
+                 salts: int) -> DataFrame:
+    """The ids of the first ``limit`` requests of every slot.
 
-    Ranking runs in two steps so that no slot has to fit one task. Within each of ``salts`` shares of a
-    slot, a request ranked beyond the limit has that many before it. Only the others, at most ``limit``
-    times ``salts`` per slot, are ranked together.
+    A slot is first cut into ``salts`` shares, in which a request beyond the limit has that many before it; the
+    others, at most ``limit`` times ``salts`` per slot, are ranked together. Up to 1,000 Spark applies either limit
+    within every task before it shuffles, so what travels is a few rows per slot and task, not the log.
     """
+    names = list(dict.fromkeys([*slot, *order, row_id]))
     shares = Window.partitionBy(*slot, "_share").orderBy(*order)
-    shared = (requests.withColumn("_share", F.pmod(F.xxhash64(row_id), F.lit(salts)))
-              .withColumn("_rank", F.row_number().over(shares)))
-    # possible admissions of a slot meet in share -1; the others stay where they are
-    placed = shared.withColumn("_share", F.when(F.col("_rank") <= limit, -1).otherwise(F.col("_share")))
-    return (placed.withColumn("_rank", F.row_number().over(shares))
-            .withColumn("rank", F.when(F.col("_share") < 0, F.col("_rank")))
-            .drop("_share", "_rank"))
+    together = Window.partitionBy(*slot).orderBy(*order)
+    return (requests.select(*names, F.pmod(F.xxhash64(row_id), F.lit(salts)).alias("_share"))
+            .withColumn("_rank", F.row_number().over(shares)).where(F.col("_rank") <= limit)
+            .withColumn("_rank", F.row_number().over(together)).where(F.col("_rank") <= limit).select(row_id))
 
 
 def rejected_requests(requests: DataFrame, client: list[str], seconds: str, row_id: str,
                       limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS,
                       salts: int = 32) -> DataFrame:
-    """Marks requests beyond the limit of their client and fixed window, in order of arrival."""
+    """Marks requests beyond the limit of their client and fixed window, in order of arrival.
+
+    ``row_id`` is unique. The log is shuffled once at most, by its ids, to meet the admitted ones; not at all where
+    those are few enough for Spark to broadcast them.
+    """
     placed = requests.withColumn("window", F.floor(F.col(seconds) / window))
-    ranked = rank_in_window(placed, [*client, "window"], [seconds, row_id], row_id, limit, salts)
-    return (ranked.withColumn("rejected", F.coalesce(F.col("rank") > limit, F.lit(True)))
-            .drop("rank"))
+    admitted = admitted_ids(placed, [*client, "window"], [seconds, row_id], row_id, limit, salts)
+    return (placed.join(admitted.withColumn("_admitted", F.lit(True)), row_id, "left")
+            .withColumn("rejected", F.col("_admitted").isNull()).drop("_admitted"))
 
 
 def limit_summary(requests: DataFrame, client: list[str], seconds: str, limit: int = REQUEST_LIMIT,
@@ -48,13 +52,12 @@ def limit_summary(requests: DataFrame, client: list[str], seconds: str, limit: i
 
 
 def sliding_load(requests: DataFrame, client: list[str], seconds: str,
-                 window: int = WINDOW_SECONDS) -> DataFrame:
+                 window: int = WINDOW_SECONDS, slice_seconds: int | None = None) -> DataFrame:
     """Requests of each client in the trailing window, for every second with a request.
 
-    Requests of the same second share their window, so seconds are counted first; the window then
-    scans at most one row per second of the log.
+    Requests of the same second share their window, so seconds are counted first. The seconds of a client are
+    cut into slices that know the end of the slice before, so one client is dealt to many tasks.
     """
     per_second = (requests.groupBy(*client, F.floor(seconds).alias("second"))
                   .agg(F.count(F.lit(1)).alias("requests")))
-    trailing = Window.partitionBy(*client).orderBy("second").rangeBetween(-window, 0)
-    return per_second.withColumn("load", F.sum("requests").over(trailing))
+    return trailing_sum(per_second, client, "second", "requests", "load", window, slice_seconds)

@@ -6,13 +6,15 @@ present, with its output and checkpoint in shared storage.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from wardline.operators.engine import validate
 from wardline.operators.metrics import exact_sum
@@ -84,35 +86,114 @@ def run_available(stream: DataFrame, name: str, path: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+class FirstOfWindow:
+    """Tells, batch by batch, rows that cannot be among the first ``limit`` of their slot from those that may be.
+
+    A row is beyond the limit for sure once ``limit`` rows of its slot with an earlier place were seen. Kept are the
+    places of the first rows of at most ``slots`` slots; beyond that it forgets all, which lets more rows through.
+    """
+
+    def __init__(self, limit: int, slots: int = 100_000):
+        self.limit, self.slots, self.first = limit, slots, {}
+
+    def __call__(self, slot: tuple, place: tuple) -> bool:
+        heap = self.first.get(slot)
+        if heap is None:
+            if len(self.first) >= self.slots:
+                self.first.clear()
+            heap = self.first[slot] = []
+        if len(heap) < self.limit:
+            bisect.insort(heap, place)
+            return True
+        if not heap or place >= heap[-1]:
+            return False
+        bisect.insort(heap, place)
+        heap.pop()
+        return True
+
+
+class WindowLimiter(StatefulProcessor):
+    """Decides the requests of one client and window; the state is the number admitted, until the window closes."""
+
+    def __init__(self, columns: list[str], order: list[str], limit: int, window: int):
+        self.columns, self.order, self.limit, self.window = columns, order, limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.admitted = handle.getValueState("admitted", StructType([StructField("n", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        window, share = key[-2], key[-1]
+        end = (int(window) + 1) * self.window * 1000
+        closed = end <= timerValues.getCurrentWatermarkInMs()
+        seen = self.admitted.get()[0] if not share and self.admitted.exists() else 0
+        room = 0 if share or closed else max(0, self.limit - seen)
+        first = None  # the first rows so far; of each part only those that may go before them are kept
+        for part in rows:
+            if not room:
+                yield self._decided(part, True)
+                continue
+            part = part if first is None else pd.concat([first, part])
+            part = part.sort_values(self.order, kind="stable")
+            first = part.iloc[:room]
+            if len(part) > room:
+                yield self._decided(part.iloc[room:], True)
+        if first is not None:
+            yield self._decided(first, False)
+            if not seen:
+                self.handle.registerTimer(end)
+            self.admitted.update((seen + len(first),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.admitted.clear()
+        return iter(())
+
+    def _decided(self, rows: pd.DataFrame, rejected: bool) -> pd.DataFrame:
+        return rows[self.columns].assign(rejected=rejected)
+
+    def close(self) -> None:
+        pass
+
+
 def limit_requests(requests: DataFrame, client: list[str], seconds: str, row_id: str, path: str,
-                   limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS, late: str = "1 hour") -> DataFrame:
+                   limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS, late: str = "1 hour",
+                   spread: int = 1024) -> DataFrame:
     """Decide for each arriving request whether it is beyond the limit of its client and window.
 
-    Spark keeps one number per client and window as state: how many were admitted. Within a micro-batch the
-    earlier requests of a window go first. A window's number is kept until no request can reach it any more,
-    that is for ``late`` after its end as measured by the requests; what is later still gets no decision. A
-    batch that is run again after a failure starts from the same state. One window of one client is the unit
-    of work. Runs over all data present and reads the decisions back.
+    Spark keeps one number per client and window in its RocksDB state: how many were admitted. Within a micro-batch
+    the earlier requests of a window go first. Every task first sets aside the requests that ``limit`` earlier ones
+    of their window precede: they are rejected without being gathered, so the task that decides a window gets
+    about ``limit`` requests from every task, however many there are. A window closes once no request can be
+    expected any more, ``late`` after its end by the requests' own times; its number goes then, and what still
+    arrives for it is rejected. So every request gets one decision. A batch that is run again after a failure
+    starts from the same state. Runs over all data present and reads the decisions back.
     """
     spark = requests.sparkSession
-    placed = requests.withColumns({
-        "window": F.floor(F.col(seconds) / window),
-        "_time": F.timestamp_seconds(F.col(seconds))}).withWatermark("_time", late)
-    names = [c for c in placed.columns if c != "_time"]
-    output = StructType([*placed.select(*names).schema.fields, StructField("rejected", BooleanType())])
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([seconds, row_id], kind="stable")
-        admitted = state.get[0] if state.exists else 0
-        room = max(0, limit - admitted)
-        state.update((admitted + min(room, len(rows)),))
-        end = int(key[-1] + 1) * window * 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield rows[names].assign(rejected=[place >= room for place in range(len(rows))])
-
-    decided = placed.groupBy(*client, "window").applyInPandasWithState(
-        decide, output, "admitted long", "append", GroupStateTimeout.EventTimeTimeout)
-    return run_available(decided, "limit-requests", path)
+    columns, order = [*requests.columns, "window"], [seconds, row_id]
+    slot = [*client, "window"]
+    timed = requests.withColumns({
+        "window": F.floor(F.col(seconds) / window), "_time": F.timestamp_seconds(F.col(seconds))})
+    # the watermark is drawn here and its column left behind: nothing is dropped for being late
+    placed = timed.withWatermark("_time", late).select(*columns, F.lit(0).alias("_share"))
+
+    def sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        may_pass = FirstOfWindow(limit)
+        for rows in batches:
+            slots = zip(*(rows[c] for c in slot))
+            places = zip(rows[seconds], rows[row_id])
+            sure = [not may_pass(where, place) for where, place in zip(slots, places)]
+            # rejected for sure: to any task, as shares of the window that admit nothing
+            yield rows.assign(_share=np.where(sure, 1 + np.arange(len(rows)) % spread, 0).astype(np.int32))
+
+    sorted_out = placed.mapInPandas(sort_out, placed.schema)
+    output = StructType([*placed.select(*columns).schema.fields, StructField("rejected", BooleanType())])
+    limiter = WindowLimiter(columns, order, limit, window)
+    decided = sorted_out.groupBy(*slot, "_share").transformWithStateInPandas(
+        limiter, output, "append", "EventTime")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run_available(decided, "limit-requests", path)
+    finally:
+        spark.conf.set(provider, before)
