@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tests.plans import partitionings, plan
 from wardline.operators import alerts, canary, metrics, ratelimit, slices, tracing
 from wardline.operators.gazetteer import with_entities
-from wardline.operators.quantiles import approximate_quantiles, exact_quantiles
+from wardline.operators.quantiles import (
+    approximate_quantiles, exact_quantiles, merged_quantiles, quantile_sketches, rank_errors,
+)
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +44,28 @@ def test_quantiles_of_the_whole_table(spark, samples):
     assert near == pytest.approx(exact, rel=0.05)
 
 
+def test_quantiles_count_before_they_join(spark, samples):
+    df = spark.createDataFrame([("g", float(v)) for v in samples["hot"]], "g string, v double")
+    text = plan(exact_quantiles(df, ["g"], "v", [0.5]))
+    joined = text[text.index("Join"):]
+    assert "HashAggregate(keys=[g" in joined and "partial_count" in joined.split("Join")[-1]
+
+
+def test_sketches_merge_over_windows(spark, samples):
+    rows = [("a", i % 7, float(v)) for i, v in enumerate(samples["hot"])] + [("b", 0, 3.0)] * 50
+    rows += [("a", 1, None), ("a", 2, float("nan")), ("a", 3, float("inf")), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "g string, w int, v double")
+    stored = quantile_sketches(df, ["g", "w"], "v", items=64)
+    assert stored.count() == 8
+    merged = merged_quantiles(stored, ["g"], [0.0, 0.5, 0.95, 0.99, 1.0], items=64)
+    found = {(r["g"], r["probability"]): r for r in rank_errors(df, ["g"], "v", merged).collect()}
+    assert len(found) == 10 and all(r["rank_error"] <= 0.05 for r in found.values())
+    assert found["b", 0.99]["quantile"] == 3.0 and found["b", 0.99]["rank_error"] == 0
+    assert found["a", 0.5]["n"] == 2000 and found["a", 1.0]["quantile"] == max(samples["hot"])
+    off = rank_errors(df, ["g"], "v", merged.withColumn("quantile", F.lit(float(np.quantile(samples["hot"], 0.9)))))
+    assert {round(r["rank_error"], 2) for r in off.where("g = 'a'").collect()} == {0.9, 0.4, 0.05, 0.09, 0.1}
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([("a", v) for v in (0.05, 0.1, 0.3, 99.0)] + [("a", None)], "l string, v double")
     got = {r["le"]: (r["cumulative"], r["observations"], r["total"])

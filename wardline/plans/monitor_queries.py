@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import alerts as alerting
-from wardline.operators import cache, metrics, ratelimit, tracing
+from wardline.operators import cache, metrics, quantiles, ratelimit, tracing
 from wardline.plans.catalog import query
 from wardline.session import scratch_dir
 from wardline.sources import logs, sinks, tables
@@ -107,6 +107,19 @@ def latency_stats(spark, folder):
     return stats.withColumns({c: F.round(c, 6) for c in ("mean", "p95", "p99", "throughput")})
 
 
+@query(f"""WITH {_LOG} SELECT endpoint, unnest([0.5::DOUBLE, 0.95, 0.99]) AS probability, count(*) AS requests, true AS within
+           FROM l WHERE isfinite(duration) GROUP BY 1""")
+def latency_sketch(spark, folder):
+    """Tail latency from stored hourly sketches, merged to the whole period: its ranks are within one percent."""
+    requests, path = log(spark, folder), scratch_dir(spark, "sketches")
+    hourly = quantiles.quantile_sketches(
+        requests.withColumn("hour", F.floor(F.col("micros") / HOUR)), ["endpoint", "hour"], "duration")
+    sinks.write_sketches(hourly.withColumn("day", F.floor(F.col("hour") / 24)), path)
+    merged = quantiles.merged_quantiles(spark.read.parquet(path), ["endpoint"], [0.5, 0.95, 0.99])
+    return quantiles.rank_errors(requests, ["endpoint"], "duration", merged).select(
+        "endpoint", "probability", F.col("n").alias("requests"), (F.col("rank_error") <= 0.01).alias("within"))
+
+
 @query(f"""WITH {_LOG} SELECT strftime(ts, '%Y-%m-%d') AS day,
            round(avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM l GROUP BY 1""")
 def error_rate(spark, folder):

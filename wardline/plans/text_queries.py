@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions import pii, scorers
+from wardline.functions import markup, pii, scorers
 from wardline.functions.arrays import computed_once, exploded
 from wardline.operators import admission, engine, metrics
 from wardline.operators.canary import arm
@@ -365,6 +365,38 @@ def policy_drift(spark, folder):
         F.count(F.when(F.col("first_valid") != F.col("valid"), 1)).alias("differing"))
 
 
+def _pages_sql() -> str:
+    names = ", ".join(f"'{name}': '{char}'" for name, char in markup.ENTITIES.items()).replace("'\''", "chr(39)")
+    return f"""
+    WITH h1 AS (SELECT page_id, regexp_replace(regexp_replace(html, '{markup.HIDDEN}', ' ', 'g'),
+                                               '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g') AS x FROM pages),
+    h2 AS (SELECT page_id, regexp_replace(regexp_replace(x, '{markup.BLOCKS}', chr(10), 'g'), '{markup.TAGS}', '', 'g') AS x
+           FROM h1),
+    h3 AS (SELECT page_id, string_split(trim(regexp_replace(regexp_replace(x, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'),
+                                             ' ' || chr(10)), '&') AS parts FROM h2),
+    h4 AS (SELECT page_id, unnest(range(len(parts))) AS i, unnest(parts) AS part FROM h3),
+    h5 AS (SELECT *, regexp_extract(part, '{markup.REFERENCE}', 1) AS name FROM h4),
+    h6 AS (SELECT *, CASE WHEN name ILIKE '#x%' THEN ('0x' || name[3:])::INT WHEN name LIKE '#%' THEN name[2:]::INT END AS code
+           FROM h5),
+    h7 AS (SELECT *, CASE WHEN code IS NULL THEN MAP {{{names}}}[name]
+                          WHEN code > 0 AND code < 1114112 AND code NOT BETWEEN 55296 AND 57343 THEN chr(code) END AS char FROM h6),
+    page_text AS (SELECT page_id, string_agg(CASE WHEN i = 0 THEN part
+                      ELSE coalesce(char || part[length(name) + 2:], '&' || part) END, '' ORDER BY i) AS text
+                  FROM h7 GROUP BY page_id)"""
+
+
+@query(f"""{_pages_sql()}, {sql.measures('page_text', 'page_id')}, {sql.POLICIES},
+    j AS (SELECT * FROM m JOIN p ON guardrail = 'customer_service'), {sql.FLAGS}
+    SELECT page_id, md5(text) AS text_md5, n AS length, {sql.VALID} AS valid, {sql.ACTION} AS action, {sql.FAILED} AS failed,
+           md5({sql.PROCESSED}) AS processed_md5 FROM f""")
+def pages_validate(spark, folder):
+    """Web pages as texts: markup to text, then the verdicts of the customer policy."""
+    verdicts = engine.validate(tables.page_texts(spark, folder), "customer_service")
+    return verdicts.select(
+        "page_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("length"), "valid", "action",
+        failed_names().alias("failed"), F.md5("processed_text").alias("processed_md5"))
+
+
 def _validate_query(name: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return verdict_rows(engine.validate(texts(spark, folder), name))

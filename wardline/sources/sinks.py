@@ -45,6 +45,11 @@ def write_metrics(samples: DataFrame, path: str, mode: str = "append") -> None:
     _write(samples, path, mode, "metric")
 
 
+def write_sketches(sketches: DataFrame, path: str, mode: str = "append") -> None:
+    """Quantile sketches by day, so that a period reads its days only."""
+    _write(sketches, path, mode, "day")
+
+
 def write_spans(spans: DataFrame, path: str, mode: str = "append") -> None:
     spans.write.mode(mode).parquet(path)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.arrays import exploded
+from wardline.functions.arrays import computed_once, exploded
+from wardline.functions.markup import markup_text
 from wardline.schemas import BATCHES, CONVERSATIONS, DOCUMENTS, EVENTS, REQUESTS
+from wardline.session import spread
 
 
 def requests(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -30,6 +32,12 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as texts to check: their readable text, extracted once and on all cores."""
+    read = spread(pages(spark, folder), "page_id")
+    return computed_once(read.select("page_id", "url", "html"), {"text": markup_text(F.col("html"))}).drop("html")
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Request log; the stored wall-clock times are taken as UTC instants."""
     return (spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
