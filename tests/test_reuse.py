@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from wardline.operators import cache, engine
 from wardline.operators.joins import is_small, join_back, lookup_join
+from wardline.session import scratch_dir, written_tables
+from wardline.sources import sinks
+from tests.plans import plan
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +67,46 @@ def test_through_store(texts, hot_rows):
         seen.add(r["cache_key"])
 
 
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_through_a_bucketed_store(spark, texts, hot_rows):
+    known = texts.where("id < 30").select("cache_key", "text").distinct()
+    entries = cache.store_entries(score(known).select("cache_key", "valid"), F.timestamp_seconds(F.lit(100)), 60)
+    older = entries.withColumn("valid", ~F.col("valid")).withColumn("written_at", F.timestamp_seconds(F.lit(50)))
+    name = f"probed_{hot_rows}"
+    store = sinks.write_bucketed_store(entries.unionByName(older), name, scratch_dir(spark, name), buckets=4)
+    assert store.count() == known.count()  # the newest entry of a key
+    live = store.select("cache_key", "valid")
+    out = cache.validate_through_store(texts, live, score, "id", hot_rows=hot_rows, bucketed=True).collect()
+    assert {r["id"]: r["valid"] for r in out} == plain_answers(texts) and len(out) == 300
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_bucketed_store_is_not_shuffled(spark, texts):
+    entries = score(texts).select("cache_key", "valid").withColumn("written_at", F.timestamp_seconds(F.lit(0)))
+    store = sinks.write_bucketed_store(entries, "still", scratch_dir(spark, "still"), buckets=4)
+    keep, before = written_tables(spark, "still-asked"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(cache.store_join(texts.select("id", "cache_key"), store.select("cache_key", "valid"), "cache_key", keep))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("Exchange") == 1 and "Bucketed: true" in text
+    spark.sql("DROP TABLE still")
+
+
+def test_misses_are_scored_once(texts):
+    asked = []
+
+    def counting(df):
+        asked.append(df.count())
+        return score(df)
+
+    live = score(texts.where("id < 30").select("cache_key", "text").distinct()).select("cache_key", "valid")
+    cache.validate_through_store(texts, live, counting, "id").collect()
+    missing = texts.join(live, "cache_key", "left_anti").select("text").distinct().count()
+    assert asked == [missing]
+
+
 def test_probe(texts):
     live = texts.where("id < 30").select("cache_key").distinct()
     stored = {r["cache_key"] for r in live.collect()}
@@ -150,7 +193,6 @@ def test_exact_replay_of_a_key_that_never_pauses(spark, ttl):
 
 
 def test_replays_gather_no_lists(spark, log):
-    from tests.plans import plan
     seconds = spark.createDataFrame([(("a",), 1)], "_key struct<k:string>, sec long")
     text = plan(cache.miss_links(seconds, 60)) + plan(cache.replay_exact(log[1], ["key"]))
     assert "collect_list" not in text and "ObjectHashAggregate" not in text

@@ -16,7 +16,7 @@ from wardline.operators.joins import join_back, lookup_join
 from wardline.operators.metrics import position
 from wardline.operators.slices import running_sum
 from wardline.plans.policies import DEFAULT_CACHE_TTL
-from wardline.session import scratch_dir
+from wardline.session import written_tables
 
 SECOND = 1_000_000  # microseconds
 
@@ -93,32 +93,55 @@ def probe(requests: DataFrame, live: DataFrame, row_id: str, key: str = "cache_k
     return answered.unionByName(requests.where(F.col(bypass)).withColumn("outcome", F.lit("bypass")))
 
 
+def store_join(asked: DataFrame, store: DataFrame, key: str, keep: Callable[[DataFrame], DataFrame],
+               hot_rows: int = 1_000_000) -> DataFrame:
+    """Requests with the entry of their key, from a store bucketed by key; NULL columns where it has none.
+
+    The store is read by its buckets and not shuffled; only the requests travel to them. A key with ``hot_rows``
+    requests or more would fill one bucket's task, so the entries of such keys, at most as many as the requests
+    divided by ``hot_rows``, are looked up first and joined to their requests where those are.
+    """
+    hot = keep(asked.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows).select(key))
+    if not hot.limit(1).count():
+        return asked.join(store, key, "left")
+    entries = keep(hot.join(store, key, "left"))  # one row per hot key
+    busy = lookup_join(asked, entries, [key], key, "inner", hot_rows=hot_rows)
+    others = lookup_join(asked, hot, [key], key, "left_anti", hot_rows=hot_rows)
+    return others.join(store, key, "left").unionByName(busy)
+
+
 def validate_through_store(requests: DataFrame, live: DataFrame,
                            score: Callable[[DataFrame], DataFrame], row_id: str,
                            key: str = "cache_key", text: str = "text", bypass: str | None = None,
-                           hot_rows: int | None = None) -> DataFrame:
+                           hot_rows: int | None = None, bucketed: bool = False) -> DataFrame:
     """Validate requests, reusing live store entries and scoring each missing text once.
 
     ``score`` adds result columns to the table it is given and keeps the others; ``live`` has the key
-    and those columns. ``cache_hit`` is true for answers from the store and for all but the first
+    and those columns, one row per key. ``cache_hit`` is true for answers from the store and for all but the first
     copy of a newly scored text. Bypassing requests are scored themselves and never count as hits.
-    Gives the row id, the key and the results. Requests are looked up and answered by row id and key alone;
-    of texts only the first one of each missing key is fetched, by its row id.
+    Gives the row id, the key and the results. The store is asked once, by row id and key alone; the answers lie in
+    the shared folder, so the misses among them have a known size and are computed once. Of texts only the first
+    one of each missing key is fetched, by its row id. ``bucketed`` says that the store is a table of
+    ``sinks.write_bucketed_store``, which is then not shuffled.
     """
+    keep = written_tables(requests.sparkSession, "through-store")
     asked = requests if bypass is None else requests.where(~F.coalesce(F.col(bypass), F.lit(False)))
+    names = [c for c in live.columns if c != key]
+    known = live.select(key, F.struct(*names).alias("_entry"))
     slim = asked.select(row_id, key)
-    known = live.select(key, F.lit(True).alias("_known"))
-    missed = join_back(slim, known, key, row_id, hot_rows).where(F.col("_known").isNull())
+    if bucketed:
+        found = store_join(slim, known, key, keep, hot_rows or 1_000_000)
+    else:
+        found = join_back(slim, known, key, row_id, hot_rows)
+    found = keep(found)
+    missed = found.where(F.col("_entry").isNull()).select(row_id, key)
     first = missed.groupBy(key).agg(F.min(row_id).alias(row_id)).select(row_id)
-    scored = score(lookup_join(asked, first, [row_id], row_id, "left_semi")).drop(text)
     extra = [c for c in asked.columns if c not in (row_id, key, text)]
-    scored = scored.drop(*extra).withColumnRenamed(row_id, "first_id")
-    stored = live.withColumn("first_id", F.lit(None).cast(asked.schema[row_id].dataType))
-    results = stored.unionByName(scored, allowMissingColumns=True)
-    answered = join_back(slim, results, key, row_id, hot_rows)
-    # a stored answer has no first request: every request for it is a hit
-    answered = answered.withColumn("cache_hit", F.coalesce(
-        F.col(row_id) != F.col("first_id"), F.lit(True))).drop("first_id")
+    scored = keep(score(asked.join(first, row_id, "left_semi")).drop(text, *extra).withColumnRenamed(row_id, "first_id"))
+    reused = found.where(F.col("_entry").isNotNull()).select(row_id, key, "_entry.*", F.lit(True).alias("cache_hit"))
+    fresh = join_back(missed, scored, key, row_id, hot_rows)
+    answered = reused.unionByName(fresh.select(
+        row_id, key, *names, (F.col(row_id) != F.col("first_id")).alias("cache_hit")))
     if bypass is None:
         return answered
     direct = (score(requests.where(F.coalesce(F.col(bypass), F.lit(False)))).withColumn("cache_hit", F.lit(False)))
@@ -195,14 +218,7 @@ def replay_exact(log: DataFrame, keys: list[str], ts: str = "ts", ttl: int = DEF
     request misses; the other misses follow from there by links (``misses_of_runs``). A key that never pauses is
     one run, whose seconds are dealt to tasks by slices of ``ttl``. Tables between rounds lie in the shared folder.
     """
-    spark, folder = log.sparkSession, scratch_dir(log.sparkSession, "replay")
-    written = iter(range(1_000_000))
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{next(written)}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
+    keep = written_tables(log.sparkSession, "replay")
     seconds = keep(log.groupBy(F.struct(*keys).alias("_key"), F.floor(micros(F.col(ts)) / SECOND).alias("sec"))
                    .agg(F.count(F.lit(1)).alias("n")))
     slices = keep(seconds.groupBy("_key", F.floor(F.col("sec") / ttl).alias("_slice")).agg(

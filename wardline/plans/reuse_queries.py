@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,6 +172,23 @@ def validate_through_store(spark, folder):
             .select("doc_id", "valid", "action", "cache_hit"))
 
 
+@query(f"""{_STRICT}, s AS (SELECT DISTINCT text AS known FROM documents WHERE {_NUMBER} < 10),
+    r AS (SELECT v.*, known, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k
+          FROM v LEFT JOIN s ON text = known)
+    SELECT doc_id, valid, action, known IS NOT NULL OR k > 1 AS cache_hit FROM r""")
+def validate_bucketed_store(spark, folder):
+    """The same with the earlier results in a store bucketed by key, which the probe leaves where it is."""
+    docs = keyed(texts(spark, folder, "source"), "strict")
+    earlier = strict_score(docs.where(source_number() < 10).select("cache_key", "text").dropDuplicates(["cache_key"]))
+    path = scratch_dir(spark, "bucketed")
+    store = sinks.write_bucketed_store(
+        cache.store_entries(earlier.drop("text"), F.timestamp_seconds(F.lit(1_704_067_200)), 3600),
+        f"store_{uuid.uuid4().hex}", path, buckets=8)
+    live = store.where(F.col("expires_at") > F.timestamp_seconds(F.lit(1_704_067_300))).select("cache_key", "valid", "action")
+    return (cache.validate_through_store(docs.select("doc_id", "text", "cache_key"), live, strict_score, "doc_id", bucketed=True)
+            .select("doc_id", "valid", "action", "cache_hit"))
+
+
 _LAGGED = """WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events),
     l AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id, event_type ORDER BY us) AS gap FROM e)"""
 

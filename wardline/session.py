@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +60,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written_tables(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table to the shared folder and gives it back as read from there.
+
+    A written table is computed once, cuts the lineage, and has a size by which Spark chooses its joins.
+    """
+    folder, numbers = scratch_dir(spark, name), itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(numbers)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers; needed once per session by model plug-ins."""
     context = spark.sparkContext

@@ -40,6 +40,19 @@ def read_store(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
             .where((F.col("expires_on") >= F.to_date(as_of)) & (F.col("expires_at") > as_of)))
 
 
+def write_bucketed_store(entries: DataFrame, table: str, path: str, buckets: int = 64, key: str = "cache_key") -> DataFrame:
+    """The store as a table bucketed by key with the newest entry of each key; probes do not shuffle it.
+
+    Entries of a key are reduced within tasks before they meet. Choose ``buckets`` so that one fits a task: about
+    one for every 128 MB of the store.
+    """
+    others = [c for c in entries.columns if c not in (key, "written_at")]
+    newest = (entries.groupBy(key).agg(F.max(F.struct("written_at", *others)).alias("_entry")).select(key, "_entry.*"))
+    (newest.repartition(buckets, key).write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+    return entries.sparkSession.table(table)
+
+
 def write_metrics(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Metric samples (``metric, labels, le, value, window_start``) by metric."""
     _write(samples, path, mode, "metric")
