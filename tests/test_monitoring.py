@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.plans import partitionings, plan
 from wardline.operators import alerts, canary, metrics, ratelimit, slices, tracing
-from wardline.operators.gazetteer import with_entities
+from wardline.operators.gazetteer import candidate_runs, with_entities
 from wardline.operators.quantiles import (
     approximate_quantiles, exact_quantiles, merged_quantiles, quantile_sketches, rank_errors,
 )
@@ -207,10 +207,12 @@ def test_canary_share(spark):
     assert 0.18 < share < 0.22
 
 
-@pytest.mark.parametrize("way", ["broadcast", "salted"])
+@pytest.mark.parametrize("way", ["broadcast", "salted", "joined index"])
 def test_named_entities(spark, monkeypatch, way):
     if way == "salted":
         monkeypatch.setattr("wardline.operators.joins.is_small", lambda *a, **k: False)
+    if way == "joined index":
+        monkeypatch.setattr("wardline.operators.gazetteer.INDEX_WORDS", 2)
     names = spark.createDataFrame([
         ("John Smith", "PERSON"), ("Smith", "PERSON"), ("Acme", "ORG"), ("New York City", "GPE"), ("Acme", "ORG"),
         (None, "ORG"), ("Smith", None), ("O'Brien", "PERSON"), ("St. Louis", "GPE")], "name string, label string")
@@ -227,3 +229,21 @@ def test_named_entities(spark, monkeypatch, way):
     assert got[6][0] == ["GPE: St. Louis", "PERSON: O'Brien"] and got[7][0] == []
     friendly = with_entities(texts.where("id = 2"), names, "id", friendly=True).first()["redacted_text"]
     assert friendly == "John, [PERSON_REDACTED] in  [LOCATION_REDACTED]"
+
+
+@pytest.mark.parametrize("listed", [0, 20_000])
+def test_long_names_and_candidates(spark, monkeypatch, listed):
+    monkeypatch.setattr("wardline.operators.gazetteer.INDEX_WORDS", listed)
+    names = spark.createDataFrame([("Bank of the United States of America", "ORG"), ("the United", "ORG"), ("Anna", "PERSON")],
+                                  "name string, label string")
+    texts = spark.createDataFrame([
+        (1, "Was the Bank of the United States of America in the United Kingdom?"), (2, "Bank of the river"),
+        (3, "no word begins a name here"), (4, "Anna " * 500), (5, None)], "id long, text string")
+    got = {r["id"]: r["entities"] for r in with_entities(texts, names, "id").collect()}
+    assert got == {1: ["ORG: the United", "ORG: Bank of the United States of America"][::-1], 2: [], 3: [],
+                   4: ["PERSON: Anna"], 5: None} or got[5] in (None, [])
+    assert got[1] == ["ORG: Bank of the United States of America", "ORG: the United"] and got[4] == ["PERSON: Anna"]
+    runs = names.withColumn("_run", F.col("name"))
+    cut = texts.where("text is not null").select("id", F.split("text", " ").alias("_tokens"))
+    starts = candidate_runs(cut, runs, "id").groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in starts}.get(3) is None and max(r["count"] for r in starts) <= 9

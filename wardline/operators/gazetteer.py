@@ -1,7 +1,8 @@
 """Named entities from a table of known names: persons, organizations, places.
 
-Stands in for a model-based recognizer: texts are cut into runs of one to three words, and the runs
-are looked up in the name table. A model can be plugged in instead.
+Stands in for a model-based recognizer. The first words of the names are an index: only a word that begins a
+name starts a run of words, as long as some name is, and only these runs are looked up in the name table. A model
+can be plugged in instead.
 """
 
 from __future__ import annotations
@@ -13,17 +14,16 @@ from wardline.functions.arrays import computed_once, exploded
 from wardline.functions.pii import redaction_tag_column
 from wardline.operators.joins import lookup_join
 
-def word_runs(tokens: Column) -> Column:
-    """The different runs of one, two and three neighbouring words, joined by single spaces.
+INDEX_WORDS = 20_000  # first words up to which the index is part of the plan; beyond, it is joined
 
-    Runs that would pass the end of the text are NULL.
-    """
-    def followed(runs: Column, by: Column) -> Column:
-        return F.zip_with(runs, by, lambda run, word: F.concat(run, F.lit(" "), word))
 
-    pairs = followed(tokens, F.slice(tokens, 2, F.size(tokens)))
-    triples = followed(pairs, F.slice(tokens, 3, F.size(tokens)))
-    return F.array_distinct(F.concat(tokens, pairs, triples))
+def runs_at(tokens: Column, starts: Column, lengths: Column) -> Column:
+    """The different runs of neighbouring words, joined by single spaces, from the given places and of the lengths."""
+    def run(start: Column, length: Column) -> Column:
+        return F.when(start + length <= F.size(tokens), F.array_join(F.slice(tokens, start + 1, length), " "))
+
+    runs = F.flatten(F.transform(starts, lambda start: F.transform(lengths, lambda length: run(start, length))))
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))
 
 
 def _tokens(text: str) -> Column:
@@ -35,13 +35,36 @@ def _tokens(text: str) -> Column:
 _FOUND = "array<struct<name:string,label:string>>"
 
 
+def candidate_runs(texts: DataFrame, names: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, _run): the runs of words of each text that begin like a name and are as long as one.
+
+    ``texts`` has the row id and ``_tokens``; ``names`` the ``_run`` of each name. Texts without such a word give no
+    row. The index has one row per first word; it is measured, and joined to the words of the texts where it is long.
+    """
+    parts = F.split("_run", " ")
+    index = names.select(parts[0].alias("_word"), F.size(parts).alias("_words")).distinct()
+    lengths = [r[0] for r in index.select("_words").distinct().orderBy("_words").collect()]  # few: lengths of names
+    listed = [r[0] for r in index.select("_word").distinct().limit(INDEX_WORDS + 1).collect()]
+    if len(listed) <= INDEX_WORDS:
+        places = F.transform("_tokens", lambda word, at: F.when(word.isin(listed), at))
+        starts = F.filter(places, lambda at: at.isNotNull())
+        runs = runs_at(F.col("_tokens"), starts, F.array(*[F.lit(n) for n in lengths]))
+        return exploded(texts, [row_id], runs, "_run")
+    words = F.array_distinct("_tokens")
+    found = lookup_join(exploded(texts, [row_id], words, "_word"), index, ["_word"], row_id, "inner")
+    # words of one text that begin names, with the lengths of those names: bounded by the text's own words
+    begin = found.groupBy(row_id).agg(F.collect_set("_word").alias("_begin"), F.collect_set("_words").alias("_lengths"))
+    places = F.transform("_tokens", lambda word, at: F.when(F.array_contains("_begin", word), at))
+    starts = F.filter(places, lambda at: at.isNotNull())
+    return exploded(texts.join(begin, row_id), [row_id], runs_at(F.col("_tokens"), starts, F.col("_lengths")), "_run")
+
+
 def _found(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Names in each text by a join on the runs; for name lists of any length."""
-    tokens = computed_once(df.select(row_id, text), {"_tokens": _tokens(text)})
-    runs = exploded(tokens, [row_id], word_runs(F.col("_tokens")), "_run").where(F.col("_run").isNotNull())
+    """Names in each text by a join on the candidate runs; for name lists of any length."""
     names = (gazetteer.select("name", "label").dropna().distinct()
              .withColumn("_run", F.array_join(_tokens("name"), " ")).where("_run <> ''"))
-    found = lookup_join(runs, names, ["_run"], row_id, "inner")
+    tokens = computed_once(df.select(row_id, text), {"_tokens": _tokens(text)})
+    found = lookup_join(candidate_runs(tokens, names, row_id), names, ["_run"], row_id, "inner")
     # names of one text: bounded by its own words
     per_text = found.groupBy(row_id).agg(F.collect_list(F.struct("name", "label")).alias("_found"))
     there = F.filter(F.coalesce("_found", F.array().cast(_FOUND)), lambda e: F.contains(F.col(text), e["name"]))
@@ -58,7 +81,7 @@ def with_entities(df: DataFrame, gazetteer: DataFrame, row_id: str, text: str =
                   friendly: bool = False) -> DataFrame:
     """The texts with ``entities`` (``LABEL: name``, in text order) and ``redacted_text``.
 
-    ``gazetteer`` has ``name`` (up to three words and the marks between them) and ``label``; entries that
+    ``gazetteer`` has ``name`` (any number of words and the marks between them) and ``label``; entries that
     repeat or lack either count once or not at all. A name counts where it stands as whole words with the
     same marks between them. Redaction then replaces it wherever its letters stand, within longer words
     too, longer names before shorter ones, so that a name within a longer one stays whole.
