@@ -43,7 +43,7 @@ WITH RECURSIVE state(w, i, t, step) AS (
     SELECT w, i, CASE WHEN i = pair & 4294967295 THEN pair >> 32 ELSE t END::INT, step + 1
     FROM placed JOIN best USING (w)
     WHERE prev IS DISTINCT FROM pair & 4294967295))
-SELECT w, i, t, step FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state) WHERE step = last
+SELECT w, i, t, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
 ORDER BY i"""
 
 # The same for long words, with one step for all occurrences of the pair, the leftmost first. That gives the same
@@ -67,7 +67,7 @@ WITH RECURSIVE state(w, i, t, step) AS (
     SELECT w, i, coalesce(k.id, t), step + 1
     FROM placed JOIN best USING (w) LEFT JOIN picks k USING (w, i)
     WHERE prev IS NULL OR prev NOT IN (SELECT i FROM picks)))
-SELECT w, i, t, step FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state) WHERE step = last
+SELECT w, i, t, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
 ORDER BY i"""
 
 DECODE = """
@@ -172,7 +172,7 @@ class Coder:
         fresh = set(chain.from_iterable(texts)).difference(self.known)
         if len(self.known) + len(fresh) > self.known_words:
             self.known, fresh = {}, fresh.union(chain.from_iterable(texts))
-        self.known.update(self.encode(sorted(fresh)))
+        self.known.update(self.encode(list(fresh)))
         known = self.known
         coded = [list(chain.from_iterable(map(known.__getitem__, words))) for words in texts]
         for word in fresh:
