@@ -144,3 +144,22 @@ def test_real_gaps_of_the_whole_table_are_reported(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
         f"{tmp_path}/conversations.parquet")
     assert sorted(map(tuple, turn_gap_counts(spark, str(tmp_path)).collect())) == [(3, 0), (4, 2)]
+
+
+def test_pairs_and_outcomes_over_made_holes(spark):
+    """Every fourth turn of made conversations is lost: a user turn is answered by what follows next."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(12) for t in range(9)
+            if (c + t) % 4 != 1]
+    wanted = {}
+    for c in range(12):
+        own = [r for r in rows if r[0] == c]
+        for here, after in zip(own, own[1:] + [None]):
+            if here[2] == "user":
+                wanted[c, here[1]] = after[1] if after and after[2] == "assistant" else None
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = {(r["conv_id"], r["turn"]): r["reply_turn"] for r in conversation.turn_pairs(df).collect()}
+    assert pairs == {k: v for k, v in wanted.items() if v is not None}
+    outcomes = {(r["conv_id"], r["turn"]): r["outcome"] for r in conversation.turn_outcomes(df).collect()}
+    assert outcomes == {k: "unanswered" if v is None else "delivered" for k, v in wanted.items()}
+    gaps = {r["conv_id"]: r["missing"] for r in conversation.missing_turns(df).collect()}
+    assert set(gaps.values()) <= {1, 2} and gaps

@@ -269,3 +269,35 @@ def test_registry(spark):
     assert capped["p"].checks[0].max_length == 10_000
     with pytest.raises(ValueError):
         CheckSpec("length_check", on_fail="explode")
+
+
+def test_registries_side_by_side(spark):
+    from wardline.plans import policies
+
+    schema = policies.POLICY_CHECKS
+    first = spark.createDataFrame([("a", 0, "length_check", 10, None, "exception"), ("a", 1, "x", None, 0.5, "log"),
+                                   (None, 0, "length_check", 5, None, "log")], schema)
+    second = spark.createDataFrame([("a", 0, "length_check", 20, None, "log"), ("a", 1, "y", None, 0.1, "log"),
+                                    ("b", 0, "x", None, 0.2, "filter"), (None, 0, "length_check", 5, None, "log")], schema)
+    merged = {(r["guardrail"], r["validator"]): (r["winner"], r["max_length"], r["threshold"])
+              for r in policies.registry_merge(first, second).collect()}
+    assert merged == {("a", "length_check"): ("first", 10, None), ("a", "x"): ("first", None, 0.5),
+                      (None, "length_check"): ("first", 5, None), ("b", "x"): ("second", None, 0.2)}
+    drift = {(r["guardrail"], r["validator"]): r["drift"] for r in policies.registry_drift(first, second).collect()}
+    assert drift == {("a", "length_check"): "differs: max_length,on_fail", ("a", "x"): "first only",
+                     ("a", "y"): "second only", ("b", "x"): "second only"}
+
+
+def test_validity_under_several_registries(spark):
+    from wardline.operators import engine
+    from wardline.plans import policies
+
+    df = spark.createDataFrame([(1, "strict", "fine"), (2, "strict", "x" * 600), (3, "customer_service", "y" * 2000),
+                                (4, "batch_optimized", "good"), (5, "default", None)], "id long, guardrail string, text string")
+    out = engine.validity_under(df, {"one": policies.SERVICE, "two": policies.CONFIG})
+    assert out.columns == ["id", "guardrail", "text", "one", "two"]
+    assert {r["id"]: (r["one"], r["two"]) for r in out.collect()} == {
+        1: (True, True), 2: (False, False), 3: (False, True), 4: (True, True), 5: (False, False)}
+    for name, registry in (("one", policies.SERVICE), ("two", policies.CONFIG)):
+        mixed = {r["id"]: r["valid"] for r in engine.validate_mixed(df, registry=registry).collect()}
+        assert mixed == {r["id"]: r[name] for r in out.collect()}

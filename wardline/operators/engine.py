@@ -151,12 +151,13 @@ def _check_literal(checks: list[CheckSpec]) -> Column:
         "array<struct<validator:string,max_length:int,threshold:double,on_fail:string>>")
 
 
-def _by_policy(registry: Registry, value) -> Column:
+def _by_policy(registry: Registry, value, resolved: Column | None = None) -> Column:
     """A literal per policy, picked by the resolved name."""
+    resolved = F.col("resolved_guardrail") if resolved is None else resolved
     chosen = value(registry[DEFAULT_POLICY])
     for policy in registry.values():
         if policy.name != DEFAULT_POLICY:
-            chosen = F.when(F.col("resolved_guardrail") == policy.name, value(policy)).otherwise(chosen)
+            chosen = F.when(resolved == policy.name, value(policy)).otherwise(chosen)
     return chosen
 
 
@@ -242,6 +243,31 @@ def validate_with_table(df: DataFrame, policies: DataFrame, row_id: str, guardra
     return _judge_list(chosen, text, validators, known_names, engine_error)
 
 
+def validity_under(df: DataFrame, registries: dict[str, Registry], guardrail: str = "guardrail", text: str = "text",
+                   validators: ValidatorSet = VALIDATORS) -> DataFrame:
+    """Adds a boolean for every registry: whether the text is valid under the policy its row names there.
+
+    Texts are measured once, however many registries judge them.
+    """
+    names = [name for name in validators
+             if any(c.validator == name for r in registries.values() for p in r.values() for c in p.checks)]
+    table = measured(df, names, text, validators)
+
+    def fails(check: Column) -> Column:
+        params = Params(F.col(text), check["max_length"], check["threshold"])
+        failed = F.lit(False)
+        for name in names:
+            outcome = _closed(name, F.col(text), validators[name].judge(_measures(table, name), params))
+            failed = F.when(check["validator"] == name, outcome.failed).otherwise(failed)
+        return failed
+
+    for column, registry in registries.items():
+        resolved = resolved_guardrail(F.col(guardrail), registry)
+        checks = _by_policy(registry, lambda p: _check_literal([c for c in p.checks if c.validator in validators]), resolved)
+        table = table.withColumn(column, ~F.exists(checks, fails))
+    return table.drop(*_measure_names(table))
+
+
 def validator_results(verdicts: DataFrame, *ids: str) -> DataFrame:
     """One row per text and check: the ids, the position and the fields of the result."""
     kept = [*ids, "resolved_guardrail"]

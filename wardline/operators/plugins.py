@@ -115,3 +115,11 @@ def trained_scores(model, texts: DataFrame, score: str = "score") -> DataFrame:
     return (model.transform(texts)
             .withColumn(score, vector_to_array("_probability")[1])
             .drop("_tokens", "_features", "_probability", "_prediction", "_raw"))
+
+
+def ranking_quality(scored: DataFrame, label: str, score: str = "score") -> float:
+    """Share of pairs of a positive and a negative row in which the positive scores higher (area under the curve)."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rows = scored.select(score, F.col(label).cast("double").alias(label))
+    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label).evaluate(rows)

@@ -161,7 +161,8 @@ _OUTCOMES = f"""{_CHAT}, o AS (
     SELECT u.conv_id, u.turn, CASE WHEN u.action = 'block' THEN 'blocked_input' WHEN a.turn IS NULL THEN 'unanswered'
                 WHEN a.action = 'block' THEN 'blocked_output' ELSE 'delivered' END AS outcome,
            coalesce(a.processed, a.text) AS reply
-    FROM v u LEFT JOIN v a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+    FROM (SELECT *, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn FROM v) u
+    LEFT JOIN v a ON a.conv_id = u.conv_id AND a.turn = u.next_turn AND a.role = 'assistant'
     WHERE u.role = 'user')"""
 
 
@@ -217,12 +218,11 @@ def request_context(spark, folder):
         "conv_id", "turn", flat_tags(conversation.request_context(user, session)).alias("context"))
 
 
-@query("""WITH c AS (SELECT * FROM conversations WHERE (conv_id + turn) % 4 <> 1)
-          SELECT conv_id, max(turn) - min(turn) + 1 - count(*) AS missing FROM c GROUP BY conv_id
+@query("""SELECT conv_id, max(turn) - min(turn) + 1 - count(*) AS missing FROM conversations GROUP BY conv_id
           HAVING max(turn) - min(turn) + 1 <> count(*)""")
 def turn_gaps(spark, folder):
-    """Conversations with missing turns, where every fourth turn is lost."""
-    return conversation.missing_turns(with_holes(spark, folder))
+    """Conversations with missing turns."""
+    return conversation.missing_turns(tables.conversations(spark, folder))
 
 
 @query("""SELECT conv_id, max(turn) - min(turn) + 1 - count(*) AS missing FROM conversations GROUP BY conv_id""")
@@ -231,16 +231,12 @@ def turn_gap_counts(spark, folder):
     return conversation.gap_counts(tables.conversations(spark, folder))
 
 
-def with_holes(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.conversations(spark, folder).where((F.col("conv_id") + F.col("turn")) % 4 != 1)
-
-
-@query("""WITH c AS (SELECT * FROM conversations WHERE (conv_id + turn) % 4 <> 1),
-    n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
-          FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+@query("""WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lead(turn) OVER w AS next_turn
+                    FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
     SELECT conv_id, turn, next_turn AS reply_turn, md5(text) AS user_md5, md5(next_text) AS reply_md5
     FROM n WHERE role = 'user' AND next_role = 'assistant'""")
 def turn_pairs_with_holes(spark, folder):
-    """Pairs of turns when turn numbers have holes."""
-    return conversation.turn_pairs(with_holes(spark, folder)).select(
+    """Pairs of turns where what the system says in between leaves holes in the numbers."""
+    spoken = tables.conversations(spark, folder).where(F.col("role") != "system")
+    return conversation.turn_pairs(spoken).select(
         "conv_id", "turn", "reply_turn", F.md5("user_text").alias("user_md5"), F.md5("reply_text").alias("reply_md5"))

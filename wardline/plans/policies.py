@@ -199,8 +199,48 @@ def model_options(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "validator string, model string")
 
 
-def registry_drift(spark: SparkSession, first: Registry = SERVICE, second: Registry = CONFIG) -> DataFrame:
-    """Checks that only one registry has, or that both have with other parameters."""
-    left, right = policy_rows(spark, first), policy_rows(spark, second)
-    return (left.exceptAll(right).withColumn("only_in", F.lit("first"))
-            .unionByName(right.exceptAll(left).withColumn("only_in", F.lit("second"))))
+def registry_sides(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two registries side by side: one row per policy and check that either has.
+
+    Both are tables of ``policy_rows``; the join is null-safe, so a policy without a name stays one. ``first_`` and
+    ``second_`` columns hold the parameters, NULL where a registry lacks the check; ``winner`` is the registry whose
+    policy counts: the first where it has the policy at all, with or without this check.
+    """
+    parameters = [c for c in POLICY_CHECKS.fieldNames() if c not in ("guardrail", "validator")]
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in rows.columns], F.lit(True).alias(f"in_{name}"))
+
+    left, right = side(first, "first"), side(second, "second")
+    same = (F.col("first_guardrail").eqNullSafe(F.col("second_guardrail"))
+            & F.col("first_validator").eqNullSafe(F.col("second_validator")))
+    joined = left.join(right, same, "full")
+    chosen = {c: F.when(F.col("in_first"), F.col(f"first_{c}")).otherwise(F.col(f"second_{c}"))
+              for c in ("guardrail", "validator")}
+    has = first.select(F.col("guardrail").alias("_owner"), F.lit(True).alias("_owned")).distinct()
+    owned = joined.withColumns(chosen)
+    owned = owned.join(has, owned["guardrail"].eqNullSafe(has["_owner"]), "left")
+    return owned.select(
+        "guardrail", "validator", *[f"{side}_{c}" for c in parameters for side in ("first", "second")],
+        F.coalesce("in_first", F.lit(False)).alias("in_first"), F.coalesce("in_second", F.lit(False)).alias("in_second"),
+        F.when(F.col("_owned"), "first").otherwise("second").alias("winner"))
+
+
+def registry_merge(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The checks of both registries; where both define a policy, that of the first counts as a whole."""
+    sides = registry_sides(first, second)
+    parameters = [c for c in POLICY_CHECKS.fieldNames() if c not in ("guardrail", "validator")]
+    of_first = F.col("winner") == "first"
+    return (sides.where(F.when(of_first, F.col("in_first")).otherwise(F.col("in_second")))
+            .select("guardrail", "validator", "winner", *[
+                F.when(of_first, F.col(f"first_{c}")).otherwise(F.col(f"second_{c}")).alias(c) for c in parameters]))
+
+
+def registry_drift(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Checks that only one registry has, or that both have with other parameters, and which parameters differ."""
+    sides = registry_sides(first, second)
+    differing = F.concat_ws(",", *[F.when(~F.col(f"first_{c}").eqNullSafe(F.col(f"second_{c}")), F.lit(c))
+                                   for c in ("max_length", "threshold", "on_fail")])
+    kind = (F.when(~F.col("in_second"), "first only").when(~F.col("in_first"), "second only")
+            .when(differing != "", F.concat(F.lit("differs: "), differing)))
+    return sides.select("guardrail", "validator", "winner", kind.alias("drift")).where(F.col("drift").isNotNull())

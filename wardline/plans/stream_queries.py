@@ -49,6 +49,48 @@ def stream_dedup(spark, folder):
         "user_id", "event_type")
 
 
+@query("""WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) // 1000000 AS sec, min(event_id) AS id FROM events GROUP BY 1, 2),
+    w(user_id, sec) AS (
+      SELECT user_id, min(sec) FROM s GROUP BY user_id
+      UNION ALL
+      SELECT s.user_id, min(s.sec) FROM w JOIN s ON s.user_id = w.user_id AND s.sec >= w.sec + 21600 GROUP BY s.user_id, w.sec)
+    SELECT s.id AS event_id, s.user_id, s.sec AS second FROM w JOIN s USING (user_id, sec)""")
+def stream_ttl_dedup(spark, folder):
+    """Requests that find no live entry of their user as they arrive, when entries live six hours."""
+    arriving = _event_stream(spark, folder).select(
+        "event_id", "user_id", F.floor(F.unix_micros("ts") / cache.SECOND).alias("second"))
+    return jobs.first_within_ttl(arriving, ["user_id"], "second", "event_id", scratch_dir(spark, "ttl-dedup"), 21600, "1 day")
+
+
+@query("""WITH s AS (SELECT event_id, event_id // 10 AS q, ts FROM events),
+    r AS (SELECT event_id // 10 AS q, ts AS received FROM events WHERE event_id % 10 = 0 AND event_id // 10 % 4 <> 3),
+    m AS (SELECT event_id, s.q, ts, received FROM s JOIN r ON s.q = r.q AND received <= ts AND received >= ts - INTERVAL 1 DAY)
+    SELECT event_id, epoch_us(ts) - epoch_us(received) AS waited FROM m
+    UNION ALL SELECT event_id, NULL FROM s WHERE event_id NOT IN (SELECT event_id FROM m)
+      AND epoch_ms(ts) <= (SELECT epoch_ms(max(received)) - 600000 FROM r)""")
+def stream_span_requests(spark, folder):
+    """Arriving spans with the arriving requests they belong to; some requests are never recorded."""
+    number = F.floor(F.col("event_id") / 10)
+    spans = _event_stream(spark, folder).select("event_id", number.alias("span_request"), F.col("ts").alias("begun"))
+    requests = (_event_stream(spark, folder).where((F.col("event_id") % 10 == 0) & (number % 4 != 3))
+                .select(number.alias("request"), F.col("ts").alias("received")))
+    joined = jobs.spans_with_requests(spans, requests, "begun", "received", "span_request", "request", "1 day")
+    out = jobs.run_available(joined, "stream-spans")
+    return out.select("event_id", (F.unix_micros("begun") - F.unix_micros("received")).alias("waited"))
+
+
+@query(f"""{sql.by_policy('strict')} SELECT {sql.ACTION} AS action, count(*) AS n, count({sql.PROCESSED}) AS rewritten
+           FROM f GROUP BY 1""")
+def stream_verdict_sink(spark, folder):
+    """Verdicts of arriving documents in a sink that holds the rows of a batch once, however often it is run."""
+    arriving = jobs.stream_of(spark, folder, DOCUMENTS, "documents.parquet").select("doc_id", "text")
+    path = scratch_dir(spark, "verdict-batches")
+    verdicts = jobs.validated(arriving, "strict").select("doc_id", "valid", "action", "processed_text")
+    jobs.write_each_batch(verdicts, path, "action")
+    return jobs.read_batches(spark, path).groupBy("action").agg(
+        F.count(F.lit(1)).alias("n"), F.count("processed_text").alias("rewritten"))
+
+
 @query("""WITH c AS (SELECT event_type, epoch_us(ts) // 60000000 AS minute, count(*) AS requests FROM events GROUP BY 1, 2)
           SELECT event_type, minute, requests, least(requests, 1) AS admitted, greatest(requests - 1, 0) AS rejected FROM c
           WHERE (minute + 1) * 60000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 60000000 FROM events)""")
@@ -94,6 +136,27 @@ def ml_toxicity(spark, folder):
     return plugins.trained_scores(model, docs).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("""SELECT (SELECT count(*) FROM documents) AS scored, true AS probabilities,
+          (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE labels.toxic IS NOT NULL AND doc_id % 5 <> 0) AS trained_on,
+          (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE labels.toxic IS NOT NULL AND doc_id % 5 = 0) AS held_out,
+          true AS ranks_toxic_higher""")
+def ml_toxicity_quality(spark, folder):
+    """A classifier trained on four fifths of the labelled documents: all documents get a probability, and of the
+    fifth held out a toxic document scores above a clean one in more than six of ten pairs."""
+    docs = texts(spark, folder)
+    labelled = (docs.join(tables.table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id")
+                .where(F.col("toxic").isNotNull()))
+    held = F.col("doc_id") % 5 == 0
+    model = plugins.train_toxicity(labelled.where(~held).select("text", "toxic"))
+    area = plugins.ranking_quality(plugins.trained_scores(model, labelled.where(held)), "toxic")
+    judged = plugins.trained_scores(model, docs).join(labelled.select("doc_id", "toxic"), "doc_id", "left")
+    return judged.agg(
+        F.count(F.lit(1)).alias("scored"), F.min(F.col("score").between(0, 1)).alias("probabilities"),
+        F.count(F.when(F.col("toxic").isNotNull() & ~held, 1)).alias("trained_on"),
+        F.count(F.when(F.col("toxic").isNotNull() & held, 1)).alias("held_out"),
+        F.lit(area > 0.6).alias("ranks_toxic_higher"))
+
+
 def word_list_model():
     """A model plug-in with the word list of the default scorer; it cannot read texts over 30000 long."""
     import re

@@ -354,15 +354,56 @@ def policy_skipped(spark, folder):
     FROM v GROUP BY 1""")
 def policy_drift(spark, folder):
     """How the verdicts of the two registries differ on the documents."""
-    both = assigned(spark, folder)
-    first = engine.validate_mixed(both, registry=policies.SERVICE).select(
-        *both.columns, F.col("valid").alias("first_valid"))
-    second = engine.validate_mixed(first, registry=policies.CONFIG)
-    return second.groupBy("guardrail").agg(
+    both = engine.validity_under(
+        assigned(spark, folder), {"first_valid": policies.SERVICE, "second_valid": policies.CONFIG})
+    return both.groupBy("guardrail").agg(
         F.count(F.lit(1)).alias("texts"),
         F.count(F.when(F.col("first_valid"), 1)).alias("valid_first"),
-        F.count(F.when(F.col("valid"), 1)).alias("valid_second"),
-        F.count(F.when(F.col("first_valid") != F.col("valid"), 1)).alias("differing"))
+        F.count(F.when(F.col("second_valid"), 1)).alias("valid_second"),
+        F.count(F.when(F.col("first_valid") != F.col("second_valid"), 1)).alias("differing"))
+
+
+_SIDES = """
+    a(guardrail, validator, max_length, threshold, on_fail) AS (VALUES
+      ('default', 'length_check', 1000, NULL::DOUBLE, 'exception'), ('default', 'toxicity_check', NULL, 0.7, 'exception'),
+      ('default', 'sentiment_check', NULL, -0.5, 'log'), ('strict', 'length_check', 500, NULL, 'exception'),
+      ('strict', 'toxicity_check', NULL, 0.3, 'exception'), ('strict', 'sentiment_check', NULL, -0.3, 'exception'),
+      ('strict', 'pii_detection', NULL, NULL, 'filter'), ('strict', 'spam_detection', NULL, 0.8, 'exception'),
+      ('permissive', 'length_check', 2000, NULL, 'log'), ('permissive', 'toxicity_check', NULL, 0.9, 'log'),
+      ('batch_optimized', 'length_check', 1000, NULL, 'exception'), ('batch_optimized', 'toxicity_check', NULL, 0.7, 'exception')),
+    b AS (SELECT * FROM a WHERE guardrail NOT IN ('batch_optimized') AND validator <> 'spam_detection' UNION ALL VALUES
+      ('content_moderation', 'length_check', 1500, NULL, 'exception'), ('content_moderation', 'toxicity_check', NULL, 0.5, 'exception'),
+      ('content_moderation', 'sentiment_check', NULL, -0.4, 'log'), ('content_moderation', 'pii_detection', NULL, NULL, 'filter'),
+      ('customer_service', 'length_check', 3000, NULL, 'exception'), ('customer_service', 'toxicity_check', NULL, 0.6, 'log'),
+      ('customer_service', 'sentiment_check', NULL, -0.6, 'log'), ('customer_service', 'pii_detection', NULL, NULL, 'filter'))"""
+_USED = f"u AS (SELECT {sql.REQUESTED} AS guardrail, count(*) AS texts FROM documents GROUP BY 1)"
+
+
+def _asking(spark, folder) -> DataFrame:
+    """Texts per requested policy: a row for each name that is asked for."""
+    return tables.documents(spark, folder).groupBy(requested_guardrail().alias("guardrail")).agg(
+        F.count(F.lit(1)).alias("texts"))
+
+
+@query(f"""WITH {_SIDES}, {_USED},
+    m AS (SELECT *, 'first' AS winner FROM a UNION ALL
+          SELECT *, 'second' FROM b WHERE guardrail NOT IN (SELECT guardrail FROM a))
+    SELECT m.*, coalesce(texts, 0) AS texts FROM m LEFT JOIN u USING (guardrail)""")
+def registry_merge(spark, folder):
+    """The checks of both registries, the first one's policies first, with the number of texts that ask for each."""
+    merged = policies.registry_merge(policies.policy_rows(spark, policies.SERVICE), policies.policy_rows(spark, policies.CONFIG))
+    return merged.drop("pos").join(_asking(spark, folder), "guardrail", "left").fillna(0, ["texts"])
+
+
+@query(f"""WITH {_SIDES}, {_USED},
+    d AS (SELECT guardrail, validator, CASE WHEN b.validator IS NULL THEN 'first only' WHEN a.validator IS NULL THEN 'second only' END
+                 AS drift FROM a FULL JOIN b USING (guardrail, validator))
+    SELECT guardrail, validator, CASE WHEN guardrail IN (SELECT guardrail FROM a) THEN 'first' ELSE 'second' END AS winner, drift,
+           coalesce(texts, 0) AS texts FROM d LEFT JOIN u USING (guardrail) WHERE drift IS NOT NULL""")
+def registry_drift(spark, folder):
+    """How the two registries' checks differ, with the number of texts that ask for each policy."""
+    drift = policies.registry_drift(policies.policy_rows(spark, policies.SERVICE), policies.policy_rows(spark, policies.CONFIG))
+    return drift.join(_asking(spark, folder), "guardrail", "left").fillna(0, ["texts"])
 
 
 def _pages_sql() -> str:

@@ -7,7 +7,7 @@ present, with its output and checkpoint in shared storage.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -86,6 +86,113 @@ def run_available(stream: DataFrame, name: str, path: str | None = None) -> Data
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def spans_with_requests(spans: DataFrame, requests: DataFrame, span_ts: str, request_ts: str, span_key: str,
+                        request_key: str, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Arriving spans with the arriving request they belong to, begun at most ``within`` before them.
+
+    Both sides wait for each other in state. A span whose request does not come is given without one as soon as
+    ``late`` has passed by the times of both sides; until then it is not given at all. A span that arrives later
+    than that is given at once, without a request that is forgotten already; a request that late is dropped. A
+    request meets any number of spans.
+    """
+    left = spans.withWatermark(span_ts, late)
+    right = requests.withWatermark(request_ts, late)
+    begun = F.col(span_ts) - F.expr(f"INTERVAL {within}")
+    same = ((F.col(span_key) == F.col(request_key)) & (F.col(request_ts) <= F.col(span_ts))
+            & (F.col(request_ts) >= begun))
+    return left.join(right, same, "left")
+
+
+def write_each_batch(stream: DataFrame, path: str, by: str) -> None:
+    """Write a stream's batches as Parquet, one folder per batch number and value of ``by``.
+
+    A batch that is run again, since the job failed between writing and noting it as done, replaces its own folder:
+    its rows are there once. Runs over all data present.
+    """
+    query = (stream.writeStream.foreachBatch(lambda rows, number: write_batch(rows, number, path, by))
+             .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def write_batch(rows: DataFrame, number: int, path: str, by: str) -> None:
+    rows.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{path}/out/batch={number}")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_each_batch`` wrote, with the number of each row's batch."""
+    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+
+
+class ExpiringFirst(StatefulProcessor):
+    """The rows of one key that find no live entry: the first, and each that comes once the last entry has expired.
+
+    The state is when the entry expires; it goes once the rows' own times have passed that point.
+    """
+
+    def __init__(self, columns: list[str], order: list[str], ttl: int):
+        self.columns, self.order, self.ttl = columns, order, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", StructType([StructField("second", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        until = self.until.get()[0] if self.until.exists() else None
+        seen = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        fresh = []
+        for second in seen[self.order[0]]:
+            fresh.append(until is None or second >= until)
+            if fresh[-1]:
+                until = int(second) + self.ttl
+        self.until.update((until,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(until * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield seen.loc[np.array(fresh), self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """Run a stream whose processor keeps its state in RocksDB, whatever the session's own store is."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run()
+    finally:
+        spark.conf.set(provider, before)
+
+
+def first_within_ttl(requests: DataFrame, keys: list[str], seconds: str, row_id: str, path: str,
+                     ttl: int = DEFAULT_CACHE_TTL, late: str = "1 hour") -> DataFrame:
+    """The requests that a cache whose entries live ``ttl`` seconds from being written would not answer.
+
+    In the order of their times within a micro-batch; of one second the least ``row_id``. So several micro-batches in
+    time order give what one replay of the whole log gives. An entry is forgotten ``late`` after its expiry by the
+    requests' own times; a request that is later than that counts as the first of its key. Every task first keeps one
+    request per key and second of a batch, so one key is at most a row per second and task, whatever its traffic.
+    Runs over all data present and reads the requests back.
+    """
+    columns, order = requests.columns, [seconds, row_id]
+    timed = requests.withColumn("_time", F.timestamp_seconds(F.col(seconds)))
+    placed = timed.withWatermark("_time", late).select(*columns)
+
+    def one_a_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.sort_values(order, kind="stable").drop_duplicates([*keys, seconds])
+
+    reduced = placed.mapInPandas(one_a_second, placed.schema)
+    fresh = reduced.groupBy(*keys).transformWithStateInPandas(
+        ExpiringFirst(columns, order, ttl), placed.schema, "append", "EventTime")
+    return with_rocksdb(requests.sparkSession, lambda: run_available(fresh, "first-within-ttl", path))
+
+
 class FirstOfWindow:
     """Tells, batch by batch, rows that cannot be among the first ``limit`` of their slot from those that may be.
 
@@ -190,10 +297,4 @@ def limit_requests(requests: DataFrame, client: list[str], seconds: str, row_id:
     limiter = WindowLimiter(columns, order, limit, window)
     decided = sorted_out.groupBy(*slot, "_share").transformWithStateInPandas(
         limiter, output, "append", "EventTime")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return run_available(decided, "limit-requests", path)
-    finally:
-        spark.conf.set(provider, before)
+    return with_rocksdb(spark, lambda: run_available(decided, "limit-requests", path))
