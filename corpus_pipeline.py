@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import leaks, lines, quality, queries, shingles
+from wardline.llm import leaks, lines, quality, queries, simhash
 from wardline.llm.common import Scratch
 
 
@@ -26,12 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of texts with 5-word similarity of 0.8 or more.
-
-    Two bits of 64, the contract of op6, tell hardly more than equal texts; 0.8 is about ten bits, for which
-    segments with one wild bit are so short that all texts meet. Candidates are therefore MinHash bands.
-    """
-    return shingles.without_near_copies(docs)
+    """The document with the smallest id of each group of fingerprints within two bits, of 3-word shingles."""
+    return simhash.without_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

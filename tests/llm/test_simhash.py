@@ -86,3 +86,30 @@ def test_links_of_a_crowded_group(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
+
+
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for _ in range(15):
+        base = rng.choices(words, k=150)
+        rows += [" ".join(base), " ".join(base).upper(), " ".join(base[:-1] + [rng.choice(words)])]
+    rows += [None, "", " \t", "one", "ONE"]
+    rows = [(i * 7 % 1009, text) for i, text in enumerate(rows)]
+    components = {(d, p): c for d, p, c in brute_components(rows)}
+    docs = spark.createDataFrame([(d, t, "x", 1, 2, 3) for d, t in rows], "doc_id long, text string, fp string, id int, part int, label int")
+    got = simhash.without_near_copies(docs.repartition(5))
+    assert got.columns == docs.columns and got.select("fp", "id", "part", "label").distinct().collect() == [("x", 1, 2, 3)]
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted({c for c in components.values()})
+    assert simhash.without_near_copies(docs.limit(0)).collect() == []
+
+
+def test_repeated_ids_with_other_texts(spark):
+    one, two = (" ".join(f"{side}{i}" for i in range(60)) for side in "ab")
+    rows = [(5, one), (5, one), (5, two), (3, two), (9, one.upper()), (None, one), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.without_near_copies(docs).collect()), key=repr)
+    assert got == [(3, two), (5, one), (None, one), (None, "alone")]
+    same = spark.createDataFrame([(4, "a b c"), (4, "a  b c"), (6, "A b C")], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.without_near_copies(same).collect()] == [4]  # one text of the group's least id

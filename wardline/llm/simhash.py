@@ -38,13 +38,18 @@ def fingerprint_of(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(id, fp) for every row."""
+    """(id, part, fp) for every row; ``part`` tells apart rows that repeat an id with another text."""
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([fingerprint_of(t, size) for t in batch.column(1).to_pylist()], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "fp"])
+        found = pa.array([fingerprint_of(t, size) for t in batch.column(2).to_pylist()], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["id", "part", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return over_batches(rows, scan, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), part_of(text).alias("part"), text.alias("text"))
+    return over_batches(rows, scan, "id long, part long, fp long")
+
+
+def part_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _variants(fp: Column) -> Column:
@@ -90,6 +95,13 @@ def links(distinct: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFram
     return twos.union(fews).union(many).distinct()
 
 
+def labelled_prints(distinct: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFrame:
+    """The distinct fingerprints, ``fp`` and other columns, with ``label``: the least fingerprint reachable by links."""
+    joined = components(links(distinct.select("fp"), scratch, small), scratch)
+    return scratch.keep(distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
+                        .withColumn("label", F.coalesce("label", "fp")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
                     small: int = SMALL) -> DataFrame:
     """One row per input row: (id, fp, component), the component being the least id reachable by links.
@@ -102,9 +114,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "simhash")
     found = scratch.keep(fingerprints(docs, id_col, text_col, size))
     distinct = scratch.keep(found.groupBy("fp").agg(F.min("id").alias("least")))
-    joined = components(links(distinct, scratch, small), scratch)
-    labelled = scratch.keep(distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-                            .withColumn("label", F.coalesce("label", "fp")))
+    labelled = labelled_prints(distinct, scratch, small)
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
     named = scratch.keep(labelled.join(least, "label").select("fp", "component"))
     return found.join(named, "fp").select("id", "fp", "component")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
+                        small: int = SMALL) -> DataFrame:
+    """The rows of one document of each group of linked fingerprints: the one with the smallest id.
+
+    A row stands for its id and its text. Of a group's rows with the smallest id and different texts those of one text
+    stay (the one with the least hash), and of rows that repeat both one stays. A row that repeats an id with the text
+    of another group is judged in that group. Rows without an id cannot be named and stay; they may link others. An
+    empty table stays empty; other columns pass through, whatever their names.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-copies")
+    found = scratch.keep(fingerprints(docs, id_col, text_col, size))
+    distinct = scratch.keep(found.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "part"))).alias("least")))
+    labelled = labelled_prints(distinct, scratch, small)
+    first = scratch.keep(labelled.groupBy("label").agg(F.min("least").alias("least")).where("least is not null")
+                         .select("least.id", "least.part"))
+    # the caller's columns travel in one struct, so that their names meet no name of this operator
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col(id_col).cast("long").alias("id"), part_of(F.col(text_col).cast("string")).alias("part"))
+    kept = rows.where("id is not null").join(first, ["id", "part"], "left_semi").dropDuplicates(["id", "part"])
+    return kept.union(rows.where("id is null").select(*kept.columns)).select("row.*")
