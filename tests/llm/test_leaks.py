@@ -93,3 +93,41 @@ def test_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["_items"] for r in leaks.leaks(docs, none).collect()] == [[], [], []]
     assert leaks.leaks(docs.limit(0), none).collect() == []
+
+
+def test_runs_that_an_item_repeats(spark):
+    """Overlaps whose only seeds are runs that stand in the item before already, and items of few different words."""
+    rng = random.Random(21)
+    a, b = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(6)]
+    fill = [[f"f{k}{i}" for i in range(20)] for k in range(3)]
+    items = [(1, " ".join(a + fill[0] + b + fill[1] + a + ["q", "r"] + b))]
+    docs = [(1, " ".join(fill[2] + a + ["x", "y"] + b + ["end"]))]
+    for n in range(25):
+        few = [f"v{i}" for i in range(rng.choice([2, 3, 6]))]
+        items.append((10 + n, " ".join(rng.choice(few) for _ in range(rng.choice([14, 40, 90])))))
+        docs.append((10 + n, " ".join(rng.choice(few + ["z"]) for _ in range(rng.choice([20, 60])))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: set(r["_items"]) for r in leaks.leaks(frame, benchmark).collect()}
+    assert got == brute(docs, items) and got[1] == {1}
+
+
+def test_hits_are_cut_before_they_are_made(monkeypatch):
+    """One word over and over in texts and items: a part of the hits is held at a time, whatever their number."""
+    sizes = []
+    dense = leaks.Block.dense
+    monkeypatch.setattr(leaks, "HITS", 1000)
+    monkeypatch.setattr(leaks.Block, "dense", lambda self, place, *rest: (sizes.append(len(place)), dense(self, place, *rest))[1])
+    block = leaks.Block([(1, 3000, "same " * 3000)], leaks.MASKS, 12)
+    values, starts = leaks.split_words(leaks.pa.array(["same " * 500, "other"]))
+    spans = list(block.overlaps(leaks.word_hashes(values), starts))
+    assert max(sizes) <= 1000 and max(s[3] for s in spans) == 500 and {s[0] for s in spans} == {0}
+
+
+def test_columns_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["_row", "_text", "_spans", "_items", "text_", "item", "start", "words"]
+    docs = spark.createDataFrame([(1, text, *range(8))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    benchmark = spark.createDataFrame([(5, text)], "item_id long, text string")
+    row = leaks.leaks(docs, benchmark).first()
+    assert row["_items"] == [5] and [row[n] for n in ("_row", "_text", "item", "words")] == [0, 1, 5, 7]

@@ -22,6 +22,7 @@ MIN_SIMILARITY = 0.8      # share of equal tokens in an overlap
 PIECE_WORDS = 4_096       # longer items are compared in overlapping pieces
 BLOCK_WORDS = 2_000_000   # tokens of the benchmark that every task gets at once
 HITS = 20_000             # seed hits whose surroundings are compared at once
+OFTEN = 32                # hits of one diagonal among these from which all of it is compared
 
 SPANS = "array<struct<item:bigint,start:int,words:int,equal:int>>"
 
@@ -54,11 +55,7 @@ class Block:
         for mask in masks:
             places, hashes = seed_hashes(self.words, starts, mask)
             order = np.argsort(hashes, kind="stable")
-            hashes, places = hashes[order], places[order]
-            piece = np.searchsorted(starts, places, "right")
-            new = np.ones(len(hashes), bool)  # a seed that a piece repeats counts where it first stands
-            new[1:] = (hashes[1:] != hashes[:-1]) | (piece[1:] != piece[:-1])
-            self.seeds.append((hashes[new], places[new]))
+            self.seeds.append((hashes[order], places[order]))
         self.short = {}  # shorter items are looked up whole: they may be left without a run of four
         for i in range(len(items)):
             own = self.words[starts[i]:starts[i + 1]]
@@ -75,15 +72,26 @@ class Block:
             low = np.searchsorted(hashes, own)
             hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
             high = np.searchsorted(hashes, own[hit], side="right")
-            times = high - low[hit]
-            place = np.repeat(places[hit], times)
-            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            other = at[np.repeat(low[hit], times) + nth]
-            parts = [self.dense(place[n:n + HITS], other[n:n + HITS], words, starts) for n in range(0, len(place), HITS)]
-            good = np.concatenate([*parts, np.zeros(0, bool)])
-            place, other = place[good], other[good]
-            found.append(np.stack([np.searchsorted(starts, place, "right") - 1,
-                                   np.searchsorted(self.starts, other, "right") - 1, place - other], axis=1))
+            ends = np.cumsum(high - low[hit])  # a hit for every place of the seed; a part of them at a time
+            tried = np.zeros(0, np.int64)
+            for n in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+                nth = np.arange(n, min(n + HITS, int(ends[-1])))
+                of = np.searchsorted(ends, nth, "right")
+                place, other = places[hit[of]], at[high[of] - (ends[of] - nth)]
+                text = np.searchsorted(starts, place, "right") - 1
+                piece = np.searchsorted(self.starts, other, "right") - 1
+                shift = place - other
+                line = ((shift + len(self.words)) * len(self.names) + piece) * (len(starts) - 1) + text
+                fresh = ~np.isin(line, tried)
+                place, other, line = place[fresh], other[fresh], line[fresh]
+                rows = np.stack([text[fresh], piece[fresh], shift[fresh]], axis=1)
+                _, own_line, hits = np.unique(line, return_inverse=True, return_counts=True)
+                often = hits >= OFTEN  # cheaper to compare the whole diagonal, once
+                good = often[own_line]
+                rest = ~good
+                good[rest] = self.dense(place[rest], other[rest], words, starts)
+                found.append(rows[good])
+                tried = np.union1d(tried, line[good])
         for length, firsts in self.short.items():
             known = np.fromiter(firsts, np.uint64, len(firsts))
             for place in np.flatnonzero(np.isin(words, known)):
@@ -165,19 +173,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     From 12 words on the masks leave out no such span.
     The benchmark is measured and sent in blocks of a bounded size; documents are scanned once per block, and
     nothing of them is shuffled. Null or empty texts share nothing, items without an id or text are left out;
-    rows that repeat stay rows; without items every list is empty; other columns pass through.
+    rows that repeat stay rows; without items every list is empty; other columns pass through, but that columns of
+    the caller named ``_items`` or ``_spans`` give way to those.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("_items", "_spans")]
     cut = pieces(benchmark, item_id, item_text, piece_words, max(max(map(len, masks)), min_words) * 10)
     total = cut.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0))).first()[0]
     count = max(1, math.ceil(total / block_words))
-    rows = docs.select(*carry, F.col(text_col).cast("string").alias("_text"), F.array().cast(SPANS).alias("_spans"))
+    # the caller's columns travel in one struct, so that their names meet no name of this operator
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0))
+    rows = docs.select(carried.alias("_row"), F.col(text_col).cast("string").alias("_text"),
+                       F.array().cast(SPANS).alias("_spans"))
     for n in range(count):
         own = cut.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == n).collect()
         block = Block([(r["item"], r["words"], r["text"]) for r in own], masks, min_words)
         rows = _scanned(rows, docs.sparkSession.sparkContext.broadcast(block), last=n == count - 1)
-    return (rows.withColumn("_items", F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["item"]))))
-            .withColumn("_spans", F.array_sort("_spans")))
+    items = F.array_sort(F.array_distinct(F.transform("_spans", lambda s: s["item"])))
+    found = rows.select("_row", F.array_sort("_spans").alias("_spans"), items.alias("_items"))
+    return found.select(*[F.col("_row")[c].alias(c) for c in carry], "_spans", "_items")
 
 
 def _scanned(rows: DataFrame, block: Broadcast, last: bool) -> DataFrame:
