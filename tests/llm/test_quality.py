@@ -75,3 +75,27 @@ def test_edge_cases(spark):
 def test_one_quality_only(spark):
     docs = spark.createDataFrame([(i, "these are some plain words") for i in range(20)], "doc_id long, text string")
     assert all(r["_keep"] for r in quality.classified(docs).collect())
+
+
+def test_a_hot_text_does_not_fill_the_sample(spark, monkeypatch):
+    """A third of the rows has one text, once with ids of their own and once with one id."""
+    sizes = []
+    fit = quality.LogisticRegression.fit
+    monkeypatch.setattr(quality.LogisticRegression, "fit", lambda self, rows: (sizes.append(rows.count()), fit(self, rows))[1])
+    rows = [(i, f"plain words number {i} of a text " * 3 if i % 2 else "&&& *** %%% ### " * 5) for i in range(4000)]
+    for hot in ([(5000 + i, "the same &&& *** text") for i in range(2000)], [(5000, "the same &&& *** text")] * 2000):
+        docs = spark.createDataFrame(rows + hot, "doc_id long, text string").repartition(4)
+        quality.train(docs, sample_rows=300)
+    assert len(sizes) == 2 and max(sizes) <= 2 * 450  # two weighted rows for each vector
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["_label", "_score", "_keep", "n", "sampled", "votes", "vector", "copies"]
+    docs = spark.createDataFrame([(i, "some plain words of a text", *range(8)) for i in range(3)],
+                                 "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    row = quality.classified(docs).first()
+    assert [row[n] for n in names[3:]] == [3, 4, 5, 6, 7] and row["_keep"] is True
+
+
+def test_long_words_are_told_whole():
+    assert quality._shape("a" * 50 + "&" * 3 + "A9") == "aa&&A0" and quality._shape("a1" * 30) == "a0" * 30

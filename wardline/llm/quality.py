@@ -60,7 +60,7 @@ def known_of(word: str) -> tuple[tuple[bool, ...], str]:
 
 def _shape(word: str) -> str:
     """Letters as a or A, digits as 0, other characters as they are; runs shortened to two."""
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40]]
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
     return "".join(c for i, c in enumerate(kinds) if i < 2 or not c == kinds[i - 1] == kinds[i - 2])
 
 
@@ -162,31 +162,38 @@ def posterior(votes: np.ndarray, base: float, odds: np.ndarray) -> np.ndarray:
     return np.where((votes < 0).any(axis=1), good, np.maximum(good, .5))
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
+def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> dict:
     """Labellers' log-odds from the votes of all documents, and the scorer's weights from a sample.
 
-    The vote patterns that reach the driver are at most 3 to the number of labellers.
+    The vote patterns that reach the driver are at most 3 to the number of labellers. The sample is drawn by a hash
+    of id and text, so that the copies of one text are sampled as rarely as other rows: ``sample_rows`` on average.
+    Sampled rows of one part of a batch with the same text are one vector with their number as its weight, so rows
+    that repeat both, however many, add few vectors.
     """
     spark, total = docs.sparkSession, docs.count()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     every = max(1, math.ceil(total / sample_rows))
-    sampled = F.pmod(F.xxhash64(F.lit(11), text), F.lit(every)) == 0
+    named = [F.col(id_col).cast("string")] if id_col in docs.columns else []
+    sampled = F.pmod(F.xxhash64(F.lit(11), text, *named), F.lit(every)) == 0
     rows = docs.select(F.lit(0).alias("n"), text.alias("text"), sampled.alias("sampled"))
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         votes = Words(batch.column(1)).votes()
         chosen = batch.column(2).to_numpy(zero_copy_only=False)
-        vectors = [None] * batch.num_rows
-        at = np.flatnonzero(chosen)
-        if len(at):
-            own = Words(batch.column(1).take(pa.array(at))).vectors()
-            for i, vector in zip(at, own):
+        vectors, copies = [None] * batch.num_rows, [0] * batch.num_rows
+        first: dict[str, int] = {}
+        for i, own in zip(np.flatnonzero(chosen), batch.column(1).filter(pa.array(chosen)).to_pylist()):
+            copies[first.setdefault(own, int(i))] += 1
+        if first:
+            at = list(first.values())
+            for i, vector in zip(at, Words(batch.column(1).take(pa.array(at))).vectors()):
                 vectors[i] = vector.tolist()
         return pa.RecordBatch.from_arrays(
-            [pa.array(votes.tolist(), pa.list_(pa.int8())), pa.array(vectors, pa.list_(pa.float32()))],
-            names=["votes", "vector"])
+            [pa.array(votes.tolist(), pa.list_(pa.int8())), pa.array(vectors, pa.list_(pa.float32())),
+             pa.array(copies, pa.int32())], names=["votes", "vector", "copies"])
 
-    seen = Scratch(spark, "quality").keep(over_batches(rows, scan, "votes array<tinyint>, vector array<float>"))
+    seen = Scratch(spark, "quality").keep(
+        over_batches(rows, scan, "votes array<tinyint>, vector array<float>, copies int"))
     found = seen.groupBy("votes").count().collect()
     patterns = np.array([r["votes"] for r in found], np.int64).reshape(-1, len(LABELLERS))
     base, odds = accuracies(patterns, np.array([r["count"] for r in found], np.float64))
@@ -195,10 +202,12 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
     if len({round(g) for g in labels.values()}) > 1:
         good = F.create_map(*[F.lit(x) for p, g in labels.items() for x in (",".join(map(str, p)), g)])[
             F.array_join(F.transform("votes", lambda v: v.cast("string")), ",")]
-        soft = seen.where("vector is not null").select(array_to_vector(F.col("vector")).alias("features"), good.alias("g"))
+        soft = seen.where("vector is not null").select(
+            array_to_vector(F.col("vector")).alias("features"), good.alias("g"), "copies")
         both = soft.select("features", F.explode(F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("g").alias("weight")),
-            F.struct(F.lit(0.0).alias("label"), (1 - F.col("g")).alias("weight")))).alias("l")).select("features", "l.*")
+            F.struct(F.lit(1.0).alias("label"), (F.col("g") * F.col("copies")).alias("weight")),
+            F.struct(F.lit(0.0).alias("label"), ((1 - F.col("g")) * F.col("copies")).alias("weight")))).alias("l")).select(
+                "features", "l.*")
         model = LogisticRegression(maxIter=50, regParam=1e-4, weightCol="weight").fit(both)
         weights, bias = model.coefficients.toArray(), float(model.intercept)
     return {"base": base, "odds": odds, "weights": weights, "bias": bias}
@@ -211,10 +220,12 @@ def classified(docs: DataFrame, text_col: str = "text", model: dict | None = Non
     unsure of words it has not met in its sample. A null or empty text has no votes and no features: its label and
     score come from the shares of good and bad documents alone. If the labellers see one quality only,
     the scorer gives every document their share. Rows that repeat get equal scores; a table without rows is
-    returned without rows; other columns pass through, whatever their names.
+    returned without rows; other columns pass through, but that columns of the caller with these three names give
+    way to them.
     """
     model = model or train(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("_label", "_score", "_keep")
     at = docs.columns.index(text_col)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
