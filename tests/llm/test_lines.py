@@ -66,3 +66,12 @@ def test_kept_hash_of_nothing(spark):
     docs = spark.createDataFrame([(1, "the same line"), (2, "the same line")], "doc_id long, text string")
     kept = {r["doc_id"]: r["_kept"] for r in lines.deduplicated(docs).collect()}
     assert kept == {1: "the same line", 2: ""} and hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["id", "part", "dropped", "row", "own_id", "own_text", "_bitmap_id", "_lines", "_kept", "first"]
+    docs = spark.createDataFrame([(n, "the same long line", *range(10)) for n in (1, 2)],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = {r["doc_id"]: r for r in lines.deduplicated(docs).collect()}
+    assert got[2]["_kept"] == "" and got[1]["_kept"] == "the same long line" and got[2]["_lines"] == 1
+    assert [got[2][n] for n in names if not n.startswith("_l") and n != "_kept"] == [0, 1, 2, 3, 4, 5, 6, 9]

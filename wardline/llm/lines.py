@@ -87,15 +87,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "lines")
     hashes = scratch.keep(line_hashes(docs, id_col, text_col, min_chars))
     bitmaps = scratch.keep(keep_bitmaps(repeated_lines(hashes, scratch, hot_rows)))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = bitmaps.select(F.col("id").alias("_bitmap_id"), F.col("part").alias("_bitmap_part"),
-                           F.col("dropped").alias("_bitmap"))
-    joined = docs.join(named, (F.col(id_col).cast("long") == F.col("_bitmap_id"))
-                       & (F.xxhash64(text) == F.col("_bitmap_part")), "left")
-    lines = _lines(F.col(text_col))
-    kept = F.array_join(F.filter(lines, lambda _, pos: ~is_dropped(F.col("_bitmap"), pos)), "\n")
-    gone = F.expr("aggregate(_bitmap, 0L, (n, bits) -> n + bit_count(bits))")
-    return (joined.withColumn("_lines", F.size(lines).cast("long"))
-            .withColumn("_dropped", F.coalesce(gone, F.lit(0)).cast("long"))
-            .withColumn("_kept", F.when(F.col("_bitmap").isNull(), text).otherwise(kept))
-            .drop("_bitmap_id", "_bitmap_part", "_bitmap"))
+    # the caller's columns travel in one struct, so that their names meet no name of this operator
+    names = [c for c in docs.columns if c not in ("_lines", "_dropped", "_kept")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("own_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("own_text"))
+    joined = rows.join(bitmaps, (F.col("own_id") == F.col("id")) & (F.xxhash64("own_text") == F.col("part")), "left")
+    lines = _lines(F.col("own_text"))
+    kept = F.array_join(F.filter(lines, lambda _, pos: ~is_dropped(F.col("dropped"), pos)), "\n")
+    gone = F.expr("aggregate(dropped, 0L, (n, bits) -> n + bit_count(bits))")
+    found = joined.select(
+        "row", F.size(lines).cast("long").alias("_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("_dropped"),
+        F.when(F.col("dropped").isNull(), F.col("own_text")).otherwise(kept).alias("_kept"))
+    return found.select(*[F.col("row")[c].alias(c) for c in names], "_lines", "_dropped", "_kept")
