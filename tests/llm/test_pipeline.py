@@ -116,9 +116,11 @@ def test_stages_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     rows = [(1, None, None, None, None, "a"), (2, "", "en", "src0", 0, "b"), (3, "some words of text here", "en", "src0", 23, None),
             (3, "some words of text here", "en", "src0", 23, None), (None, "a text without an id", "en", "src1", 20, "c")]
-    docs = spark.createDataFrame(rows, COLUMNS + ", _kept string")
+    extra = ["_kept", "_keep", "_label", "_spans", "_items", "_row", "_text", "_copies", "id", "part", "row", "dropped"]
+    docs = spark.createDataFrame([(*r, *range(1, 12)) for r in rows], COLUMNS + ", _kept string, "
+                                 + ", ".join(f"{n} int" for n in extra[1:]))
     for name, stage in corpus_pipeline.STAGES:
         done = stage(spark, docs, folder)
         assert done.columns == docs.columns + (["copies"] if name == "source_mixing" else [])
-        assert done.count() >= 1
+        assert done.count() >= 1 and {tuple(r) for r in done.select(*extra[1:]).collect()} == {tuple(range(1, 12))}
         assert stage(spark, docs.limit(0), folder).collect() == []
