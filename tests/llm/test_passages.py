@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wardline.llm import passages
+from wardline.llm import leaks, passages
 from wardline.llm.common import word_hashes
 
 
@@ -108,3 +108,72 @@ def test_planted_passages_are_found(spark):
 
 def test_merged():
     assert passages.merged([(0, 30), (32, 60), (70, 90)], 50) == [(0, 60)]
+
+
+def found_ids(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    rows = passages.repeated_passages(frame).collect()
+    return {r["id"] for r in rows if r["later"]}, {r["id"] for r in rows if r["first"]}
+
+
+def test_passage_whose_halves_stood_apart_before(spark):
+    rng = random.Random(31)
+    other = [[f"o{k}_{i}" for i in range(60)] for k in range(4)]
+    passage = rng.choices([f"p{i}" for i in range(900)], k=50)
+    texts = [" ".join(other[0] + passage[:25]), " ".join(passage[25:] + other[1]),
+             " ".join(other[2] + passage), " ".join(passage + other[3])]
+    later, _ = found_ids(spark, texts)
+    assert {3, 4} <= later and 1 not in later and 2 not in later
+
+
+def test_decoys_that_hold_the_seeds_alone(spark):
+    """Document 1 holds every 5-gram of a passage that documents 2 and 3 share, but scattered."""
+    rng = random.Random(32)
+    passage = rng.choices([f"p{i}" for i in range(900)], k=60)
+    decoy, fresh = [], iter(range(10_000))
+    for i in rng.sample(range(56), 56):
+        decoy += passage[i:i + 5] + [f"d{next(fresh)}" for _ in range(110)]
+    texts = [" ".join(decoy), " ".join([f"a{i}" for i in range(40)] + passage),
+             " ".join(passage + [f"b{i}" for i in range(40)])]
+    later, first = found_ids(spark, texts)
+    assert later == {3} and first == {2}
+
+
+@pytest.mark.parametrize("size, rate", [(60, 0), (60, .05), (60, .1), (60, .15), (100, .1), (100, .15)])
+def test_recall_of_fuzzy_passages(spark, size, rate):
+    """Of pairs that have a span of 50 words at 80 % on their diagonal at least nine in ten are found."""
+    rng = random.Random(size)
+    vocabulary, texts, wanted = [f"w{i}" for i in range(3000)], [], set()
+    for n in range(60):
+        base = rng.choices(vocabulary, k=size)
+        other = [rng.choice(vocabulary) if rng.random() < rate else w for w in base]
+        span = leaks.best_span(np.array([a == b for a, b in zip(base, other)]), passages.MIN_SIMILARITY)
+        if span and span[1] - span[0] >= 50:
+            wanted.add(2 * n + 2)
+        for own in (base, other):
+            text = rng.choices(vocabulary, k=80)
+            text[40:40] = own
+            texts.append(" ".join(text))
+    later, _ = found_ids(spark, texts)
+    assert len(later & wanted) >= .9 * len(wanted) and len(later - wanted) <= 3
+
+
+def test_small_corpora_against_all_pairs(spark):
+    """Documents of few passages: what is reported as repeated is what all pairs of documents have in common."""
+    rng = random.Random(34)
+    for corpus in range(3):
+        pool = [rng.choices([f"c{corpus}_{i}" for i in range(2000)], k=rng.choice([30, 55, 80])) for _ in range(8)]
+        docs = []
+        for d in range(24):
+            words = [f"u{corpus}_{d}_{i}" for i in range(20)]
+            for part in rng.sample(pool, rng.choice([0, 1, 2])):
+                words += part + [f"v{corpus}_{d}_{len(words)}_{i}" for i in range(15)]
+            docs.append(words)
+        wanted = set()
+        for i, one in enumerate(docs):
+            for other in docs[:i]:
+                grams = {tuple(other[k:k + 50]) for k in range(len(other) - 49)}
+                if any(tuple(one[k:k + 50]) in grams for k in range(len(one) - 49)):
+                    wanted.add(i + 1)
+        later, _ = found_ids(spark, [" ".join(d) for d in docs])
+        assert later == wanted

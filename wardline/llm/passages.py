@@ -2,8 +2,9 @@
 
 Every document keeps the least hashes of its word 5-grams per window as seeds. A seed that stands in
 several documents links each of them to the first one that holds it, so that a passage with any number of
-copies costs one link per copy. Links between two documents are chained in order, chains are aligned word by
-word, and what is similar over fifty words or more is a repeated passage.
+copies costs one link per copy. Links between two documents are chained in order, chains, those of one link too, are
+aligned word by word, and what is similar over fifty words or more is a repeated passage. Seeds whose link was
+refuted, since their first document holds them by chance, are linked once more, by the pair of the seed and the next.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from wardline.llm.common import Scratch, mixed, over_batches, split_words, word_
 from wardline.llm.leaks import best_span
 
 SEED_WORDS = 5        # words of a seed
-WINDOW = 20           # of as many neighbouring seeds one is kept: any 24 equal words share a seed
+WINDOW = 10           # of as many neighbouring seeds one is kept: any 14 equal words share a seed
 MIN_WORDS = 50        # words of a passage
 MIN_FRAGMENT = 12     # words an aligned chain needs to count towards a passage
 MIN_SIMILARITY = 0.8  # share of equal words in an alignment
 JOIN_WORDS = 3        # words between fragments of one passage
 GAP_COST = 0.05       # per word of distance, on either side, against SEED_WORDS a seed is worth
-REACH = SEED_WORDS + WINDOW  # words an alignment may go beyond the outer seeds of its chain
+REACH = MIN_WORDS + WINDOW   # words an alignment may go beyond the outer seeds of its chain
 
 
 def kept_seeds(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,16 +68,21 @@ def _edges(ranked: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.nda
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, words, seeds): one byte per word, and the seeds as (h, pos)."""
+    """(row, id, words, seeds): one byte per word, and the seeds as (h, pair, pos), ``pair`` a hash of the seed and the
+    next one of the text, null for the last."""
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, starts = split_words(batch.column(2))
         words = word_hashes(values)
         places, hashes = kept_seeds(words, starts)
         cut = np.searchsorted(places, starts)
         bytes_ = (words >> np.uint64(56)).astype(np.uint8).tobytes()
+        after = np.concatenate([hashes[1:], np.zeros(1, np.uint64)])[:len(hashes)]
+        ends = np.zeros(len(hashes), bool)
+        ends[cut[1:][cut[1:] > cut[:-1]] - 1] = True
+        pair = pa.array(mixed(mixed(hashes) + after).view(np.int64), mask=ends)
         seeds = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array((places - starts[np.searchsorted(starts, places, "right") - 1])
-                                                       .astype(np.int32))], names=["h", "pos"]))
+            [pa.array(hashes.view(np.int64)), pair, pa.array((places - starts[np.searchsorted(starts, places, "right") - 1])
+                                                             .astype(np.int32))], names=["h", "pair", "pos"]))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1),
              pa.array([bytes_[a:b] for a, b in zip(starts[:-1], starts[1:])], pa.binary()), seeds],
@@ -84,22 +90,32 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
                        F.col(text_col).cast("string").alias("text"))
-    return over_batches(rows, scan, "row long, id long, words binary, seeds array<struct<h:long,pos:int>>")
+    return over_batches(rows, scan, "row long, id long, words binary, seeds array<struct<h:long,pair:long,pos:int>>")
 
 
-def links(sketched: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, anchor, pos, apos): each seed of a document and its place in the first document that has it.
+def links(seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, anchor, pos, apos, pair, id): each seed of a document and its place in the first document that has it.
 
-    The first document of a seed is a minimum that every task takes beforehand, so that a seed which a third
-    of all documents share is one row per task there. The table of shared seeds is written; the join reads it
-    plainly, and adaptive execution may split the rows of a frequent seed.
+    ``seeds`` has h, pair, pos, row, id. The first document of a seed is a minimum that every task takes beforehand, so
+    that a seed which a third of all documents share is one row per task there. The table of shared seeds is written;
+    the join reads it plainly, and adaptive execution may split the rows of a frequent seed.
     """
-    seeds = sketched.select("row", "id", F.explode("seeds").alias("s")).select("s.h", "s.pos", "row", "id")
     shared = scratch.keep(
         seeds.groupBy("h").agg(F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "row", "pos")).alias("a"),
                                F.min("row").alias("low"), F.max("row").alias("high"))
         .where("low < high").select("h", F.col("a.row").alias("anchor"), F.col("a.pos").alias("apos")))
-    return (seeds.join(shared, "h").where("row <> anchor").select("row", "anchor", "pos", "apos"))
+    return scratch.keep(seeds.join(shared, "h").where("row <> anchor").select("row", "anchor", "pos", "apos", "pair", "id"))
+
+
+def refuted(linked: DataFrame, found: DataFrame) -> DataFrame:
+    """The seeds (h, pair, pos, row, id) of links that lie in no similar fragment, with the pair in place of the seed.
+
+    The spans of a document are as many as it has fragments.
+    """
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    covered = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (F.col("pos") < s["end"]))
+    return (linked.where("pair is not null").join(spans, "row", "left")
+            .where(~F.coalesce(covered, F.lit(False))).select(F.col("pair").alias("h"), "pair", "pos", "row", "id"))
 
 
 def chained(pos: np.ndarray, apos: np.ndarray) -> list[np.ndarray]:
@@ -180,6 +196,13 @@ def aligned(pos: np.ndarray, apos: np.ndarray, words: np.ndarray, awords: np.nda
     return found
 
 
+def alone(at: int, there: int, words: np.ndarray, awords: np.ndarray) -> bool:
+    """Whether a single link has too few equal words around it for any fragment."""
+    back, on = min(at, there), min(len(words) - at, len(awords) - there)
+    equal = words[at - back:at + on] == awords[there - back:there + on]
+    return np.count_nonzero(equal) < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
+
+
 def chain_links(linked: DataFrame) -> DataFrame:
     """(row, anchor, pos, apos): the chains between two documents, as arrays of places.
 
@@ -215,8 +238,9 @@ def fragments(chains: DataFrame, sketched: DataFrame, scratch: Scratch) -> DataF
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
         for pos, apos, own, other, base, abase in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
-            found = aligned(np.array(pos), np.array(apos), np.frombuffer(own, np.uint8), np.frombuffer(other, np.uint8),
-                            base, abase)
+            own, other = np.frombuffer(own, np.uint8), np.frombuffer(other, np.uint8)
+            found = [] if len(pos) == 1 and alone(pos[0] - base, apos[0] - abase, own, other) else aligned(
+                np.array(pos), np.array(apos), own, other, base, abase)
             spans.append([dict(zip(("start", "end", "astart", "aend"), s)) for s in found])
         kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "astart", "aend")]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)],
@@ -250,9 +274,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     scratch = Scratch(docs.sparkSession, "passages")
     sketched = scratch.keep(sketches(docs, id_col, text_col))
-    chains = scratch.keep(chain_links(links(sketched, scratch)).where(
-        f"element_at(pos, -1) - element_at(pos, 1) + {SEED_WORDS + 2 * REACH} >= {MIN_FRAGMENT} and size(pos) > 1"))
-    found = scratch.keep(fragments(chains, sketched, scratch).select("row", "anchor", F.inline("spans")))
+    seeds = sketched.select("row", "id", F.explode("seeds").alias("s")).select("s.h", "s.pair", "s.pos", "row", "id")
+    found = None
+    for _ in range(2):  # by single seeds, then what they could not verify by pairs of seeds
+        linked = links(seeds, scratch)
+        chains = scratch.keep(chain_links(linked))
+        more = scratch.keep(fragments(chains, sketched, scratch).select("row", "anchor", F.inline("spans")))
+        found = more if found is None else found.union(more)
+        seeds = refuted(linked, found)
     later = found.select("row", "start", "end", "anchor")
     first = found.groupBy(F.col("anchor").alias("row"), F.col("astart").alias("start")).agg(
         F.max("aend").alias("end")).select("row", "start", "end", F.lit(None).cast("long").alias("anchor"))
