@@ -6,6 +6,7 @@ import random
 import re
 
 from wardline.llm import pii
+from wardline.llm.common import Scratch
 
 
 def luhn(digits):
@@ -58,6 +59,27 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(found[i] == brute(texts[i]) for i in range(len(texts)) if i != 12)
 
 
+def test_found_identifiers_induce_contexts(spark):
+    """Identifiers found after one context make another trusted, before which no pattern ever matches."""
+    ids = [f"KX-{n}417-B" for n in range(60, 66)]
+    texts = [f"please write to customer contact user{i}@mail.example.org soon" for i in range(20)]
+    texts += [f"please write to customer contact {x} soon" for x in ids]
+    texts += [f"his badge number {x} was read" for x in ids] + ["her badge number QZ-88123-A was read"]
+    texts += ["the part number QZ-55555-C is out"] + [f"the year number {n} began" for n in range(1900, 1920)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: [tuple(s) for s in r["found"]] for r in pii.personal_data(docs).collect()}
+    for i in range(20, 33):
+        value = next(w for w in texts[i].split() if w[2:3] == "-")
+        at = texts[i].index(value)
+        assert found[i] == [(at, 4, at + len(value))]
+    assert all(found[i] == [] for i in range(33, len(texts)))
+    rows = docs.select("doc_id", "text").withColumnRenamed("doc_id", "id").selectExpr("id as row", "id", "text")
+    known = pii.base_and_tokens(pii.pattern_spans(rows))
+    contexts = [{r["left"] for r in pii.trusted_contexts(known, Scratch(spark, "generations"), generations=g).collect()}
+                for g in (1, 2, 4)]
+    assert contexts[0] == {"customer contact"} and contexts[1] == contexts[2] == {"customer contact", "badge number"}
+
+
 def test_no_python_on_the_main_path(spark, data):
     plan = pii.personal_data(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

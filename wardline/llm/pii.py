@@ -27,11 +27,12 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}  # a character without which the pattern cannot match
 
 CONTEXT = r"((?:\p{L}+[^\p{L}\n]{1,3})?\p{L}+)[^\p{L}\p{N}\n]{0,4}$"  # up to two words before a value
-CONTEXT_CHARS = 60
+CONTEXT_CHARS = 60    # before a value in which its context is looked for; of a word that begins before them, the end
 
 MIN_SEEDS = 3         # different known values a context needs
 MIN_CONFIDENCE = 0.6  # score from which a context finds new values
 ROUNDS = 3            # turns of scoring
+GENERATIONS = 4       # times the values found may induce contexts of their own
 
 
 def _staged(df: DataFrame, columns: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -102,22 +103,24 @@ def base_and_tokens(found: DataFrame) -> DataFrame:
                         F.filter(trimmed, lambda s: s["left"] != "").alias("tokens"))
 
 
-def score_contexts(rows: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS) -> DataFrame:
+def context_edges(rows: DataFrame) -> DataFrame:
+    """(left, value, seed): a context and a value that follows it anywhere; ``seed`` is 1 for values of patterns."""
+    seen = (rows.select(F.explode("base").alias("s"), F.lit(1).alias("seed"))
+            .union(rows.select(F.explode("tokens").alias("s"), F.lit(0).alias("seed"))))
+    return (seen.where("s.left <> ''").groupBy("s.left", F.lower("s.value").alias("value"))
+            .agg(F.max("seed").alias("seed")))
+
+
+def score_contexts(all_edges: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS) -> DataFrame:
     """(left, score) of the contexts that stand before at least ``min_seeds`` different known values.
 
-    An edge is a context and a value that follows it anywhere; known values score 1. A context scores the
-    mean score of its values with one unknown value added, a value the probability that one of its contexts
-    is right. A known value keeps 1. Edges are counted before they are moved, and only those of contexts
-    with enough seeds are kept.
+    Known values score 1. A context scores the mean score of its values with one unknown value added, a value the
+    probability that one of its contexts is right. A known value keeps 1. Edges are counted before they are moved,
+    and only those of contexts with enough seeds are kept.
     """
-    seen = (rows.select(F.explode("base").alias("s"), F.lit(1).alias("seed"))
-            .union(rows.select(F.explode("tokens").alias("s"), F.lit(0).alias("seed"))))
-    edges = (seen.where("s.left <> ''").groupBy("s.left", F.lower("s.value").alias("value"))
-             .agg(F.max("seed").alias("seed")))
-    enough = scratch.keep(edges.groupBy("left").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds))
-    edges = scratch.keep(edges.join(enough.select("left"), "left"))
-    known = edges.groupBy("value").agg(F.max("seed").cast("double").alias("belief"))
-    values = scratch.keep(known)
+    enough = scratch.keep(all_edges.groupBy("left").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= min_seeds))
+    edges = scratch.keep(all_edges.join(enough.select("left"), "left"))
+    values = scratch.keep(edges.groupBy("value").agg(F.max("seed").cast("double").alias("belief")))
     for _ in range(rounds):
         contexts = scratch.keep(edges.join(values, "value").groupBy("left")
                                 .agg((F.sum("belief") / (F.count(F.lit(1)) + 1)).alias("score")))
@@ -130,6 +133,27 @@ def score_contexts(rows: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS
     return contexts
 
 
+def trusted_contexts(rows: DataFrame, scratch: Scratch, min_seeds: int = MIN_SEEDS,
+                     min_confidence: float = MIN_CONFIDENCE, generations: int = GENERATIONS) -> DataFrame:
+    """(left) of the contexts that find new values, in generations.
+
+    The values that trusted contexts find are known values of the next generation, so that they induce contexts
+    before which no pattern matches. It ends when a generation finds no new value, or after ``generations``.
+    """
+    edges = scratch.keep(context_edges(rows))
+    for generation in range(generations):
+        trusted = scratch.keep(score_contexts(edges, scratch, min_seeds).where(F.col("score") >= min_confidence)
+                               .select("left"))
+        if generation + 1 == generations:
+            break
+        found = scratch.keep(edges.where("seed = 0").join(trusted, "left", "left_semi").select("value").distinct())
+        if not found.limit(1).count():
+            break
+        marked = edges.join(found.withColumn("found", F.lit(1)), "value", "left")
+        edges = scratch.keep(marked.select("left", "value", F.greatest("seed", F.coalesce("found", F.lit(0))).alias("seed")))
+    return trusted
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS,
                   min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(id, base, found): pattern spans, and those with the values contexts add, one row per input row.
@@ -142,8 +166,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = scratch.keep(base_and_tokens(pattern_spans(rows)))
-    trusted = scratch.keep(score_contexts(rows, scratch, min_seeds).where(F.col("score") >= min_confidence)
-                           .select("left"))
+    trusted = trusted_contexts(rows, scratch, min_seeds, min_confidence)
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
     new = (rows.select("row", F.explode("tokens").alias("t")).withColumn("left", F.col("t.left"))
            .join(trusted, "left").groupBy("row").agg(F.collect_list(F.struct("t.start", "t.kind", "t.end")).alias("new")))
