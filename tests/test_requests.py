@@ -119,3 +119,26 @@ def test_only_local_sessions_may_leave_it_unset(master, allowed):
 def test_documents_scan_reads_only_needed_columns(spark, data):
     plan = tables.documents(spark, data).select("doc_id", F.length("text"))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_batches_are_answered_in_order_or_turned_away(spark):
+    from wardline.operators import requests
+
+    batches = spark.createDataFrame([
+        ("a", ["fine text here", "you stupid idiot moron", "", "fine text here"], "batch_optimized", 300, False),
+        ("b", ["fine text here", None], "strict", 300, False), ("none", [], "default", 300, False),
+        ("null", None, "default", 300, False), ("many", ["x y z"] * 101, "default", 300, False),
+        ("past", ["fine text here"], "batch_optimized", 300, True)],
+        "batch_id string, texts array<string>, guardrail string, cache_ttl int, skip_cache boolean")
+    stored = batches.limit(0).select(F.lit("x").alias("cache_key"), F.lit("t").alias("text"), F.lit("default").alias("resolved"))
+    live = requests.scorer()(stored).select("cache_key", *requests.RESULTS)
+    got = {r["batch_id"]: r for r in requests.answer_batches(batches, live).collect()}
+    assert set(got) == {"a", "b", "none", "null", "many", "past"}
+    assert {k for k, r in got.items() if r["status"] == "failure"} == {"none", "null", "many"}
+    a = got["a"]
+    assert a["message"] == "Batch validation completed: 4 texts processed"
+    assert [(r["pos"], r["valid"], r["reject_reason"]) for r in a["results"]] == [
+        (0, True, None), (1, False, None), (2, False, "empty_text"), (3, True, None)]
+    assert (a["total_processed"], a["total_valid"], a["cache_hits"], a["cache_misses"]) == (4, 2, 1, 3)
+    assert got["b"]["total_processed"] == 2 and not got["b"]["results"][1]["valid"]
+    assert got["past"]["cache_hits"] == 0

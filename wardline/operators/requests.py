@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.arrays import exploded
 from wardline.operators import admission, cache, engine
 from wardline.operators.validators import VALIDATORS, ValidatorSet
 from wardline.plans.policies import REGISTRY, Registry, policy_version, resolved_guardrail
@@ -77,3 +78,30 @@ def entries(responses: DataFrame, written_at: Column, row_id: str = "request_id"
 def batch_responses(responses: DataFrame, batch_id: str = "batch_id") -> DataFrame:
     """Totals per batch: texts, valid ones, and where the answers came from."""
     return engine.batch_summary(responses, batch_id)
+
+
+def answer_batches(batches: DataFrame, live: DataFrame, batch_id: str = "batch_id", registry: Registry = REGISTRY,
+                   validators: ValidatorSet = VALIDATORS) -> DataFrame:
+    """The response of every batch request, one row each: status, message, totals and ``results`` in the order of the texts.
+
+    ``batches`` has the id, ``texts`` and the options of a request, which hold for all its texts. A batch of no text or
+    too many is a failure as a whole and none of its texts is validated. The texts of the others are answered as
+    single requests are, equal ones of all batches once; a text that breaks a rule is a result that is not valid. A
+    result list is bounded by the size of a batch.
+    """
+    sized = batches.withColumn("_n", F.coalesce(F.size("texts"), F.lit(0)))
+    fits = F.col("_n").between(admission.MIN_BATCH, admission.MAX_BATCH)
+    options = [c for c in ("guardrail", "cache_ttl", "skip_cache") if c in batches.columns]
+    texts = exploded(sized.where(fits), [batch_id, *options], F.col("texts"), "text", "pos")
+    asking = texts.select(F.struct(F.col(batch_id).alias("batch"), "pos").alias("_text_id"), "text", *options)
+    answered = answer(asking, live, "_text_id", registry, validators)
+    result = F.struct(F.col("_text_id.pos").alias("pos"), "valid", "action", "cache_hit", "reject_reason", "processed_text")
+    listed = answered.groupBy(F.col("_text_id.batch").alias("_batch")).agg(F.array_sort(F.collect_list(result)).alias("results"))
+    totals = batch_responses(answered.withColumn("_batch", F.col("_text_id.batch")), "_batch")
+    done = totals.join(listed, "_batch").select(
+        F.col("_batch").alias(batch_id), F.lit("success").alias("status"),
+        F.concat(F.lit("Batch validation completed: "), F.col("total_processed"), F.lit(" texts processed")).alias("message"),
+        "total_processed", "total_valid", "cache_hits", "cache_misses", "results")
+    broken = sized.where(~fits).select(
+        batch_id, F.lit("failure").alias("status"), F.concat(F.lit(REJECTED_PREFIX), F.lit("batch_size")).alias("message"))
+    return done.unionByName(broken, allowMissingColumns=True)

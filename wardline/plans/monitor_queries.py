@@ -39,6 +39,45 @@ def request_counter(spark, folder):
     return metrics.counter(log(spark, folder), "endpoint", "status_code")
 
 
+_LABELS = f"""WITH {_LOG}, g AS (SELECT *, CASE WHEN usage % 4 = 0 THEN 'GET' ELSE 'POST' END AS method,
+    (['default','strict','permissive'])[user_id % 3 + 1] AS guardrail_name,
+    (['toxicity_check','sentiment_check','pii_detection'])[event_id % 3 + 1] AS validator_name,
+    (['lexicon-toxicity-1','lexicon-sentiment-1','pattern-pii-1'])[event_id % 3 + 1] AS model_name,
+    (['lexicon','lexicon','pattern'])[event_id % 3 + 1] AS model_type FROM l)"""
+
+
+def labelled(spark, folder) -> DataFrame:
+    """The request log with the labels of its metrics, drawn from its ids."""
+    def pick(values: str, number: Column) -> Column:
+        return F.element_at(F.split(F.lit(values), " "), (number % 3 + 1).cast("int"))
+
+    return log(spark, folder).withColumns({
+        "method": F.when(F.col("usage") % 4 == 0, "GET").otherwise("POST"),
+        "guardrail_name": pick("default strict permissive", F.col("user_id")),
+        "validator_name": pick("toxicity_check sentiment_check pii_detection", F.col("event_id")),
+        "model_name": pick("lexicon-toxicity-1 lexicon-sentiment-1 pattern-pii-1", F.col("event_id")),
+        "model_type": pick("lexicon lexicon pattern", F.col("event_id"))})
+
+
+@query(f"""{_LABELS} SELECT method, endpoint, CAST(status_code AS VARCHAR) AS status_code, guardrail_name, count(*) AS n FROM g GROUP BY ALL""")
+def request_labels(spark, folder):
+    """Requests by method, endpoint, status and policy."""
+    return metrics.counter(labelled(spark, folder).withColumn("status_code", F.col("status_code").cast("string")),
+                           "method", "endpoint", "status_code", "guardrail_name")
+
+
+@query(f"""{_LABELS}, v AS (SELECT *, duration / 16 AS d FROM g),
+    t AS (SELECT model_name, model_type, validator_name, count(*) AS observations,
+                 CAST(sum(CAST(d AS DECIMAL(18, 9))) AS DOUBLE) AS total FROM v GROUP BY 1, 2, 3),
+    b(bound, le) AS (VALUES (0.01::DOUBLE, '0.01'), (0.05, '0.05'), (0.1, '0.1'), (0.5, '0.5'), (1.0, '1.0'), (2.5, '2.5'),
+                            (5.0, '5.0'), (10.0, '10.0'), ('infinity', '+Inf'))
+    SELECT t.*, le, (SELECT count(*) FROM v WHERE v.model_name = t.model_name AND d <= bound) AS cumulative FROM t, b""")
+def inference_labels(spark, folder):
+    """Inference times by model, kind of model and validator."""
+    calls = labelled(spark, folder).withColumn("d", F.col("duration") / 16)
+    return metrics.histogram(calls, "d", metrics.INFERENCE_BUCKETS, "model_name", "model_type", "validator_name")
+
+
 def _histogram_sql(buckets: list[float], scale: str) -> str:
     rows = ", ".join(f"({bound}::DOUBLE, '{bound}')" for bound in buckets)
     return f"""WITH {_LOG}, v AS (SELECT endpoint, {scale} AS d FROM l), b(bound, le) AS (VALUES {rows}),

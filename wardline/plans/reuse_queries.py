@@ -347,3 +347,42 @@ def batch_summary(spark, folder):
     docs = keyed(texts(spark, folder, "source"), "batch_optimized")
     verdicts = engine.validate(docs, "batch_optimized").select("doc_id", "source", "cache_key", "valid")
     return engine.batch_summary(cache.with_cache_hit(verdicts, "doc_id"), "source")
+
+
+_BATCH_REASON = ("CASE WHEN length(text) < 1 THEN 'empty_text' WHEN length(text) > 50000 THEN 'text_too_long' "
+                 "WHEN length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) "
+                 "|| chr(8195) || chr(12288))) = 0 THEN 'blank_text' END")
+
+
+@query(f"""{sql.by_policy('batch_optimized')},
+    b AS (SELECT doc_id, text, {sql.VALID} AS ok, {sql.ACTION} AS act, {_BATCH_REASON} AS reason,
+                 doc_id // 60 - CASE WHEN doc_id // 60 % 10 = 9 THEN 1 ELSE 0 END AS batch_id FROM f),
+    n AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) AS pos, count(*) OVER (PARTITION BY batch_id) AS size
+          FROM b),
+    s AS (SELECT DISTINCT text AS known FROM documents WHERE {_NUMBER} < 10),
+    a AS (SELECT n.*, reason IS NULL AND (known IS NOT NULL OR row_number() OVER (
+                     PARTITION BY text, reason IS NULL ORDER BY batch_id, pos) > 1) AS hit
+          FROM n LEFT JOIN s ON text = known WHERE size <= 100)
+    SELECT batch_id, 'success' AS status, 'Batch validation completed: ' || count(*) || ' texts processed' AS message,
+           count(*) AS total_processed, count(CASE WHEN ok AND reason IS NULL THEN 1 END) AS total_valid,
+           count(CASE WHEN hit THEN 1 END) AS cache_hits, count(CASE WHEN NOT hit THEN 1 END) AS cache_misses,
+           string_agg(CASE WHEN reason IS NULL THEN act ELSE reason END, ',' ORDER BY pos) AS results
+    FROM a GROUP BY batch_id
+    UNION ALL SELECT DISTINCT batch_id, 'failure', 'Invalid request: batch_size', NULL, NULL, NULL, NULL, NULL FROM n WHERE size > 100""")
+def batch_validation(spark, folder):
+    """Batch requests of up to 120 texts, of which those beyond 100 are turned away, answered with totals and in order."""
+    number = F.floor(F.col("doc_id") / 60)
+    docs = tables.documents(spark, folder).select("doc_id", "text", "source")
+    batches = (docs.groupBy((number - F.when(number % 10 == 9, 1).otherwise(0)).alias("batch_id"))
+               .agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("rows"))
+               .select("batch_id", F.col("rows.text").alias("texts"), F.lit("batch_optimized").alias("guardrail"),
+                       F.lit(300).alias("cache_ttl"), F.lit(False).alias("skip_cache")))
+    earlier = (docs.where(source_number() < 10)
+               .select("doc_id", "text", F.lit("batch_optimized").alias("guardrail"), F.lit(300).alias("cache_ttl"),
+                       F.lit(False).alias("skip_cache")))
+    stored = requests.admitted(earlier).groupBy("cache_key", "resolved", "text").agg(F.min("doc_id").alias("doc_id"))
+    live = requests.scorer()(stored).select("cache_key", *requests.RESULTS)
+    answered = requests.answer_batches(batches, live)
+    results = F.transform("results", lambda r: F.coalesce(r["reject_reason"], r["action"]))
+    return answered.select("batch_id", "status", "message", "total_processed", "total_valid", "cache_hits", "cache_misses",
+                           F.array_join(results, ",").alias("results"))
