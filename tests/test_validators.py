@@ -283,7 +283,7 @@ def test_registries_side_by_side(spark):
               for r in policies.registry_merge(first, second).collect()}
     assert merged == {("a", "length_check"): ("first", 10, None), ("a", "x"): ("first", None, 0.5),
                       (None, "length_check"): ("first", 5, None), ("b", "x"): ("second", None, 0.2)}
-    drift = {(r["guardrail"], r["validator"]): r["drift"] for r in policies.registry_drift(first, second).collect()}
+    drift = {(r["guardrail"], r["validator"]): r["drift"] for r in policies.registry_differences(first, second).collect()}
     assert drift == {("a", "length_check"): "differs: max_length,on_fail", ("a", "x"): "first only",
                      ("a", "y"): "second only", ("b", "x"): "second only"}
 

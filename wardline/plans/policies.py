@@ -236,7 +236,7 @@ def registry_merge(first: DataFrame, second: DataFrame) -> DataFrame:
                 F.when(of_first, F.col(f"first_{c}")).otherwise(F.col(f"second_{c}")).alias(c) for c in parameters]))
 
 
-def registry_drift(first: DataFrame, second: DataFrame) -> DataFrame:
+def registry_differences(first: DataFrame, second: DataFrame) -> DataFrame:
     """Checks that only one registry has, or that both have with other parameters, and which parameters differ."""
     sides = registry_sides(first, second)
     differing = F.concat_ws(",", *[F.when(~F.col(f"first_{c}").eqNullSafe(F.col(f"second_{c}")), F.lit(c))
@@ -244,3 +244,10 @@ def registry_drift(first: DataFrame, second: DataFrame) -> DataFrame:
     kind = (F.when(~F.col("in_second"), "first only").when(~F.col("in_first"), "second only")
             .when(differing != "", F.concat(F.lit("differs: "), differing)))
     return sides.select("guardrail", "validator", "winner", kind.alias("drift")).where(F.col("drift").isNotNull())
+
+
+def registry_drift(spark: SparkSession, first: Registry = SERVICE, second: Registry = CONFIG) -> DataFrame:
+    """Checks that only one registry has, or that both have with other parameters, as they stand there."""
+    left, right = policy_rows(spark, first), policy_rows(spark, second)
+    return (left.exceptAll(right).withColumn("only_in", F.lit("first"))
+            .unionByName(right.exceptAll(left).withColumn("only_in", F.lit("second"))))

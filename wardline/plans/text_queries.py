@@ -402,7 +402,7 @@ def registry_merge(spark, folder):
            coalesce(texts, 0) AS texts FROM d LEFT JOIN u USING (guardrail) WHERE drift IS NOT NULL""")
 def registry_drift(spark, folder):
     """How the two registries' checks differ, with the number of texts that ask for each policy."""
-    drift = policies.registry_drift(policies.policy_rows(spark, policies.SERVICE), policies.policy_rows(spark, policies.CONFIG))
+    drift = policies.registry_differences(policies.policy_rows(spark, policies.SERVICE), policies.policy_rows(spark, policies.CONFIG))
     return drift.join(_asking(spark, folder), "guardrail", "left").fillna(0, ["texts"])
 
 
