@@ -8,6 +8,7 @@ that the answer stays exact.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,13 +201,15 @@ def misses_of_runs(roots: DataFrame, links: DataFrame, longest: int, keep: Calla
     ``longest`` bounds the misses of a run; ``keep`` writes a table and reads it back.
     """
     known, jumps, reach = roots.select("_key", "sec"), keep(links.where("next is not null")), 1
-    while reach < longest:
-        found = known.join(jumps, ["_key", "sec"]).select("_key", F.col("next").alias("sec"))
-        known = keep(known.unionByName(found))
-        reach *= 2
-        if reach < longest:
-            onward = jumps.select("_key", F.col("sec").alias("next"), F.col("next").alias("_next"))
-            jumps = keep(jumps.join(onward, ["_key", "next"]).select("_key", "sec", F.col("_next").alias("next")))
+    with ThreadPoolExecutor(2) as pool:
+        while reach < longest:
+            found = known.join(jumps, ["_key", "sec"]).select("_key", F.col("next").alias("sec"))
+            more = pool.submit(keep, known.unionByName(found))  # while the pointers of the next round are written
+            reach *= 2
+            if reach < longest:
+                onward = jumps.select("_key", F.col("sec").alias("next"), F.col("next").alias("_next"))
+                jumps = keep(jumps.join(onward, ["_key", "next"]).select("_key", "sec", F.col("_next").alias("next")))
+            known = more.result()
     return known
 
 
