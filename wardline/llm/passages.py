@@ -197,10 +197,14 @@ def aligned(pos: np.ndarray, apos: np.ndarray, words: np.ndarray, awords: np.nda
 
 
 def alone(at: int, there: int, words: np.ndarray, awords: np.ndarray) -> bool:
-    """Whether a single link has too few equal words around it for any fragment."""
+    """Whether a single link has too few equal words around it for any fragment.
+
+    A fragment has a part of ``MIN_FRAGMENT`` to twice as many words, less one, that is similar enough by itself.
+    """
     back, on = min(at, there), min(len(words) - at, len(awords) - there)
-    equal = words[at - back:at + on] == awords[there - back:there + on]
-    return np.count_nonzero(equal) < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
+    total = np.concatenate([[0], np.cumsum(words[at - back:at + on] == awords[there - back:there + on])])
+    width = min(2 * MIN_FRAGMENT, back + on)
+    return (total[width:] - total[:len(total) - width]).max() < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
 
 
 def chain_links(linked: DataFrame) -> DataFrame:
