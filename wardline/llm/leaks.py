@@ -138,15 +138,11 @@ def best_span(equal: np.ndarray, similarity: float) -> tuple[int, int] | None:
     edge = np.concatenate([[False], equal, [False]]).astype(bool)
     least = np.minimum.accumulate(np.where(edge[1:], score, np.inf))               # of beginnings, never rises
     most = np.maximum.accumulate(np.where(edge[:-1], score, -np.inf)[::-1])[::-1]  # of ends, from here on
-    best, i, j = None, 0, 0
-    while i < len(score) and j < len(score):
-        if most[j] >= least[i]:
-            if j > i and (best is None or j - i > best[1] - best[0]):
-                best = (i, j)
-            j += 1
-        else:
-            i += 1
-    return best
+    # the last end that is high enough for each beginning
+    last = len(most) - 1 - np.searchsorted(most[::-1], least, "left")
+    length = np.where(np.isfinite(least), last - np.arange(len(least)), 0)
+    i = int(length.argmax())
+    return (i, i + int(length[i])) if length[i] > 0 else None
 
 
 def pieces(benchmark: DataFrame, id_col: str, text_col: str, piece_words: int, overlap: int) -> DataFrame:

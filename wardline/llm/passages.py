@@ -186,6 +186,8 @@ def aligned(pos: np.ndarray, apos: np.ndarray, words: np.ndarray, awords: np.nda
             partner[at[0] - first + turn:at[-1] + 1 - first] = at[turn:] + shift[i + 1]
     at = np.arange(first, last)
     equal, found, parts = same(at, partner), [], [(0, last - first)]
+    if too_different(equal):
+        return []
     while parts:
         a, b = parts.pop()
         span = best_span(equal[a:b], MIN_SIMILARITY) if b - a >= MIN_FRAGMENT else None
@@ -196,17 +198,22 @@ def aligned(pos: np.ndarray, apos: np.ndarray, words: np.ndarray, awords: np.nda
     return found
 
 
-def alone(at: int, there: int, words: np.ndarray, awords: np.ndarray) -> bool:
-    """Whether a single link has too few equal words around it for any fragment.
+def too_different(equal: np.ndarray) -> bool:
+    """Whether no fragment can lie in these words.
 
     A fragment has a part of ``MIN_FRAGMENT`` to twice as many words, less one, that is similar enough by itself.
     """
-    back, on = min(at, there), min(len(words) - at, len(awords) - there)
-    total = np.concatenate([[0], np.cumsum(words[at - back:at + on] == awords[there - back:there + on])])
-    width = min(2 * MIN_FRAGMENT, back + on)
+    total = np.concatenate([[0], np.cumsum(equal)])
+    width = min(2 * MIN_FRAGMENT, len(equal))
     return (total[width:] - total[:len(total) - width]).max() < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
 
 
+def alone(at: int, there: int, words: np.ndarray, awords: np.ndarray) -> bool:
+    """Whether a single link has too few equal words around it for any fragment."""
+    back, on = min(at, there), min(len(words) - at, len(awords) - there)
+    return too_different(words[at - back:at + on] == awords[there - back:there + on])
+
+
 def chain_links(linked: DataFrame) -> DataFrame:
     """(row, anchor, pos, apos): the chains between two documents, as arrays of places.
 
