@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from wardline.functions import scorers
 from wardline.operators import engine, plugins, ratelimit
+from wardline.plans import stream_queries
 from wardline.session import scratch_dir, ship_package
 from wardline.streaming import jobs
 
@@ -215,6 +218,37 @@ def test_stream_batches_are_numbered(spark):
     assert sorted((r["batch"], r["id"]) for r in jobs.read_batches(spark, path).collect()) == [(0, 1), (1, 2), (1, 3)]
 
 
+def test_streams_read_tables_that_are_files_or_folders(spark):
+    """Large tables are folders of part files; they used to be passed over."""
+    folder, rows = scratch_dir(spark, "tables"), [(i, f"text {i}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    frame.write.parquet(f"{folder}/others.parquet")
+    stream = jobs.stream_of(spark, folder, frame.schema, "documents.parquet")
+    assert sorted(jobs.run_available(stream, "folder").collect()) == rows
+    one = scratch_dir(spark, "one")
+    frame.coalesce(1).write.parquet(f"{one}/written")
+    part, = glob.glob(f"{one}/written/part-*.parquet")
+    os.rename(part, f"{one}/documents.parquet")
+    assert sorted(jobs.run_available(jobs.stream_of(spark, one, frame.schema, "documents.parquet"), "file").collect()) == rows
+    assert jobs.run_available(jobs.stream_of(spark, one, frame.schema), "any").count() == 20
+
+
+def test_verdict_sink_over_a_folder_of_part_files(spark, data):
+    folder = scratch_dir(spark, "tables")
+    spark.read.parquet(f"{data}/documents.parquet").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    found = {tuple(r) for r in stream_queries.stream_verdict_sink(spark, folder).collect()}
+    assert found == {tuple(r) for r in stream_queries.stream_verdict_sink(spark, data).collect()} and found
+
+
+def test_a_stream_without_rows_leaves_an_empty_sink(spark):
+    path, folder = scratch_dir(spark, "sink"), scratch_dir(spark, "empty")
+    os.makedirs(f"{folder}/documents.parquet")
+    stream = jobs.stream_of(spark, folder, "id long, client string", "documents.parquet")
+    jobs.write_each_batch(stream, path, "client")
+    assert jobs.read_batches(spark, path, stream.schema).count() == 0
+
+
 def test_ranking_quality(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1), (0.1, 0)], "score double, label int")
     assert plugins.ranking_quality(df, "label") == 0.75

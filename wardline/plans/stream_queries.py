@@ -87,7 +87,7 @@ def stream_verdict_sink(spark, folder):
     path = scratch_dir(spark, "verdict-batches")
     verdicts = jobs.validated(arriving, "strict").select("doc_id", "valid", "action", "processed_text")
     jobs.write_each_batch(verdicts, path, "action")
-    return jobs.read_batches(spark, path).groupBy("action").agg(
+    return jobs.read_batches(spark, path, verdicts.schema).groupBy("action").agg(
         F.count(F.lit(1)).alias("n"), F.count("processed_text").alias("rewritten"))
 
 

@@ -24,9 +24,13 @@ from wardline.session import scratch_dir
 
 
 def stream_of(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet") -> DataFrame:
-    """A stream of the Parquet files that match a pattern, as they arrive in a folder."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", files)
-            .option("maxFilesPerTrigger", 1000).parquet(folder))
+    """A stream of the Parquet files that match a pattern, as they arrive in a folder.
+
+    What matches may be a file or a folder of files: large tables are folders. The braces make any name a pattern,
+    which Spark needs to take a single file.
+    """
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
+            .parquet(f"{folder.rstrip('/')}/{{{files}}}"))
 
 
 def validated(texts: DataFrame, guardrail: str = DEFAULT_POLICY, **options) -> DataFrame:
@@ -107,8 +111,11 @@ def write_each_batch(stream: DataFrame, path: str, by: str) -> None:
     """Write a stream's batches as Parquet, one folder per batch number and value of ``by``.
 
     A batch that is run again, since the job failed between writing and noting it as done, replaces its own folder:
-    its rows are there once. Runs over all data present.
+    its rows are there once. Runs over all data present; the folder is there even if no batch came.
     """
+    spark = stream.sparkSession
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    out.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(out)
     query = (stream.writeStream.foreachBatch(lambda rows, number: write_batch(rows, number, path, by))
              .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
@@ -118,9 +125,15 @@ def write_batch(rows: DataFrame, number: int, path: str, by: str) -> None:
     rows.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(f"{path}/out/batch={number}")
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_each_batch`` wrote, with the number of each row's batch."""
-    return spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+def read_batches(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """What ``write_each_batch`` wrote, with the number of each row's batch.
+
+    With the stream's schema, no batch at all gives an empty table.
+    """
+    reader = spark.read.option("basePath", f"{path}/out")
+    if schema is not None:
+        reader = reader.schema(StructType([*schema.fields, StructField("batch", LongType())]))
+    return reader.parquet(f"{path}/out")
 
 
 class ExpiringFirst(StatefulProcessor):
