@@ -119,6 +119,37 @@ def test_one_client_with_all_traffic(spark):
     assert out.count() == 4000
 
 
+def test_groups_do_not_grow_with_windows_or_rows(spark):
+    """As many groups as shares, each slot in one; there used to be a group for each share of each window."""
+    rows = [(i, f"c{i % 50}", i % 7, i >= 350, i % 4) for i in range(3500)]
+    frame = spark.createDataFrame(rows, "id long, client string, window long, is_sure boolean, _any int")
+    shared = jobs.by_share(frame, ["client", "window"], 4)
+    assert shared.select("_share").distinct().count() == 4 and shared.count() == 3500
+    assert shared.where("not is_sure").select("client", "window", "_share").distinct().count() == 350
+
+
+def test_a_share_sets_rows_aside_while_it_gathers(spark, monkeypatch):
+    """Many windows in one share, gathered in many parts, over batches: what one replay gives."""
+    monkeypatch.setattr(jobs, "GATHERED_ROWS", 7)
+    rng, rows = random.Random(8), []
+    for i in range(600):
+        rows.append((i, 1 + i // 4 + rng.choice([0, 0, 9]), rng.choice(["hot", "hot", "a", None]), 0.0))
+    stream = feed(spark, [rows[:400], [(1000, 400, "z", 0.0)]]).select("id", "client", F.unix_seconds("ts").alias("second"))
+    out = jobs.limit_requests(stream, ["client"], "second", "id", scratch_dir(spark, "lim"), limit=3, window=20, spread=1)
+    taken, wanted = {}, {1000: False}
+    for i, second, client, _ in sorted(rows[:400], key=lambda r: (r[1], r[0])):
+        taken[client, second // 20] = taken.get((client, second // 20), 0) + 1
+        wanted[i] = taken[client, second // 20] > 3
+    assert {r["id"]: r["rejected"] for r in out.collect()} == wanted and out.count() == 401
+
+
+def test_null_clients_are_limited_like_others(spark):
+    rows = [[(i, 5 + i, None if i % 2 else "c", 0.0) for i in range(40)], [(99, 50, None, 0.0)]]
+    stream = feed(spark, rows).select("id", "client", F.unix_seconds("ts").alias("second"))
+    out = jobs.limit_requests(stream, ["client"], "second", "id", scratch_dir(spark, "lim"), limit=2, window=600)
+    assert {r["id"]: r["rejected"] for r in out.collect()} == {99: True} | {i: i > 3 for i in range(40)}
+
+
 def test_rows_set_aside_are_beyond_the_limit():
     rng = random.Random(6)
     for slots in (2, 1000):

@@ -22,6 +22,8 @@ from wardline.operators.ratelimit import REQUEST_LIMIT, WINDOW_SECONDS
 from wardline.plans.policies import DEFAULT_CACHE_TTL, DEFAULT_POLICY
 from wardline.session import scratch_dir
 
+GATHERED_ROWS = 50_000  # rows a share gathers before it sets aside those that others of their window precede
+
 
 def stream_of(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet") -> DataFrame:
     """A stream of the Parquet files that match a pattern, as they arrive in a folder.
@@ -233,41 +235,74 @@ class FirstOfWindow:
 
 
 class WindowLimiter(StatefulProcessor):
-    """Decides the requests of one client and window; the state is the number admitted, until the window closes."""
+    """Decides the requests of one share of all slots (client and window) at once.
+
+    The state is a list of the open slots of the share with the number admitted of each; a slot leaves it once its
+    window has closed. A call costs the same for one slot and for hundreds, so there are few shares.
+    """
 
-    def __init__(self, columns: list[str], order: list[str], limit: int, window: int):
-        self.columns, self.order, self.limit, self.window = columns, order, limit, window
+    def __init__(self, columns: list[str], slot: StructType, order: list[str], limit: int, window: int):
+        self.columns, self.slot, self.order, self.limit, self.window = columns, slot, order, limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.admitted = handle.getValueState("admitted", StructType([StructField("n", LongType())]))
+        self.admitted = handle.getListState("admitted", StructType([*self.slot.fields, StructField("n", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        window, share = key[-2], key[-1]
-        end = (int(window) + 1) * self.window * 1000
-        closed = end <= timerValues.getCurrentWatermarkInMs()
-        seen = self.admitted.get()[0] if not share and self.admitted.exists() else 0
-        room = 0 if share or closed else max(0, self.limit - seen)
-        first = None  # the first rows so far; of each part only those that may go before them are kept
+        now, seen = timerValues.getCurrentWatermarkInMs(), self._seen()
+        waiting, size, enough = [], 0, GATHERED_ROWS
         for part in rows:
-            if not room:
-                yield self._decided(part, True)
-                continue
-            part = part if first is None else pd.concat([first, part])
-            part = part.sort_values(self.order, kind="stable")
-            first = part.iloc[:room]
-            if len(part) > room:
-                yield self._decided(part.iloc[room:], True)
-        if first is not None:
+            beyond = (part["is_sure"] | (self._end(part["window"]) <= now)).to_numpy(bool)
+            if beyond.any():
+                yield self._decided(part[beyond], True)
+            if not beyond.all():
+                waiting.append(part[~beyond])
+                size += len(waiting[-1])
+            if size >= enough:  # only the first rows of each slot so far are kept
+                first, rest, _ = self._first(pd.concat(waiting), seen)
+                yield self._decided(rest, True)
+                waiting, size = [first], len(first)
+                enough = 2 * size + GATHERED_ROWS
+        if waiting:
+            first, rest, counts = self._first(pd.concat(waiting), seen)
+            yield self._decided(rest, True)
             yield self._decided(first, False)
-            if not seen:
-                self.handle.registerTimer(end)
-            self.admitted.update((seen + len(first),))
+            for slot, n in counts.items():
+                seen[slot] = seen.get(slot, 0) + n
+            self._keep(seen, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.admitted.clear()
+        self._keep(self._seen(), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
+    def _end(self, window):
+        return (window + 1) * (self.window * 1000)
+
+    def _seen(self) -> dict[tuple, int]:
+        return {tuple(entry[:-1]): entry[-1] for entry in self.admitted.get()} if self.admitted.exists() else {}
+
+    def _keep(self, seen: dict[tuple, int], now: int) -> None:
+        """Keep the open slots, and a timer for the last of them to close."""
+        kept = [(*slot, n) for slot, n in seen.items() if self._end(slot[-1]) > now]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept:
+            self.admitted.put(kept)
+            self.handle.registerTimer(max(self._end(entry[-2]) for entry in kept))
+        else:
+            self.admitted.clear()
+
+    def _first(self, rows: pd.DataFrame, seen: dict[tuple, int]) -> tuple[pd.DataFrame, pd.DataFrame, dict[tuple, int]]:
+        """The rows there is still room for in their slots, the others, and the number of the former by slot."""
+        rows = rows.sort_values(self.order, kind="stable")
+        columns = [rows[c].astype(object).where(rows[c].notna(), None) for c in self.slot.names]
+        numbers: dict[tuple, int] = {}
+        codes = np.array([numbers.setdefault(slot, len(numbers)) for slot in zip(*columns)])
+        room = np.array([self.limit - seen.get(slot, 0) for slot in numbers])
+        fits = pd.Series(codes).groupby(codes).cumcount().to_numpy() < room[codes]
+        counts = np.bincount(codes[fits], minlength=len(numbers)).tolist()
+        return rows[fits], rows[~fits], {slot: n for slot, n in zip(numbers, counts) if n}
+
     def _decided(self, rows: pd.DataFrame, rejected: bool) -> pd.DataFrame:
         return rows[self.columns].assign(rejected=rejected)
 
@@ -275,14 +310,21 @@ class WindowLimiter(StatefulProcessor):
         pass
 
 
+def by_share(sorted_out: DataFrame, slot: list[str], spread: int) -> DataFrame:
+    """The rows with ``_share``, by which they are gathered: that of their slot, or any for rows decided already."""
+    return sorted_out.withColumn("_share", F.when(F.col("is_sure"), F.col("_any")).otherwise(
+        F.pmod(F.xxhash64(*slot), F.lit(spread)).cast("int"))).drop("_any")
+
+
 def limit_requests(requests: DataFrame, client: list[str], seconds: str, row_id: str, path: str,
                    limit: int = REQUEST_LIMIT, window: int = WINDOW_SECONDS, late: str = "1 hour",
                    spread: int = 1024) -> DataFrame:
     """Decide for each arriving request whether it is beyond the limit of its client and window.
 
-    Spark keeps one number per client and window in its RocksDB state: how many were admitted. Within a micro-batch
+    Spark keeps one number per client and window in its RocksDB state: how many were admitted. Clients and windows
+    are dealt to ``spread`` shares by a hash, and a share is decided in one call of Python. Within a micro-batch
     the earlier requests of a window go first. Every task first sets aside the requests that ``limit`` earlier ones
-    of their window precede: they are rejected without being gathered, so the task that decides a window gets
+    of their window precede: they are rejected without being gathered by window, so the task that decides a window gets
     about ``limit`` requests from every task, however many there are. A window closes once no request can be
     expected any more, ``late`` after its end by the requests' own times; its number goes then, and what still
     arrives for it is rejected. So every request gets one decision. A batch that is run again after a failure
@@ -293,8 +335,10 @@ def limit_requests(requests: DataFrame, client: list[str], seconds: str, row_id:
     slot = [*client, "window"]
     timed = requests.withColumns({
         "window": F.floor(F.col(seconds) / window), "_time": F.timestamp_seconds(F.col(seconds))})
+    # Spark renames columns that begin with an underscore on their way to the processor
     # the watermark is drawn here and its column left behind: nothing is dropped for being late
-    placed = timed.withWatermark("_time", late).select(*columns, F.lit(0).alias("_share"))
+    placed = timed.withWatermark("_time", late).select(
+        *columns, F.lit(False).alias("is_sure"), F.lit(0).alias("_any"))
 
     def sort_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         may_pass = FirstOfWindow(limit)
@@ -302,12 +346,11 @@ def limit_requests(requests: DataFrame, client: list[str], seconds: str, row_id:
             slots = zip(*(rows[c] for c in slot))
             places = zip(rows[seconds], rows[row_id])
             sure = [not may_pass(where, place) for where, place in zip(slots, places)]
-            # rejected for sure: to any task, as shares of the window that admit nothing
-            yield rows.assign(_share=np.where(sure, 1 + np.arange(len(rows)) % spread, 0).astype(np.int32))
+            yield rows.assign(is_sure=sure, _any=(np.arange(len(rows)) % spread).astype(np.int32))
 
     sorted_out = placed.mapInPandas(sort_out, placed.schema)
     output = StructType([*placed.select(*columns).schema.fields, StructField("rejected", BooleanType())])
-    limiter = WindowLimiter(columns, order, limit, window)
-    decided = sorted_out.groupBy(*slot, "_share").transformWithStateInPandas(
+    limiter = WindowLimiter(columns, placed.select(*slot).schema, order, limit, window)
+    decided = by_share(sorted_out, slot, spread).groupBy("_share").transformWithStateInPandas(
         limiter, output, "append", "EventTime")
     return with_rocksdb(spark, lambda: run_available(decided, "limit-requests", path))
