@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -177,3 +178,34 @@ def test_small_corpora_against_all_pairs(spark):
                     wanted.add(i + 1)
         later, _ = found_ids(spark, [" ".join(d) for d in docs])
         assert later == wanted
+
+
+def test_single_links_are_judged_all_at_once():
+    """The same verdicts as word by word, at the ends of texts, in short texts and in slices of a batch."""
+    rng = random.Random(12)
+    texts = [(bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 140))),
+              bytes(rng.choice(b"abc") for _ in range(rng.randrange(5, 140)))) for _ in range(400)]
+    texts += [(b"x" * n, b"x" * n) for n in (5, 9, 10, 23, 24, 25, 125)]
+    at = np.array([rng.randrange(0, len(own) - 4) for own, _ in texts])
+    there = np.array([rng.randrange(0, len(other) - 4) for _, other in texts])
+    wanted = []
+    for i, j, (own, other) in zip(at, there, texts):
+        back, on = min(i, j), min(len(own) - i, len(other) - j)
+        one, two = (np.frombuffer(x, np.uint8)[k - back:k + on] for x, k in ((own, i), (other, j)))
+        wanted.append(bool(passages.too_different(one == two)))
+    own, other = (pa.array([b"before"] + [t[k] for t in texts]).slice(1) for k in (0, 1))
+    assert passages.alone(at, there, own, other).tolist() == wanted and 0 < sum(wanted) < len(wanted)
+    none = np.zeros(0, np.int64)
+    assert passages.alone(none, none, own.slice(0, 0), other.slice(0, 0)).tolist() == []
+
+
+def test_refuted_seeds_are_written_once(spark, monkeypatch):
+    """Both readers of the refuted seeds read a written table; they used to gather the fragments twice."""
+    inputs, links = [], passages.links
+    monkeypatch.setattr(passages, "links", lambda seeds, scratch: inputs.append(seeds) or links(seeds, scratch))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[::-1])), (3, "x " + " ".join(words))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["id"]: r["sources"] for r in found.collect()} == {1: [], 2: [], 3: [1]}
+    plan = inputs[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan

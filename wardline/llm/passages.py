@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,10 +209,29 @@ def too_different(equal: np.ndarray) -> bool:
     return (total[width:] - total[:len(total) - width]).max() < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
 
 
-def alone(at: int, there: int, words: np.ndarray, awords: np.ndarray) -> bool:
-    """Whether a single link has too few equal words around it for any fragment."""
-    back, on = min(at, there), min(len(words) - at, len(awords) - there)
-    return too_different(words[at - back:at + on] == awords[there - back:there + on])
+def alone(at: np.ndarray, there: np.ndarray, words: pa.BinaryArray, awords: pa.BinaryArray) -> np.ndarray:
+    """Which single links have too few equal words around them for any fragment, all at once.
+
+    As ``too_different`` on the diagonal of each link; places beyond either text count as different.
+    """
+    (data, start, size), (adata, astart, asize) = _bytes_of(words), _bytes_of(awords)
+    back, on = np.minimum(at, there), np.minimum(size - at, asize - there)
+    width = 2 * MIN_FRAGMENT
+    step = np.arange(max(width, int((back + on).max(initial=0))))
+    inside = step < (back + on)[:, None]
+    own = np.where(inside, (start + at - back)[:, None] + step, 0)
+    other = np.where(inside, (astart + there - back)[:, None] + step, 0)
+    total = np.zeros((len(at), len(step) + 1), np.int32)
+    np.cumsum(inside & (data[own] == adata[other]), axis=1, out=total[:, 1:])
+    return (total[:, width:] - total[:, :-width]).max(axis=1) < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
+
+
+def _bytes_of(values: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an array of binaries end to end, at least one, and the start and the size of each."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1].astype(np.int64)
+    data = values.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    return data, offsets[:-1], np.diff(offsets)
 
 
 def chain_links(linked: DataFrame) -> DataFrame:
@@ -225,6 +245,9 @@ def chain_links(linked: DataFrame) -> DataFrame:
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         for row, anchor, pos, apos in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if len(pos) == 1:
+                rows.append((row, anchor, pos, apos))
+                continue
             pos, apos = np.array(pos), np.array(apos)
             rows += [(row, anchor, pos[c].tolist(), apos[c].tolist()) for c in chained(pos, apos)]
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
@@ -235,7 +258,10 @@ def chain_links(linked: DataFrame) -> DataFrame:
 
 
 def fragments(chains: DataFrame, sketched: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, anchor, spans) of the similar fragments of each chain, spans as (start, end, astart, aend)."""
+    """(row, anchor, spans) of the similar fragments of each chain, spans as (start, end, astart, aend).
+
+    Single links that cannot lie in a fragment have no row.
+    """
     words = sketched.select("row", "words")
     first = F.greatest(F.element_at("pos", 1) - REACH, F.lit(0))
     afirst = F.greatest(F.element_at("apos", 1) - REACH, F.lit(0))
@@ -248,10 +274,16 @@ def fragments(chains: DataFrame, sketched: DataFrame, scratch: Scratch) -> DataF
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = []
+        single = np.asarray(pc.equal(pc.list_value_length(batch.column(2)), 1))
+        if single.any():
+            links_ = batch.filter(pa.array(single))
+            at, there = (np.asarray(pc.list_flatten(links_.column(i))) - np.asarray(links_.column(i + 4)) for i in (2, 3))
+            kept = ~single
+            kept[single] = ~alone(at, there, links_.column(4), links_.column(5))
+            batch = batch.filter(pa.array(kept))
         for pos, apos, own, other, base, abase in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
             own, other = np.frombuffer(own, np.uint8), np.frombuffer(other, np.uint8)
-            found = [] if len(pos) == 1 and alone(pos[0] - base, apos[0] - abase, own, other) else aligned(
-                np.array(pos), np.array(apos), own, other, base, abase)
+            found = aligned(np.array(pos), np.array(apos), own, other, base, abase)
             spans.append([dict(zip(("start", "end", "astart", "aend"), s)) for s in found])
         kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "astart", "aend")]))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)],
@@ -286,13 +318,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession, "passages")
     sketched = scratch.keep(sketches(docs, id_col, text_col))
     seeds = sketched.select("row", "id", F.explode("seeds").alias("s")).select("s.h", "s.pair", "s.pos", "row", "id")
-    found = None
+    found = linked = None
     for _ in range(2):  # by single seeds, then what they could not verify by pairs of seeds
+        if found is not None:
+            left = scratch.keep(refuted(linked, found).drop("pair"))  # read twice; pairs are the seeds now
+            scratch.drop(linked)
+            seeds = left.withColumn("pair", F.col("h"))
         linked = links(seeds, scratch)
         chains = scratch.keep(chain_links(linked))
         more = scratch.keep(fragments(chains, sketched, scratch).select("row", "anchor", F.inline("spans")))
         found = more if found is None else found.union(more)
-        seeds = refuted(linked, found)
     later = found.select("row", "start", "end", "anchor")
     first = found.groupBy(F.col("anchor").alias("row"), F.col("astart").alias("start")).agg(
         F.max("aend").alias("end")).select("row", "start", "end", F.lit(None).cast("long").alias("anchor"))
