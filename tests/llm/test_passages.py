@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import cProfile
 import random
 
 import numpy as np
@@ -209,3 +210,87 @@ def test_refuted_seeds_are_written_once(spark, monkeypatch):
     assert {r["id"]: r["sources"] for r in found.collect()} == {1: [], 2: [], 3: [1]}
     plan = inputs[1]._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def aligned_word_by_word(pos, apos, words, awords, base, abase):
+    """Fragments of one chain, one diagonal and one span after the other."""
+    def same(i, j):
+        return base <= i < base + len(words) and abase <= j < abase + len(awords) and words[i - base] == awords[j - abase]
+
+    partner = {i: i + apos[0] - pos[0] for i in range(base, pos[0])}
+    partner |= {i: i + apos[-1] - pos[-1] for i in range(pos[-1], base + len(words))}
+    for p, q, a, b in zip(pos, pos[1:], apos, apos[1:]):
+        ways = [sum(same(i, i + a - p) for i in range(p, turn)) + sum(same(i, i + b - q) for i in range(turn, q))
+                for turn in range(p, q + 1)]
+        turn = p + ways.index(max(ways))
+        partner |= {i: i + (a - p if i < turn else b - q) for i in range(p, q)}
+    equal, found, parts = np.array([same(i, partner[i]) for i in sorted(partner)]), [], [(0, len(words))]
+    while parts:
+        a, b = parts.pop()
+        span = leaks.best_span(equal[a:b], passages.MIN_SIMILARITY)
+        if span and span[1] - span[0] >= passages.MIN_FRAGMENT:
+            i, j = base + a + span[0], base + a + span[1]
+            found.append((i, j, partner[i], partner[j - 1] + 1))
+            parts += [(a, i - base), (j - base, b)]
+    return found
+
+
+def random_chains(rng, count):
+    """(pos, apos, words, awords, base, abase) of texts with shifted and slightly changed copies."""
+    chains = []
+    while len(chains) < count:
+        letters = bytes(rng.sample(range(256), rng.choice([2, 4, 100])))
+        own, other = (bytearray(rng.choices(letters, k=rng.choice([5, 12, 40, 200]))) for _ in range(2))
+        links = {rng.randrange(len(own) - 4): rng.randrange(len(other) - 4)}
+        for _ in range(rng.randrange(5)):
+            size = rng.randrange(5, min(len(own), len(other)) + 1)
+            i, j = rng.randrange(len(own) - size + 1), rng.randrange(len(other) - size + 1)
+            other[j:j + size] = bytes(w if rng.random() < .9 else letters[0] for w in own[i:i + size])
+            links |= {i + k: j + k for k in range(0, size - 4, 6)}
+        pos, apos = np.array(sorted(links)), np.array([links[p] for p in sorted(links)])
+        for chain in passages.chained(pos, apos):
+            p, a = pos[chain].tolist(), apos[chain].tolist()
+            base, abase = max(0, p[0] - passages.REACH), max(0, a[0] - passages.REACH)
+            beyond = passages.SEED_WORDS + passages.REACH
+            chains.append((p, a, bytes(own[base:p[-1] + beyond]), bytes(other[abase:a[-1] + beyond]), base, abase))
+    return chains
+
+
+def batch_of(chains):
+    kinds = [pa.list_(pa.int32())] * 2 + [pa.binary()] * 2 + [pa.int32()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*chains), kinds)],
+                                      names=["pos", "apos", "words", "awords", "base", "abase"])
+
+
+def test_chains_of_a_batch_are_aligned_as_one_by_one():
+    chains = random_chains(random.Random(41), 600)
+    wanted = {(n, *span) for n, chain in enumerate(chains[7:]) for span in aligned_word_by_word(*chain)}
+    spans = [x.tolist() for x in passages.aligned(batch_of(chains).slice(7))]
+    assert set(zip(*spans)) == wanted and len(spans[0]) == len(wanted) > 100
+    assert [len(x) for x in passages.aligned(batch_of(chains).slice(len(chains)))] == [0] * 5
+
+
+def test_aligning_more_chains_takes_no_more_calls():
+    """Chains used to be aligned one after the other in Python, which took most of the operator's time."""
+    chains = random_chains(random.Random(42), 50)
+    calls = []
+    for batch in (batch_of(chains), batch_of(chains * 20)):
+        profile = cProfile.Profile()
+        profile.runcall(passages.aligned, batch)
+        calls.append(sum(entry.callcount for entry in profile.getstats()))
+    assert calls[0] == calls[1]
+
+
+def test_refuted_seeds_are_not_held_against_every_fragment(spark):
+    """As by comparing all links with all fragments of a document; the plan sorts them together instead."""
+    rng = random.Random(43)
+    links = [(rng.randrange(20), 99, rng.randrange(300), 0, rng.choice([None, n]), rng.choice([None, 7])) for n in range(900)]
+    spans = [(rng.randrange(15), 99, start, start + rng.choice([1, 12, 90])) for start in rng.choices(range(300), k=60)]
+    linked = spark.createDataFrame(links, "row long, anchor long, pos int, apos int, pair long, id long")
+    found = spark.createDataFrame(spans, "row long, anchor long, start int, end int")
+    got = passages.refuted(linked, found)
+    assert "Join" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "lambda" not in plan
+    wanted = [(pair, pair, pos, row, n) for row, _, pos, _, pair, n in links if pair is not None
+              and not any(r == row and a <= pos < b for r, _, a, b in spans)]
+    assert sorted(map(tuple, got.select("h", "pair", "pos", "row", "id").collect()), key=str) == sorted(wanted, key=str)
+    assert 0 < len(wanted) < sum(pair is not None for *_, pair, _ in links)

@@ -9,14 +9,15 @@ refuted, since their first document holds them by chance, are linked once more,
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Scratch, mixed, over_batches, split_words, word_hashes
-from wardline.llm.leaks import best_span
 
 SEED_WORDS = 5        # words of a seed
 WINDOW = 10           # of as many neighbouring seeds one is kept: any 14 equal words share a seed
@@ -111,12 +112,14 @@ def links(seeds: DataFrame, scratch: Scratch) -> DataFrame:
 def refuted(linked: DataFrame, found: DataFrame) -> DataFrame:
     """The seeds (h, pair, pos, row, id) of links that lie in no similar fragment, with the pair in place of the seed.
 
-    The spans of a document are as many as it has fragments.
+    Links and fragments of a document are sorted by place together: a link lies in a fragment if the furthest end of
+    those that begin before it, or with it, lies behind it. No link is held against each fragment of its document.
     """
-    spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    covered = F.exists("spans", lambda s: (s["start"] <= F.col("pos")) & (F.col("pos") < s["end"]))
-    return (linked.where("pair is not null").join(spans, "row", "left")
-            .where(~F.coalesce(covered, F.lit(False))).select(F.col("pair").alias("h"), "pair", "pos", "row", "id"))
+    both = (linked.where("pair is not null").select("row", "pos", "pair", "id", F.lit(None).cast("int").alias("end"))
+            .union(found.select("row", "start", F.lit(None).cast("long"), F.lit(None).cast("long"), "end")))
+    before = Window.partitionBy("row").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return (both.withColumn("reach", F.max("end").over(before)).where("end is null and (reach is null or reach <= pos)")
+            .select(F.col("pair").alias("h"), "pair", "pos", "row", "id"))
 
 
 def chained(pos: np.ndarray, apos: np.ndarray) -> list[np.ndarray]:
@@ -159,54 +162,125 @@ def chained(pos: np.ndarray, apos: np.ndarray) -> list[np.ndarray]:
     return chains
 
 
-def aligned(pos: np.ndarray, apos: np.ndarray, words: np.ndarray, awords: np.ndarray, base: int,
-            abase: int) -> list[tuple[int, int, int, int]]:
-    """Similar fragments (start, end, start there, end there) along a chain.
+def aligned(chains: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Similar fragments (chain, start, end, start there, end there) along all chains of a batch at once.
 
-    ``words`` and ``awords`` are the texts' words from ``base`` and ``abase`` on. Between two links the words
-    are laid on the diagonal of the first up to the place that leaves most equal words, then on that of the
-    second; beyond the outer links they stay on the outer diagonals.
+    ``chains`` has pos, apos, words, awords, base, abase: the places of the links, the texts' words from ``base`` and
+    ``abase`` on. Between two links the words are laid on the diagonal of the first up to the place that leaves most
+    equal words, then on that of the second; beyond the outer links they stay on the outer diagonals.
+    """
+    if not len(chains):
+        return (np.zeros(0, np.int64),) * 5
+    pos, apos, words, awords, base, abase = chains.columns
+    base, abase = np.asarray(base).astype(np.int64), np.asarray(abase).astype(np.int64)
+    (data, begin, size), (adata, abegin, asize) = _bytes_of(words), _bytes_of(awords)
+    links_ = np.asarray(pc.list_value_length(pos))
+    chain, outer = np.repeat(np.arange(len(links_)), links_), np.cumsum(links_)
+    at = np.asarray(pc.list_flatten(pos)) + (begin - base)[chain]  # places of the links in the bytes end to end
+    shift = np.asarray(pc.list_flatten(apos)) + (abegin - abase)[chain] - at
+
+    def same(at: np.ndarray, there: np.ndarray, chain: np.ndarray) -> np.ndarray:
+        ok = (there >= abegin[chain]) & (there < (abegin + asize)[chain])
+        return ok & (data[at] == adata[np.where(ok, there, 0)])
+
+    turn = np.concatenate([at[1:], [0]])  # where the diagonal of the next link begins
+    turn[outer - 1] = begin + size
+    bent = np.ones(len(at), bool)
+    bent[outer - 1] = False
+    bent = np.flatnonzero(bent)
+    bent = bent[shift[bent] != shift[bent + 1]]
+    if len(bent):
+        between, cuts = _places(at[bent], at[bent + 1])
+        of = np.repeat(bent, np.diff(cuts))
+        gain = np.cumsum(same(between, between + shift[of], chain[of]).astype(np.int64)
+                         - same(between, between + shift[of + 1], chain[of]))
+        gain -= np.repeat(np.concatenate([[0], gain])[cuts[:-1]], np.diff(cuts))
+        most, step = _first_most(gain, cuts)
+        turn[bent] = at[bent] + np.where(most > 0, step + 1, 0)
+    before = np.concatenate([[0], turn[:-1]])
+    before[outer - links_] = begin
+    chain_of = np.repeat(np.arange(len(size)), size)
+    own = np.arange(begin[0], begin[0] + len(chain_of))
+    partner = own + np.repeat(shift, turn - before)
+    equal = same(own, partner, chain_of)
+    chain, first, last = similar_parts(equal, np.concatenate([[0], np.cumsum(size)]))
+    move, amove = (base - begin)[chain], (abase - abegin)[chain]
+    return chain, own[first] + move, own[last - 1] + 1 + move, partner[first] + amove, partner[last - 1] + 1 + amove
+
+
+def similar_parts(equal: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the similar fragments of texts laid end to end between ``cuts``.
+
+    Of each text the longest fragment is taken, then the longest of what lies before and behind it, and so on.
+    """
+    def laid(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, inner = _places(parts[1], parts[2])
+        return equal[at], inner
+
+    parts, found = np.stack([np.arange(len(cuts) - 1), cuts[:-1], cuts[1:]]), []
+    while parts.size:
+        parts = parts[:, parts[2] - parts[1] >= MIN_FRAGMENT]
+        if parts.size:
+            parts = parts[:, ~too_different(*laid(parts))]
+        start, end = longest_spans(*laid(parts))
+        similar = end - start >= MIN_FRAGMENT
+        text, a, b = parts[:, similar]
+        start, end = a + start[similar], a + end[similar]
+        found.append(np.stack([text, start, end]))
+        parts = np.concatenate([np.stack([text, a, start]), np.stack([text, end, b])], axis=1)
+    return tuple(np.concatenate(found, axis=1))
+
+
+def longest_spans(equal: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_span`` of every text between ``cuts``, counted from its own start; equal where there is none.
+
+    Scores are whole numbers. Each text's lie below those of the text before, so that one running minimum of the
+    beginnings and one running maximum of the ends, from behind, serve all texts.
     """
-    first, last = max(base, int(pos[0]) - REACH), min(base + len(words), int(pos[-1]) + SEED_WORDS + REACH)
-    partner = np.empty(last - first, np.int64)  # the place in the other text of each word
-    shift = apos - pos
-    partner[:] = np.arange(first, last) + shift[-1]
-    partner[:int(pos[0]) - first] = np.arange(first, int(pos[0])) + shift[0]
-
-    def same(at: np.ndarray, there: np.ndarray) -> np.ndarray:
-        ok = (there >= abase) & (there < abase + len(awords))
-        return ok & (words[at - base] == awords[np.clip(there - abase, 0, len(awords) - 1)])
-
-    for i in range(len(pos) - 1):
-        at = np.arange(int(pos[i]), int(pos[i + 1]))
-        partner[at[0] - first:at[-1] + 1 - first] = at + shift[i]
-        if shift[i] != shift[i + 1]:
-            one, two = same(at, at + shift[i]), same(at, at + shift[i + 1])
-            turn = int((np.concatenate([[0], np.cumsum(one)])
-                        + np.concatenate([np.cumsum(two[::-1])[::-1], [0]])).argmax())
-            partner[at[0] - first + turn:at[-1] + 1 - first] = at[turn:] + shift[i + 1]
-    at = np.arange(first, last)
-    equal, found, parts = same(at, partner), [], [(0, last - first)]
-    if too_different(equal):
-        return []
-    while parts:
-        a, b = parts.pop()
-        span = best_span(equal[a:b], MIN_SIMILARITY) if b - a >= MIN_FRAGMENT else None
-        if span and span[1] - span[0] >= MIN_FRAGMENT:
-            i, j = a + span[0], a + span[1]
-            found.append((first + i, first + j, int(partner[i]), int(partner[j - 1]) + 1))
-            parts += [(a, i), (j, b)]
-    return found
-
-
-def too_different(equal: np.ndarray) -> bool:
-    """Whether no fragment can lie in these words.
+    share = Fraction(MIN_SIMILARITY).limit_denominator(1000)
+    size = np.diff(cuts)
+    gain = equal * np.int64(share.denominator) - share.numerator
+    score = np.concatenate([[0], np.cumsum(gain)])
+    lower = np.int64(4 * share.denominator) * (int(size.max(initial=0)) + 1) * np.arange(len(size)) + score[cuts[:-1]]
+    lower = np.repeat(lower, size)
+    far = np.iinfo(np.int64).max
+    least = np.minimum.accumulate(np.where(equal, score[:-1] - lower, far))
+    most = np.maximum.accumulate(np.where(equal, score[1:] - lower, -far)[::-1])
+    begins = np.flatnonzero(least < np.concatenate([[far], least[:-1]]))
+    length = len(equal) - np.searchsorted(most, least[begins], "left") - begins
+    start, end = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    inner = np.searchsorted(begins, cuts)
+    some = inner[1:] > inner[:-1]
+    if some.any():
+        longest, first = _first_most(length, np.concatenate([inner[:-1][some], [len(begins)]]))
+        start[some] = begins[inner[:-1][some] + first] - cuts[:-1][some]
+        end[some] = start[some] + longest
+    return start, end
+
+
+def too_different(equal: np.ndarray, cuts: np.ndarray | None = None) -> np.ndarray:
+    """Whether no fragment can lie in the words of each text between ``cuts``; without cuts they are one text.
 
     A fragment has a part of ``MIN_FRAGMENT`` to twice as many words, less one, that is similar enough by itself.
     """
+    cuts = np.array([0, len(equal)]) if cuts is None else cuts
     total = np.concatenate([[0], np.cumsum(equal)])
-    width = min(2 * MIN_FRAGMENT, len(equal))
-    return (total[width:] - total[:len(total) - width]).max() < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
+    ends = np.minimum(np.arange(len(equal)) + 2 * MIN_FRAGMENT, np.repeat(cuts[1:], np.diff(cuts)))
+    return np.maximum.reduceat(total[ends] - total[:-1], cuts[:-1]) < MIN_SIMILARITY * MIN_FRAGMENT - 1e-9
+
+
+def _places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each ``a`` up to its ``b``, end to end, and the cuts between them."""
+    cuts = np.concatenate([[0], np.cumsum(b - a)])
+    return np.arange(cuts[-1]) + np.repeat(a - cuts[:-1], b - a), cuts
+
+
+def _first_most(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value between each two cuts, none of them empty, and the first place that has it."""
+    step = np.arange(len(values)) - np.repeat(cuts[:-1], np.diff(cuts))
+    ranked = np.maximum.reduceat((values << 32) - step, cuts[:-1])
+    most = -(-ranked >> 32)
+    return most, (most << 32) - ranked
 
 
 def alone(at: np.ndarray, there: np.ndarray, words: pa.BinaryArray, awords: pa.BinaryArray) -> np.ndarray:
@@ -243,25 +317,21 @@ def chain_links(linked: DataFrame) -> DataFrame:
              .select("row", "anchor", F.col("m.pos").alias("pos"), F.col("m.apos").alias("apos")))
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
+        single = pc.equal(pc.list_value_length(batch.column(2)), 1)
         rows: list[tuple] = []
-        for row, anchor, pos, apos in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if len(pos) == 1:
-                rows.append((row, anchor, pos, apos))
-                continue
+        for row, anchor, pos, apos in zip(*(c.to_pylist() for c in batch.filter(pc.invert(single)).columns)):
             pos, apos = np.array(pos), np.array(apos)
             rows += [(row, anchor, pos[c].tolist(), apos[c].tolist()) for c in chained(pos, apos)]
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)],
-                                          names=["row", "anchor", "pos", "apos"])
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([c.cast(k), pa.array(list(more), k)]) for c, more, k in zip(
+                batch.filter(single).columns, zip(*rows) if rows else [()] * 4, kinds)], names=["row", "anchor", "pos", "apos"])
 
     return over_batches(pairs, scan, "row long, anchor long, pos array<int>, apos array<int>")
 
 
 def fragments(chains: DataFrame, sketched: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, anchor, spans) of the similar fragments of each chain, spans as (start, end, astart, aend).
-
-    Single links that cannot lie in a fragment have no row.
-    """
+    """(row, anchor, start, end, astart, aend): the similar fragments of each chain."""
     words = sketched.select("row", "words")
     first = F.greatest(F.element_at("pos", 1) - REACH, F.lit(0))
     afirst = F.greatest(F.element_at("apos", 1) - REACH, F.lit(0))
@@ -273,7 +343,6 @@ def fragments(chains: DataFrame, sketched: DataFrame, scratch: Scratch) -> DataF
             .withColumn("awords", F.expr(f"substring(awords, abase + 1, element_at(apos, -1) - abase + {SEED_WORDS + REACH})")))
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = []
         single = np.asarray(pc.equal(pc.list_value_length(batch.column(2)), 1))
         if single.any():
             links_ = batch.filter(pa.array(single))
@@ -281,16 +350,14 @@ def fragments(chains: DataFrame, sketched: DataFrame, scratch: Scratch) -> DataF
             kept = ~single
             kept[single] = ~alone(at, there, links_.column(4), links_.column(5))
             batch = batch.filter(pa.array(kept))
-        for pos, apos, own, other, base, abase in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
-            own, other = np.frombuffer(own, np.uint8), np.frombuffer(other, np.uint8)
-            found = aligned(np.array(pos), np.array(apos), own, other, base, abase)
-            spans.append([dict(zip(("start", "end", "astart", "aend"), s)) for s in found])
-        kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "astart", "aend")]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, kind)],
-                                          names=["row", "anchor", "spans"])
+        chain, *spans = aligned(batch.select(range(2, 8)))
+        chain = pa.array(chain)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(chain), batch.column(1).take(chain),
+                                           *(pa.array(x.astype(np.int32)) for x in spans)],
+                                          names=["row", "anchor", "start", "end", "astart", "aend"])
 
     return over_batches(both.select("row", "anchor", "pos", "apos", "words", "awords", "base", "abase"), scan,
-                        "row long, anchor long, spans array<struct<start:int,end:int,astart:int,aend:int>>")
+                        "row long, anchor long, start int, end int, astart int, aend int")
 
 
 def merged(spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
@@ -326,7 +393,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             seeds = left.withColumn("pair", F.col("h"))
         linked = links(seeds, scratch)
         chains = scratch.keep(chain_links(linked))
-        more = scratch.keep(fragments(chains, sketched, scratch).select("row", "anchor", F.inline("spans")))
+        more = scratch.keep(fragments(chains, sketched, scratch))
         found = more if found is None else found.union(more)
     later = found.select("row", "start", "end", "anchor")
     first = found.groupBy(F.col("anchor").alias("row"), F.col("astart").alias("start")).agg(
